@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, line_dedup, quality, sharding, toxicity
+from . import decontaminate, exact_dedup, line_dedup, near_dedup, quality, sharding, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op4_quality": quality.op4_quality,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_sharding": sharding.op9_sharding,
 }
@@ -16,5 +17,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
+    "op7_near_dedup": near_dedup.SQL,
     "op8_decontaminate": decontaminate.SQL,
 }
