@@ -16,20 +16,23 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def _star(pairs: DataFrame) -> DataFrame:
-    """(v, m) for each (u, v): m is the least of u and its v."""
-    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+def _star(scratch: Scratch, pairs: DataFrame, name: str) -> DataFrame:
+    """(v, m) for each (u, v): m is the least of u and its v.
+
+    The minima are a written table: only a join of two plain exchanges can be split.
+    """
+    least = scratch.write(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
     return pairs.join(least.hint("merge"), "u")
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def large_star(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    return _star(both).where("v > u").select(F.col("v").alias("b"), F.col("m").alias("a"))
+    return _star(scratch, both, name).where("v > u").select(F.col("v").alias("b"), F.col("m").alias("a"))
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    starred = _star(down)
+    starred = _star(scratch, down, name)
     own = starred.select(F.col("u").alias("b"), F.col("m").alias("a"))
     return own.unionByName(starred.select(F.col("v").alias("b"), F.col("m").alias("a"))).where("a <> b")
 
@@ -45,10 +48,11 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "links") -> DataF
     before, turn = mark(current), 0
     while before[0]:
         turn += 1
-        following = scratch.write(small_star(scratch.write(large_star(current).distinct(), f"{name}-{turn}-large")).distinct(), f"{name}-{turn}")
+        large = scratch.write(large_star(scratch, current, f"{name}-{turn}-least").distinct(), f"{name}-{turn}-large")
+        following = scratch.write(small_star(scratch, large, f"{name}-{turn}-lesser").distinct(), f"{name}-{turn}")
         after = mark(following)
-        scratch.drop(f"{name}-{turn}-large")
-        scratch.drop(f"{name}-{turn - 1}")
+        for gone in (f"{name}-{turn}-least", f"{name}-{turn}-large", f"{name}-{turn}-lesser", f"{name}-{turn - 1}"):
+            scratch.drop(gone)
         current = following
         if after == before:
             break

@@ -289,7 +289,7 @@ def _verified(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFr
     return out
 
 
-def _rest(members: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+def _rest(scratch: Scratch, members: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
     """Candidates (a, b) in the buckets whose nodes lie in several components.
 
     In each bucket the component of the least node is ``near``, the nodes of all others are ``far``.
@@ -297,10 +297,13 @@ def _rest(members: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
     either kind.
     """
     known = members.select("band", "node").join(roots.hint("merge"), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    known = scratch.write(known, "known")
     buckets = known.groupBy("band").agg(F.min(F.struct("node", "root")).alias("lead"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band", F.col("lead.root").alias("near"))
+    buckets = scratch.write(buckets, "buckets")
     open_ = known.join(buckets.hint("merge"), "band")
     is_near = F.col("root") == F.col("near")
     sizes = open_.groupBy("band").agg(F.ceil(F.count_if(is_near) / BLOCK).cast("int").alias("kp"), F.ceil(F.count_if(~is_near) / BLOCK).cast("int").alias("ko"))
+    sizes = scratch.write(sizes, "sizes")
     dealt = open_.join(sizes.hint("merge"), "band")
     block = F.pmod(F.xxhash64("node", "band"), F.when(is_near, F.col("kp")).otherwise(F.col("ko"))).cast("int")
     dealt = dealt.withColumn("block", block)
@@ -337,7 +340,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, row_id: str | None = None)
     nodes = scratch.write(nodes, "nodes")
 
     in_bands = nodes.select("node", F.explode("bands").alias("band"))
-    leads = in_bands.groupBy("band").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "lead")
+    # Written first, here and below: only a join of two plain exchanges can be split by the adaptive engine.
+    leads = scratch.write(in_bands.groupBy("band").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "lead"), "leads")
     members = scratch.write(in_bands.join(leads.hint("merge"), "band"), "members")
     stars = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     marks = nodes.select("node", "signature")
@@ -345,7 +349,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, row_id: str | None = None)
     first = scratch.write(_agreeing(stars), "first-pairs")
     roots = components(scratch, _verified(scratch, docs, nodes, first, "first"), "first")
 
-    second = scratch.write(_rest(members, roots, nodes).join(first, ["a", "b"], "left_anti"), "second-pairs")
+    second = scratch.write(_rest(scratch, members, roots, nodes).join(first, ["a", "b"], "left_anti"), "second-pairs")
     more = _verified(scratch, docs, nodes, second, "second")
     at = roots.withColumnsRenamed({"node": "a", "root": "ra"})
     bt = roots.withColumnsRenamed({"node": "b", "root": "rb"})
@@ -353,7 +357,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, row_id: str | None = None)
     joined = components(scratch, merged, "second").select(F.col("root").alias("top"), F.col("node").alias("root"))
     where = nodes.select("set_hash", "node", "best").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(joined, "root", "left").withColumn("top", F.coalesce("top", "root"))
     where = scratch.write(where.select("set_hash", "top", "best"), "where")
-    best = where.groupBy("top").agg(F.min("best").alias("win"))
+    best = scratch.write(where.groupBy("top").agg(F.min("best").alias("win")), "best")
     # Nodes of a large component on the left are split; so are the copies of one set in the next join.
     of_set = where.select("set_hash", "top").join(best.hint("merge"), "top").select("set_hash", "win")
     full = rows.where(F.col("set_hash").isNotNull()).select("set_hash", "doc_id", "row_id", "n_shingles").join(of_set.hint("merge"), "set_hash")
