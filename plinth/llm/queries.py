@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, line_dedup, near_dedup, quality, sharding, toxicity
+from . import chat, decontaminate, exact_dedup, line_dedup, lm_scoring, near_dedup, quality, sentencepiece_coding, sharding, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_chat": chat.op2_chat,
+    "op3_sentencepiece": sentencepiece_coding.op3_sentencepiece,
     "op4_quality": quality.op4_quality,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_sharding": sharding.op9_sharding,
+    "op10_lm_scoring": lm_scoring.op10_lm_scoring,
 }
 
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.SQL,
+    "op2_chat": chat.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op7_near_dedup": near_dedup.SQL,
     "op8_decontaminate": decontaminate.SQL,
