@@ -58,11 +58,16 @@ def with_prefix(found: DataFrame, docs: DataFrame, small: bool) -> DataFrame:
     return found.join(rarest, "window").select("window", "items", F.col("rare.word").alias("token"), (F.array_position("window", F.col("rare.word")) - 1).cast("int").alias("offset"))
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A hash of a row's id and text; rows with equal keys have equal results."""
+    return F.xxhash64(docs["doc_id"].cast("bigint"), docs["text"].cast("string"))
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """For each row of ``docs``: doc_id, n_words, n_hit, n_items, items (sorted ids), contaminated, and ``row_key`` (a hash of id and text)."""
     scratch = Scratch(spark, "decontaminate")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    docs = docs.withColumn("row_key", row_key(docs))
     found = scratch.write(windows(benchmark, size), "windows")
     small = found.count() <= BROADCAST_WINDOWS
     keyed = scratch.write(with_prefix(found, docs, small), "prefixes")

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 
 MARK = "▁"
 PREFIX, MISSING = 1.0, 2.0
+#: Pieces with this score or less are reserved strings of the vocabulary.
+NEVER_MADE = -1e8
 UNITS = re.compile(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 
@@ -56,7 +58,7 @@ def load_vocabulary(path: str) -> Vocabulary:
             scores[i] = float(model.get_score(i))
     if any(MARK in p.lstrip(MARK) or "\n" in p for p in ids):
         raise ValueError("a piece crosses the bounds of units")
-    low = min(scores[i] for i in ids.values()) - 10.0  # worse than any piece
+    low = min(x for i in ids.values() if (x := scores[i]) > NEVER_MADE) - 10.0  # worse than any piece that text is cut into
     for i in byte_ids:
         if i >= 0:
             scores[i] = low
