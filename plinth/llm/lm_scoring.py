@@ -13,6 +13,13 @@ seen once, twice), the whole-word arc of a word seen c times weighs (c - D) / N,
 paths over pieces together D V / N, and the end its own relative frequency: these
 add up to one over all words.
 
+Texts come in kinds (languages above all), so the model has CLASSES latent classes of
+texts: in a class the words' weights are the discounted counts in the training texts of
+that class, and what the discount leaves goes to the model above.  A text's probability
+is the sum over the classes, each weighted by its share of the training texts.  The
+classes are multinomial mixtures over hashed words, found by expectation maximisation on
+a bounded sample (CLASS_SAMPLE texts); all counts are over all training texts.
+
 The counts of all words stay a table.  The most frequent words (HEAD at most) are
 broadcast and take care of most tokens on the map side; all other words of a text are
 joined with the table, pre-aggregated by text.
@@ -35,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc32_mod, documents, pieces_of, unique_words, words_of
+from .common import Scratch, crc32_mod, documents, mixed, pieces_of, string_hashes, unique_words, words_of
 from .lattice import MARK, Vocabulary, arcs_from, load_vocabulary
 from .sentencepiece_coding import VOCABULARY
 
@@ -44,9 +51,13 @@ MODULUS, HELD_OUT = 7, 2
 HEAD = 1 << 17
 #: Words whose counts a task holds before it gives them out.
 HELD_WORDS = 400_000
+#: Latent classes of texts, training texts that they are found on (at most), and the buckets of their hashed words.
+CLASSES, CLASS_SAMPLE, CLASS_BUCKETS = 8, 3000, 4096
 #: What every piece is given beside its expected count.
 SMOOTHING = 0.01
 LN10 = math.log(10.0)
+#: Stands for the end of a text among the words, of which none holds a space.
+END = " "
 
 
 @dataclass(frozen=True)
@@ -143,27 +154,104 @@ def _expect_long(arcs: list, n: int, times: float, into: dict[int, float]) -> No
             into[i] = into.get(i, 0.0) + share
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, n: occurrences in all texts, pre-aggregated in each task."""
+@dataclass(frozen=True)
+class Classes:
+    """ln probability of each bucket in each class, and of the classes."""
+
+    buckets: np.ndarray
+    prior: np.ndarray
+
+    def of(self, distinct: pa.Array, code: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The likeliest class of each text."""
+        bucket = _bucket(distinct)
+        best, found = np.full(len(offsets) - 1, -np.inf), np.zeros(len(offsets) - 1, dtype=np.int64)
+        for k in range(len(self.prior)):
+            run = np.concatenate([[0.0], np.cumsum(self.buckets[k][bucket][code])])
+            value = run[offsets[1:]] - run[offsets[:-1]] + self.prior[k]
+            found[value > best] = k
+            best = np.maximum(best, value)
+        return found
+
+
+def _bucket(distinct: pa.Array) -> np.ndarray:
+    return (mixed(string_hashes(distinct)) & np.uint64(CLASS_BUCKETS - 1)).astype(np.int64)
+
+
+def mixture(counts: np.ndarray, k: int, rounds: int = 25, tries: int = 4) -> Classes:
+    """A mixture of ``k`` multinomials over rows of bucket counts; the best of some seeded starts."""
+    best: tuple[float, Classes] | None = None
+    for seed in range(tries):
+        rng = np.random.default_rng(seed)
+        logs = np.log((counts[rng.choice(len(counts), k, replace=len(counts) < k)] + 0.1 + counts.mean(axis=0)) / 1.0)
+        logs -= np.logaddexp.reduce(logs, axis=1, keepdims=True)
+        prior = np.full(k, -math.log(k))
+        value = -math.inf
+        for _ in range(rounds):
+            joint = counts @ logs.T + prior
+            total = np.logaddexp.reduce(joint, axis=1)
+            value = float(total.sum())
+            share = np.exp(joint - total[:, None])
+            mass = share.T @ counts + 0.1
+            logs = np.log(mass) - np.log(mass.sum(axis=1, keepdims=True))
+            prior = np.log((share.sum(axis=0) + 1) / (len(counts) + k))
+        if best is None or value > best[0]:
+            best = value, Classes(logs, prior)
+    return best[1]
+
+
+def fit_classes(training: DataFrame, k: int = CLASSES, sample: int = CLASS_SAMPLE) -> Classes:
+    """Classes of texts from at most ``sample`` training texts, chosen by a hash of their ids."""
+    ids = training.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, int] = {}
+        for batch in pieces_of(batches):
+            tokens, offsets = words_of(batch.column("text"))
+            distinct, code = unique_words(tokens)
+            bucket = _bucket(distinct)[code]
+            found = [np.minimum(np.bincount(bucket[a:b], minlength=CLASS_BUCKETS), 65535).astype(np.uint16).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "counts"])
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array(held.values(), pa.int64())], names=["word", "n"])
-            held.clear()
-            return out
+    rows = training.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInArrow(make, "doc_id bigint, counts binary").toLocalIterator()
+    found = sorted((r[0], r[1]) for r in rows)[: 2 * sample]  # ids may repeat
+    if not found:
+        return Classes(np.full((1, CLASS_BUCKETS), -math.log(CLASS_BUCKETS)), np.zeros(1))
+    return mixture(np.stack([np.frombuffer(x, np.uint16) for _, x in found]).astype(np.float32), k)
 
-        for batch in pieces_of(batches):
-            distinct, code = unique_words(words_of(batch.column("text"))[0])
-            for word, n in zip(distinct.to_pylist(), np.bincount(code, minlength=len(distinct)).tolist(), strict=True):
-                held[word] = held.get(word, 0) + n
-            if len(held) > HELD_WORDS:
-                yield flush()
-        if held:
-            yield flush()
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(make, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+def word_counts(docs: DataFrame, classes: Classes) -> DataFrame:
+    """word, n and by (its parts by class): occurrences in all texts, pre-aggregated in each task; END counts texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(classes)  # CLASSES x CLASS_BUCKETS numbers
+    kinds = len(classes.prior)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, int]] = [{} for _ in range(kinds)]
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for k, one in enumerate(held):
+                if one:
+                    yield pa.RecordBatch.from_arrays([pa.array(one, pa.string()), pa.array([k] * len(one), pa.int32()), pa.array(one.values(), pa.int64())], names=["word", "k", "n"])
+                one.clear()
+
+        for batch in pieces_of(batches):
+            tokens, offsets = words_of(batch.column("text"))
+            distinct, code = unique_words(tokens)
+            of_text = shared.value.of(distinct, code, offsets)
+            for k, n in enumerate(np.bincount(of_text, minlength=kinds).tolist()):
+                if n:
+                    held[k][END] = held[k].get(END, 0) + n
+            of_token = np.repeat(of_text, np.diff(offsets))
+            names = distinct.to_pylist()
+            pair = np.bincount(of_token * len(distinct) + code, minlength=kinds * len(distinct))
+            for at in np.flatnonzero(pair).tolist():
+                k, w = divmod(at, len(distinct))
+                held[k][names[w]] = held[k].get(names[w], 0) + int(pair[at])
+            if sum(map(len, held)) > HELD_WORDS:
+                yield from flush()
+        yield from flush()
+
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(make, "word string, k int, n bigint")
+    parts = [F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)) for k in range(kinds)]
+    return rows.groupBy("word").agg(F.sum("n").alias("n"), *(p.alias(f"c{k}") for k, p in enumerate(parts))).select("word", "n", F.array(*(f"c{k}" for k in range(kinds))).alias("by"))
 
 
 def fit_pieces(counts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
@@ -194,16 +282,24 @@ def score_documents(spark: SparkSession, docs: DataFrame, path: str = VOCABULARY
     context = spark.sparkContext
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), (crc32_mod("doc_id", MODULUS) == HELD_OUT).alias("held_out"))
     training = docs.where(~F.col("held_out"))
-    counts = scratch.write(word_counts(training), "counts")
-    ends = training.count()
-    n1, n2, v, n = counts.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2), F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    n_words = n
-    total, kinds = n + ends, v + (ends > 0)
-    floor = math.log10(total + kinds + 1)
-    discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    rest = discount * n_words and discount * v / total if total else 1.0
-    end_base = math.log10(ends + 1) - floor
-    end_score = math.log10(ends / total) if ends else 0.0
+    classes = fit_classes(training)
+    kinds = len(classes.prior)
+    every = scratch.write(word_counts(training, classes), "counts")
+    counts = every.where(F.col("word") != END)
+    by = [F.col("by")[k] for k in range(kinds)]
+    ones, twos = lambda c: F.count_if(c == 1), lambda c: F.count_if(c == 2)
+    each = [f(c) for c in [F.col("n"), *by] for f in (ones, twos, lambda c: F.count_if(c > 0), lambda c: F.coalesce(F.sum(c), F.lit(0)))]
+    stats = np.array(every.agg(*(f.alias(f"s{i}") for i, f in enumerate(each))).first(), dtype=np.int64).reshape(kinds + 1, 4)
+    ends = ([[r[0], *r[1]] for r in every.where(F.col("word") == END).select("n", "by").collect()] or [[0] * (kinds + 1)])[0]
+    total, floor = int(stats[0, 3]), math.log10(int(stats[0, 3]) + int(stats[0, 2]) + 1)
+    discount = np.where((stats[:, 0] > 0) & (stats[:, 1] > 0), stats[:, 0] / np.maximum(1, stats[:, 0] + 2 * stats[:, 1]), 0.5)
+    # What the discount of the words (not of the end) leaves to the model below; all of it where nothing was counted.
+    rest = np.where(stats[:, 3] > 0, discount * np.maximum(0, stats[:, 2] - (np.array(ends) > 0)) / np.maximum(1, stats[:, 3]), 1.0)
+    with np.errstate(divide="ignore"):
+        rest = np.log(rest)
+        end = np.log(np.maximum(ends, 1e-9) / np.maximum(1, stats[:, 3])) if total else np.zeros(kinds + 1)
+    end_base = math.log10(ends[0] + 1) - floor
+    shares = (np.array(ends[1:]) + 1.0) / (sum(ends[1:]) + kinds)
 
     vocabulary = load_vocabulary(path)
     shared = context.broadcast(pieces(vocabulary, fit_pieces(counts, vocabulary)))  # fixed size: the vocabulary
@@ -211,9 +307,9 @@ def score_documents(spark: SparkSession, docs: DataFrame, path: str = VOCABULARY
     def with_marginals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array([marginal(MARK + w, p) for w in batch.column("word").to_pylist()], pa.float64())], names=["word", "c", "ln_pieces"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), batch.column("by"), pa.array([marginal(MARK + w, p) for w in batch.column("word").to_pylist()], pa.float64())], names=["word", "c", "by", "ln_pieces"])
 
-    words = scratch.write(counts.mapInArrow(with_marginals, "word string, c bigint, ln_pieces double"), "words")
+    words = scratch.write(counts.mapInArrow(with_marginals, "word string, c bigint, by array<bigint>, ln_pieces double"), "words")
     # The least power of two that at most HEAD words reach.
     sizes = dict(words.groupBy(F.floor(F.log2("c")).cast("int").alias("e")).agg(F.count(F.lit(1)).alias("n")).collect())
     least, many = 64, 0
@@ -221,39 +317,42 @@ def score_documents(spark: SparkSession, docs: DataFrame, path: str = VOCABULARY
         least -= 1
         many += sizes.get(least, 0)
 
-    def logs(c: np.ndarray, ln_pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of base and model for words with these counts."""
-        whole = np.where(c > 0, (c - discount) / max(total, 1), 0.0)
+    def logs(c: np.ndarray, own: np.ndarray, ln_pieces: np.ndarray) -> np.ndarray:
+        """log10 of the base and of the model in each class (columns) for words with these counts."""
         with np.errstate(divide="ignore"):
-            model = np.logaddexp(np.log(whole), math.log(rest) + ln_pieces if rest else np.full(len(c), -math.inf))
-        return np.log10(c + 1.0) - floor, model / LN10
+            low = np.logaddexp(np.log(np.where(c > 0, (c - discount[0]) / max(total, 1), 0.0)), rest[0] + ln_pieces)
+            whole = np.log(np.where(own > 0, (own - discount[1:]) / np.maximum(1, stats[1:, 3]), 0.0))
+            model = np.logaddexp(whole, rest[1:] + low[:, None])
+        return np.column_stack([np.log10(c + 1.0) - floor, model / LN10])
 
-    top = words.where(F.col("c") >= (1 << least)).collect() if many else []  # at most HEAD rows
-    base, model = logs(np.array([r[1] for r in top], dtype=np.float64), np.array([r[2] for r in top], dtype=np.float64))
-    head = context.broadcast((pa.array([r[0] for r in top], pa.string()), base, model))
+    top = words.where(F.col("c") >= (1 << least)).select("word", "c", "by", "ln_pieces").collect() if many else []  # at most HEAD rows
+    values = logs(np.array([r[1] for r in top], dtype=np.float64), np.array([r[2] for r in top], dtype=np.float64).reshape(-1, kinds), np.array([r[3] for r in top], dtype=np.float64))
+    head = context.broadcast((pa.array([r[0] for r in top], pa.string()), np.ascontiguousarray(values.T)))
+    sums = ["base", *(f"m{k}" for k in range(kinds))]
+    sum_schema = ", ".join(f"{x} double" for x in sums)
 
     def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, base_of, model_of = head.value
+        frequent, of_word = head.value
         for batch in pieces_of(batches):
             tokens, offsets = words_of(batch.column("text"))
             distinct, code = unique_words(tokens)
             at = np.asarray(pc.fill_null(pc.index_in(distinct, value_set=frequent), -1), dtype=np.int64) if len(frequent) else np.full(len(distinct), -1)
             in_head = at >= 0
-            sums = []
-            for value in (np.where(in_head, 1.0, 0.0), np.where(in_head, base_of[at], 0.0) if len(frequent) else np.zeros(len(at)), np.where(in_head, model_of[at], 0.0) if len(frequent) else np.zeros(len(at))):
-                run = np.concatenate([[0.0], np.cumsum(value[code])])
-                sums.append(run[offsets[1:]] - run[offsets[:-1]])
+            found = []
+            for value in [np.ones(len(frequent)), *of_word]:
+                run = np.concatenate([[0.0], np.cumsum(np.where(in_head, value[at], 0.0)[code] if len(frequent) else np.zeros(len(code)))])
+                found.append(run[offsets[1:]] - run[offsets[:-1]])
             where = np.flatnonzero(~in_head[code])
             text_of = np.searchsorted(offsets, where, side="right") - 1
             pair, times = np.unique(text_of * max(1, len(distinct)) + code[where], return_counts=True)
             ends_at = np.searchsorted(pair, np.arange(batch.num_rows + 1) * max(1, len(distinct)))
             tail = pa.StructArray.from_arrays([distinct.take(pa.array(pair % max(1, len(distinct)))), pa.array(times, pa.int64())], names=["word", "n"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(offsets) + 1), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), tail)],
-                names=["doc_id", "held_out", "n_tokens", "known", "base", "model", "tail"],
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(offsets) + 1), pa.array(np.rint(found[0]).astype(np.int64)), *(pa.array(x) for x in found[1:]), pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), tail)],
+                names=["doc_id", "held_out", "n_tokens", "known", *sums, "tail"],
             )
 
-    rows = docs.mapInArrow(by_text, "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, model double, tail array<struct<word:string,n:bigint>>")
+    rows = docs.mapInArrow(by_text, f"doc_id bigint, held_out boolean, n_tokens bigint, known bigint, {sum_schema}, tail array<struct<word:string,n:bigint>>")
     rows = scratch.write(rows.withColumn("row_id", F.monotonically_increasing_id()), "rows")
 
     def of_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,8 +360,11 @@ def score_documents(spark: SparkSession, docs: DataFrame, path: str = VOCABULARY
         seen: dict[str, float] = {}
         for batch in batches:
             c = np.asarray(pc.fill_null(batch.column("c"), 0), dtype=np.float64)
+            own = np.zeros((len(c), kinds))
+            there = np.flatnonzero(c > 0)
+            own[there] = np.asarray(batch.column("by").drop_null().flatten(), dtype=np.float64).reshape(-1, kinds)
             ln = np.array(pc.fill_null(batch.column("ln_pieces"), 0.0), dtype=np.float64)
-            new = np.flatnonzero(np.asarray(pc.is_null(batch.column("ln_pieces"))))
+            new = np.flatnonzero(c == 0)
             if len(seen) > HELD_WORDS:
                 seen.clear()
             for i, word in zip(new.tolist(), batch.column("word").take(pa.array(new)).to_pylist(), strict=True):
@@ -270,22 +372,26 @@ def score_documents(spark: SparkSession, docs: DataFrame, path: str = VOCABULARY
                     seen[word] = marginal(MARK + word, p)
                 ln[i] = seen[word]
             times = np.asarray(batch.column("n"), dtype=np.float64)
-            b, m = logs(c, ln)
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(((c > 0) * times).astype(np.int64)), pa.array(b * times), pa.array(m * times)], names=["row_id", "known", "base", "model"])
+            value = logs(c, own, ln) * times[:, None]
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(((c > 0) * times).astype(np.int64)), *(pa.array(np.ascontiguousarray(x)) for x in value.T)], names=["row_id", "known", *sums])
 
     tail = rows.select("row_id", F.inline("tail"))
     # A word that very many texts hold is one row of the right side; the left side is split.
-    scored = tail.join(words.hint("merge"), "word", "left").select("row_id", "word", "n", "c", "ln_pieces").mapInArrow(of_rest, "row_id bigint, known bigint, base double, model double")
-    sums = scored.groupBy("row_id").agg(F.sum("known").alias("k"), F.sum("base").alias("b"), F.sum("model").alias("m"))
-    more = lambda own, other: F.col(own) + F.coalesce(F.col(other), F.lit(0))
-    return rows.drop("tail").join(sums, "row_id", "left").select(
+    scored = tail.join(words.hint("merge"), "word", "left").select("row_id", "word", "n", "c", "by", "ln_pieces").mapInArrow(of_rest, f"row_id bigint, known bigint, {sum_schema}")
+    more = scored.groupBy("row_id").agg(*(F.sum(x).alias(f"{x}_more") for x in ("known", *sums)))
+    out = rows.drop("tail").join(more, "row_id", "left")
+    both = lambda x: F.col(x) + F.coalesce(F.col(f"{x}_more"), F.lit(0))
+    parts = F.array(*(both(f"m{k}") + F.lit(float(end[k + 1] / LN10 + math.log10(shares[k]))) for k in range(kinds)))
+    best = F.array_max("parts")
+    mass = F.aggregate("parts", F.lit(0.0), lambda x, y: x + F.pow(F.lit(10.0), y - best))
+    return out.withColumn("parts", parts).select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (more("known", "k") + (1 if ends else 0)).cast("bigint").alias("n_known"),
+        (both("known") + (1 if ends[0] else 0)).cast("bigint").alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
-        (more("base", "b") + F.lit(end_base)).alias("base_score"),
-        (more("model", "m") + F.lit(end_score)).alias("score"),
+        (both("base") + F.lit(end_base)).alias("base_score"),
+        (best + F.log10(mass)).alias("score"),
     )
 
 
