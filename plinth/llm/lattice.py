@@ -1,10 +1,11 @@
 """The piece lattice of a text: which vocabulary pieces can stand where.
 
-Shared by SentencePiece encoding and by subword scoring.  A text is prepared as the
-vocabulary expects it: a space in front, spaces as ``▁``.  No piece holds a ``▁`` behind
-another character or a line end, so the lattice falls apart into units (a run of ``▁``
-with what follows it, or one line end) and paths of the whole text are paths of its units.
-A character that no piece holds is written with its byte pieces.
+Shared by SentencePiece encoding and by subword scoring.  A text is prepared with one space
+in front; the vocabulary's ``▁`` stands for a space and is a space in everything below, so
+that a ``▁`` in a text is a character like any other.  No piece holds a space behind another
+character or a line end, so the lattice falls apart into units (a run of spaces with what
+follows it, or one line end) and paths of the whole text are paths of its units.  A
+character that no piece holds is written with its byte pieces.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-MARK = "▁"
+import numpy as np
+
+MARK = " "
 PREFIX, MISSING = 1.0, 2.0
 #: Pieces with this score or less are reserved strings of the vocabulary.
 NEVER_MADE = -1e8
-UNITS = re.compile(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
+UNITS = re.compile(r"\n| *[^ \n]+| +")
 
 
 @dataclass(frozen=True)
@@ -36,6 +39,61 @@ class Vocabulary:
     def __hash__(self) -> int:
         return id(self)
 
+    def index(self) -> PieceIndex:
+        """``table`` by substring hashes, for whole arrays at once."""
+        return PieceIndex(self)
+
+
+class PieceIndex:
+    """Pieces and beginnings of pieces by a rolling hash of their characters, in two-choice tables.
+
+    Every string of the vocabulary's table lies in one of two slots, which are told by its hash; a
+    lookup compares the whole 64-bit hash with both.
+    """
+
+    FACTOR = np.uint64(0x9E3779B97F4A7C15)
+    BITS = 18
+
+    def __init__(self, vocabulary: Vocabulary):
+        names = list(vocabulary.table)
+        self.longest = max(map(len, names))
+        hashes = np.array([self.hash_of(x) for x in names], dtype=np.uint64)
+        if len(np.unique(hashes)) != len(hashes):
+            raise ValueError("two pieces share a hash")
+        values = np.array([vocabulary.table[x] for x in names])
+        ids = np.array([vocabulary.ids.get(x, -1) for x in names], dtype=np.int32)
+        self.keys = np.zeros(2 << self.BITS, dtype=np.uint64)
+        self.values = np.full(2 << self.BITS, MISSING)
+        self.ids = np.full(2 << self.BITS, -1, dtype=np.int32)
+        one, two = (x.tolist() for x in self.slots(hashes))
+        owner: dict[int, int] = {}
+        for i in range(len(names)):
+            now, at = i, one[i]
+            while at in owner:  # put the former owner into its other slot
+                owner[at], now = now, owner[at]
+                at = two[now] if at == one[now] else one[now]
+            owner[at] = now
+        at, own = np.fromiter(owner, np.int64), np.fromiter(owner.values(), np.int64)
+        self.keys[at], self.values[at], self.ids[at] = hashes[own], values[own], ids[own]
+
+    @classmethod
+    def hash_of(cls, piece: str) -> int:
+        value = 0
+        for x in piece:
+            value = (value * int(cls.FACTOR) + ord(x) + 1) % (1 << 64)
+        return value
+
+    def slots(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = hashes ^ (hashes >> np.uint64(31))
+        one = (x * np.uint64(0xD1342543DE82EF95)) >> np.uint64(64 - self.BITS)
+        two = ((x * np.uint64(0xAF251AF3B0F025B5)) >> np.uint64(64 - self.BITS)) + np.uint64(1 << self.BITS)
+        return one.astype(np.int64), two.astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each hash, or -1."""
+        one, two = self.slots(hashes)
+        return np.where(self.keys[one] == hashes, one, np.where(self.keys[two] == hashes, two, -1))
+
 
 def load_vocabulary(path: str) -> Vocabulary:
     """The normal and byte pieces of a SentencePiece model file, with the scores that it gives."""
@@ -53,8 +111,9 @@ def load_vocabulary(path: str) -> Vocabulary:
             byte_ids[int(piece[3:5], 16)] = i
             names[i] = bytes([int(piece[3:5], 16)])
         elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
+            piece = piece.replace("▁", MARK)
             ids[piece] = i
-            names[i] = piece.replace(MARK, " ").encode()
+            names[i] = piece.encode()
             scores[i] = float(model.get_score(i))
     if any(MARK in p.lstrip(MARK) or "\n" in p for p in ids):
         raise ValueError("a piece crosses the bounds of units")
@@ -67,7 +126,7 @@ def load_vocabulary(path: str) -> Vocabulary:
 
 
 def prepare(text: str) -> str:
-    return MARK + text.replace(" ", MARK) if text else ""
+    return MARK + text if text else ""
 
 
 def arcs_from(unit: str, start: int, vocabulary: Vocabulary) -> list[tuple[int, tuple[int, ...]]]:

@@ -26,13 +26,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, pieces_of
-from .lattice import MISSING, UNITS, Vocabulary, arcs_from, load_vocabulary, prepare
+from .common import Scratch, byte_view, documents, pieces_of, unique_words
+from .lattice import MARK, MISSING, UNITS, PieceIndex, Vocabulary, arcs_from, load_vocabulary, prepare
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
-#: Units whose segmentations a worker keeps.
-CACHE_UNITS = 300_000
+#: Units whose N best a worker keeps.
+CACHE_UNITS = 30_000
+#: Characters of a unit beyond which it is segmented by itself; units that are segmented at once.
+LONG_UNIT, ROWS_AT_ONCE = 32, 2048
 NEVER = float("-inf")
 
 
@@ -118,56 +120,147 @@ def best_and_loss(unit: str, vocabulary: Vocabulary) -> tuple[tuple[int, ...], f
     return tuple(reversed(ids)), first[n], first[n] - second[n]
 
 
+def segment(units: list[str], index: PieceIndex, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`best_and_loss` of many units at once: flat ids, and for each unit their number, the score and the loss."""
+    counts, score, loss = np.zeros(len(units), dtype=np.int64), np.zeros(len(units)), np.zeros(len(units))
+    parts: list[np.ndarray | None] = [None] * len(units)
+    sizes = np.fromiter(map(len, units), np.int64, len(units))
+    order = np.argsort(sizes, kind="stable")
+    starts = np.searchsorted(sizes[order], np.arange(1, LONG_UNIT + 2))
+    for n in range(1, LONG_UNIT + 1):
+        for at in range(starts[n - 1], starts[n], ROWS_AT_ONCE):
+            own = order[at : min(starts[n], at + ROWS_AT_ONCE)]
+            chars = np.frombuffer("".join([units[i] for i in own.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
+            ids, number, score[own], loss[own] = _segment_alike(chars, index, vocabulary)
+            counts[own] = number
+            flat = ids[np.arange(ids.shape[1]) >= ids.shape[1] - number[:, None]]
+            for i, part in zip(own.tolist(), np.split(flat, np.cumsum(number)[:-1]), strict=True):
+                parts[i] = part
+    for i in order[starts[LONG_UNIT] :].tolist():
+        ids, score[i], loss[i] = best_and_loss(units[i], vocabulary)
+        parts[i] = np.array(ids, dtype=np.int32)
+        counts[i] = len(ids)
+    return np.concatenate(parts) if parts else np.zeros(0, np.int32), counts, score, loss
+
+
+def _segment_alike(chars: np.ndarray, index: PieceIndex, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Units with the same number of characters, one in each row: ids (at the right end of the rows), their number, score and loss."""
+    m, n = chars.shape
+    rows = np.arange(m)
+    wide = chars.astype(np.uint64) + np.uint64(1)
+    first, second = np.full((n + 1, m), NEVER), np.full((n + 1, m), NEVER)
+    first[0] = 0.0
+    back = np.ones((n + 1, m), dtype=np.int8)
+    arcs: list[np.ndarray] = []  # for each length: the score of the piece that starts at each position, or NEVER
+    at_row, at_pos = (x.ravel() for x in np.meshgrid(rows, np.arange(n), indexing="ij"))
+    code = np.zeros(m * n, dtype=np.uint64)
+    slot_of = np.full((min(n, index.longest) + 1, n, m), -1, dtype=np.int32)
+    for size in range(1, min(n, index.longest) + 1):
+        code = code * index.FACTOR + wide[at_row, at_pos + size - 1]
+        slot = index.find(code)
+        score = np.full((n, m), NEVER)
+        piece = (slot >= 0) & (index.values[slot] <= 0)
+        score[at_pos[piece], at_row[piece]] = index.values[slot[piece]]
+        slot_of[size, at_pos[piece], at_row[piece]] = slot[piece]
+        if size == 1:
+            alone = score == NEVER
+            if alone.any():
+                c = chars.T
+                length = 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000)
+                score = np.where(alone, vocabulary.byte_score * length, score)
+        arcs.append(score)
+        on = (slot >= 0) & (at_pos + size < n)
+        at_row, at_pos, code = at_row[on], at_pos[on], code[on]
+        if not len(code):
+            break
+    for stop in range(1, n + 1):
+        for size in range(min(stop, len(arcs)), 0, -1):  # of equal scores the longest last piece stays
+            x = first[stop - size] + arcs[size - 1][stop - size]
+            y = second[stop - size] + arcs[size - 1][stop - size]
+            better = x > first[stop]
+            second[stop] = np.where(better, np.maximum(first[stop], y), np.maximum(second[stop], x))
+            first[stop] = np.where(better, x, first[stop])
+            back[stop] = np.where(better, size, back[stop])
+    ids = np.zeros((m, 4 * n), dtype=np.int32)
+    number, at = np.zeros(m, dtype=np.int64), np.full(m, n)
+    left = rows
+    while len(left):
+        size = back[at[left], left].astype(np.int64)
+        start = at[left] - size
+        slot = slot_of[np.minimum(size, slot_of.shape[0] - 1), start, left]
+        known = slot >= 0
+        ids[left[known], 4 * n - 1 - number[left[known]]] = index.ids[slot[known]]
+        number[left[known]] += 1
+        for row, pos in zip(left[~known].tolist(), start[~known].tolist(), strict=True):
+            for x in reversed(chr(chars[row, pos]).encode("utf-8", "surrogatepass")):
+                ids[row, 4 * n - 1 - number[row]] = vocabulary.byte_ids[x]
+                number[row] += 1
+        at[left] = start
+        left = left[start > 0]
+    with np.errstate(invalid="ignore"):
+        return ids, number, first[n], first[n] - second[n]
+
+
+def units_of(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The units of all texts, flat, and the offsets of each text in them; what :data:`UNITS` finds in each prepared text."""
+    empty = pc.equal(pc.binary_length(text), 0)
+    marked = pc.if_else(empty, text, pc.binary_join_element_wise(MARK, text, ""))
+    flat, offsets = byte_view(marked)
+    begins = np.zeros(len(flat), dtype=bool)
+    if len(flat):
+        space, line = flat == 32, flat == 10
+        begins[1:] = (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+    at = np.flatnonzero(begins)
+    units = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(flat)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat)))
+    return units, np.searchsorted(at, offsets)
+
+
 class Encoder:
-    """Encodes texts with one vocabulary; keeps the segmentations of units it has met."""
+    """Encodes texts with one vocabulary."""
 
     def __init__(self, vocabulary: Vocabulary, n: int = N_BEST):
-        self.vocabulary, self.n = vocabulary, n
-        self.seen: dict[str, tuple[tuple[int, ...], float, float]] = {}
+        self.vocabulary, self.n, self.index = vocabulary, n, vocabulary.index()
         self.ways: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
 
-    def encode(self, text: str) -> tuple[list[int], list[float], list[tuple[int, ...]]]:
-        """(ids of the best segmentation, the scores of the N best, for each of these the units' ranks that differ from 0)."""
-        units = UNITS.findall(prepare(text))
-        seen, vocabulary = self.seen, self.vocabulary
-        if len(seen) > CACHE_UNITS:
-            seen.clear()
-        for unit in set(units):
-            if unit not in seen:
-                seen[unit] = best_and_loss(unit, vocabulary)
-        found = [seen[u] for u in units]
-        ids = [i for x in found for i in x[0]]
-        total = float(sum(x[1] for x in found))
-        loss = np.array([x[2] for x in found])
-        merged: list[tuple[float, tuple]] = [(0.0, ())]
-        if self.n > 1 and len(units):
-            few = np.argsort(loss, kind="stable")[: self.n - 1]
-            for at in sorted(few.tolist()):
-                ways = self.ways_of(units[at])
-                merged = sorted(((a + ways[0][0] - s, picks + (((at, k),) if k else ())) for a, picks in merged for k, (s, _) in enumerate(ways)), key=lambda x: x[0])[: self.n]
-        return ids, [total - lost for lost, _ in merged], [picks for _, picks in merged]
-
     def ways_of(self, unit: str) -> list[tuple[float, tuple[int, ...]]]:
-        if len(self.ways) > CACHE_UNITS // 10:
+        if len(self.ways) > CACHE_UNITS:
             self.ways.clear()
         if unit not in self.ways:
             self.ways[unit] = n_best(unit, self.vocabulary, self.n)
         return self.ways[unit]
 
+    def encode(self, text: pa.Array) -> Iterator[tuple[np.ndarray, list[float], list[dict[int, int]]]]:
+        """For each text: the ids of the best segmentation, the scores of the N best, and for each of these the rank of every unit that isn't at its best."""
+        units, offsets = units_of(text)
+        distinct, code = unique_words(units)
+        flat, counts, score, loss = segment(distinct.to_pylist(), self.index, self.vocabulary)
+        starts = np.concatenate([[0], np.cumsum(counts)])
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            own = code[a:b]
+            size = counts[own]
+            ends = np.cumsum(size)
+            ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[own] - (ends - size), size)]
+            merged: list[tuple[float, dict[int, int]]] = [(0.0, {})]
+            if self.n > 1 and b > a:
+                lost = loss[own]
+                few = np.argpartition(lost, self.n - 2)[: self.n - 1] if len(lost) >= self.n else np.arange(len(lost))
+                for at in sorted(few.tolist()):
+                    ways = self.ways_of(distinct[int(own[at])].as_py())
+                    merged = sorted(((x + ways[0][0] - s, {**picks, at: k} if k else picks) for x, picks in merged for k, (s, _) in enumerate(ways)), key=lambda x: x[0])[: self.n]
+            total = float(score[own].sum())
+            yield ids, [total - x for x, _ in merged], [picks for _, picks in merged]
+
     def alternatives(self, text: str) -> list[tuple[float, list[int]]]:
         """The N best segmentations of a whole text with their ids."""
         units = UNITS.findall(prepare(text))
-        _, scores, picks = self.encode(text)
-        out = []
-        for score, own in zip(scores, picks, strict=True):
-            ranks = dict(own)
-            out.append((score, [i for at, u in enumerate(units) for i in (self.ways_of(u)[ranks[at]][1] if at in ranks else self.seen[u][0])]))
-        return out
+        (_, scores, picks), *_ = self.encode(pa.array([text], pa.string()))
+        return [(score, [i for at, u in enumerate(units) for i in self.ways_of(u)[own.get(at, 0)][1]]) for score, own in zip(scores, picks, strict=True)]
 
 
-def decode(ids: list[int], vocabulary: Vocabulary) -> bytes:
+def decode(ids, vocabulary: Vocabulary) -> bytes:
     """The text (UTF-8) that pieces stand for."""
-    return b"".join(map(vocabulary.names.__getitem__, ids))[1:]
+    return b"".join(map(vocabulary.names.__getitem__, np.asarray(ids).tolist()))[1:]
 
 
 _encoders: dict[tuple[int, int], Encoder] = {}
@@ -196,20 +289,18 @@ def encode_documents(spark: SparkSession, docs: DataFrame, path: str = VOCABULAR
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared, n)
         vocabulary = shared.value
-        for batch in pieces_of(batches, limit=1 << 20):
+        for batch in pieces_of(batches):
             out: dict[str, list] = {k: [] for k in ("n_pieces", "pieces", "pieces_sha256", "best_score", "scores", "decoded_sha256", "round_trip")}
             text = pc.fill_null(batch.column("text"), "")
-            for x in text.to_pylist():
-                ids, scores, _ = encoder.encode(x)
+            for x, (ids, scores, _) in zip(text.cast(pa.binary()).to_pylist(), encoder.encode(text), strict=True):
                 back = decode(ids, vocabulary)
-                flat = np.array(ids, dtype=np.int32)
                 out["n_pieces"].append(len(ids))
-                out["pieces"].append(flat if with_pieces else None)
-                out["pieces_sha256"].append(hashlib.sha256(flat.astype("<i4").tobytes()).hexdigest())
+                out["pieces"].append(ids if with_pieces else None)
+                out["pieces_sha256"].append(hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest())
                 out["best_score"].append(scores[0])
                 out["scores"].append(scores)
                 out["decoded_sha256"].append(hashlib.sha256(back).hexdigest())
-                out["round_trip"].append(back == x.encode("utf-8", "surrogatepass"))
+                out["round_trip"].append(back == x)
             kinds = {"n_pieces": pa.int64(), "pieces": pa.list_(pa.int32()), "pieces_sha256": pa.string(), "best_score": pa.float64(), "scores": pa.list_(pa.float64()), "decoded_sha256": pa.string(), "round_trip": pa.bool_()}
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pc.utf8_length(text).cast(pa.int64()), *(pa.array(v, kinds[k]) for k, v in out.items())], names=["doc_id", "n_chars", *out]
