@@ -68,9 +68,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, si
     scratch = Scratch(spark, "decontaminate")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("row_key", row_key(docs))
-    found = scratch.write(windows(benchmark, size), "windows")
+    found = scratch.keep(windows(benchmark, size))
     small = found.count() <= BROADCAST_WINDOWS
-    keyed = scratch.write(with_prefix(found, docs, small), "prefixes")
+    keyed = scratch.keep(with_prefix(found, docs, small))
 
     parsed = docs.select("doc_id", "row_key", words(F.col("text")).alias("w"))
     tokens = parsed.select("doc_id", "row_key", "w", F.posexplode("w").alias("pos", "token"))
@@ -79,7 +79,6 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, si
     fits = pairs.where((start >= 0) & (start + F.size("window") <= F.size("w")))
     same = fits.where(F.slice("w", start + 1, F.size("window")) == F.col("window"))
     spans = same.select("doc_id", "row_key", F.struct(start.alias("a"), (start + F.size("window")).alias("b")).alias("span"), "items")
-    spans = scratch.write(spans, "spans")
     # A document has no more spans than words, and no more items than spans and the items that share a window.
     far = F.aggregate(
         F.array_sort("spans"),
