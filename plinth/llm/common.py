@@ -1,10 +1,12 @@
 """Helpers shared by the training-data operators: scratch tables, batches, tokens.
 
-Intermediate tables are written as Parquet under the folder that the session
-names in ``spark.checkpoint.dir`` (a folder that every executor can reach), so
-a lost executor costs only the tasks that it was running.  Where the setting is
-missing (unit tests on one machine) a temporary folder is made and kept for the
-session.
+Tables that must not be computed twice (they number rows, or end a round of a loop)
+are written as Parquet under the folder that the session names in
+``spark.checkpoint.dir`` (a folder that every executor can reach), which cuts their
+lineage.  Where the setting is missing (unit tests on one machine) a temporary folder
+is made and kept for the session.  Other tables that are read more than once are
+persisted on the executors' disks; what a lost executor held is computed again from
+its lineage, which is short.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 #: The characters of ``[\x20\x09-\x0D]``.
 SPACE = " \t\n\x0b\x0c\r"
@@ -27,6 +30,13 @@ BATCH_ROWS = 512
 BATCH_BYTES = 4 << 20
 
 _own_folder: dict[str, str] = {}
+_kept: list[DataFrame] = []
+
+
+def release() -> None:
+    """Drop what the operators keep on disk; results that aren't computed yet then compute it again."""
+    while _kept:
+        _kept.pop().unpersist()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,6 +67,15 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_small(self, df: DataFrame, name: str) -> DataFrame:
+        """:meth:`write` for a table with few bytes in each partition: an eighth of the files."""
+        return self.write(df.coalesce(max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8)), name)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Persist ``df`` on disk until :func:`release`."""
+        _kept.append(df.persist(StorageLevel.DISK_ONLY))
+        return _kept[-1]
+
     def drop(self, name: str) -> None:
         """Delete a table that no later plan reads."""
         jvm = self.spark.sparkContext._jvm
@@ -79,6 +98,20 @@ def pieces_of(batches: Iterator[pa.RecordBatch], column: str = "text", limit: in
             start = stop
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 * BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Put batches together until ``column`` holds about ``limit`` bytes, so that repeated words are handled once."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in pieces_of(batches, column, limit):
+        held.append(batch)
+        size += int(pc.fill_null(pc.sum(pc.binary_length(batch.column(column))), 0).as_py())
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def words_of(text: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     """The words ``[^\\x20\\x09-\\x0D]+`` of each text, flat, and the offsets of each text in them.
 

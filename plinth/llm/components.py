@@ -16,23 +16,23 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def _star(scratch: Scratch, pairs: DataFrame, name: str) -> DataFrame:
+def _star(scratch: Scratch, pairs: DataFrame) -> DataFrame:
     """(v, m) for each (u, v): m is the least of u and its v.
 
-    The minima are a written table: only a join of two plain exchanges can be split.
+    The minima are kept as a table: only a join of two plain exchanges can be split.
     """
-    least = scratch.write(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
+    least = scratch.keep(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     return pairs.join(least.hint("merge"), "u")
 
 
-def large_star(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
+def large_star(scratch: Scratch, edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    return _star(scratch, both, name).where("v > u").select(F.col("v").alias("b"), F.col("m").alias("a"))
+    return _star(scratch, both).where("v > u").select(F.col("v").alias("b"), F.col("m").alias("a"))
 
 
-def small_star(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
+def small_star(scratch: Scratch, edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    starred = _star(scratch, down, name)
+    starred = _star(scratch, down)
     own = starred.select(F.col("u").alias("b"), F.col("m").alias("a"))
     return own.unionByName(starred.select(F.col("v").alias("b"), F.col("m").alias("a"))).where("a <> b")
 
@@ -44,15 +44,14 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "links") -> DataF
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     clean = edges.where("a <> b").select(F.least("a", "b").cast("bigint").alias("a"), F.greatest("a", "b").cast("bigint").alias("b")).distinct()
-    current = scratch.write(clean, f"{name}-0")
+    current = scratch.write_small(clean, f"{name}-0")
     before, turn = mark(current), 0
     while before[0]:
         turn += 1
-        large = scratch.write(large_star(scratch, current, f"{name}-{turn}-least").distinct(), f"{name}-{turn}-large")
-        following = scratch.write(small_star(scratch, large, f"{name}-{turn}-lesser").distinct(), f"{name}-{turn}")
+        large = scratch.keep(large_star(scratch, current).distinct())
+        following = scratch.write_small(small_star(scratch, large).distinct(), f"{name}-{turn}")
         after = mark(following)
-        for gone in (f"{name}-{turn}-least", f"{name}-{turn}-large", f"{name}-{turn}-lesser", f"{name}-{turn - 1}"):
-            scratch.drop(gone)
+        scratch.drop(f"{name}-{turn - 1}")
         current = following
         if after == before:
             break

@@ -16,9 +16,9 @@ No group is ever expanded into all its pairs:
 * in each bucket every node is compared with the bucket's least node alone; the
   links found this way are closed to first components;
 * buckets whose nodes still lie in several components are compared further: there
-  the signatures (not pairs) are dealt to tasks in blocks, each task compares two
-  blocks in memory, leaves out what is one component already, and gives out only the
-  pairs whose signatures agree.
+  the signatures, then the full sets of those that agree with another, are dealt to
+  tasks in blocks; each task compares two blocks in memory, leaves out what is one
+  component already, and gives out only links that join two components.
 
 So every pair of every bucket is either connected already or has been compared, and
 a large group of near copies costs one comparison for each member.
@@ -55,6 +55,8 @@ HASHES = BANDS * ROWS
 SIGNATURE_FLOOR = 0.62
 #: Nodes of a bucket that a task compares with as many others at once.
 BLOCK = 512
+#: Shingles of the nodes in a block, about.
+BLOCK_SHINGLES = 250_000
 #: Bits of the bitmap that names the nodes to be verified, at most (32 MiB).
 MAX_BITS = 1 << 28
 
@@ -165,43 +167,87 @@ def _agreeing(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "sa", "sb").mapInArrow(make, "a bigint, b bigint")
 
 
-def _in_blocks(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes of different components whose signatures agree, within each cell.
+def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[int, list[list]]]:
+    """(cell, columns) of each run of equal ``cell``; the batches come sorted by it."""
+    held: list[list] = [[] for _ in columns]
+    at = None
+    for batch in batches:
+        for cell, *row in zip(*(batch.column(k).to_pylist() for k in ("cell", *columns)), strict=True):
+            if cell != at:
+                if at is not None and len(held[0]) > 1:
+                    yield at, held
+                held, at = [[] for _ in columns], cell
+            for to, x in zip(held, row, strict=True):
+                to.append(x)
+    if at is not None and len(held[0]) > 1:
+        yield at, held
 
-    ``rows``: cell, side, node, root, signature, sorted by cell.  Nodes of side 0 are compared with
-    each other and with those of side 1, nodes of side 1 not among themselves; nodes of side 2 with
-    those of side 1 alone.
+
+def _partners(i: int, side: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Who row ``i`` of a cell is compared with.
+
+    Rows of side 0 are compared with each other and with those of side 1, rows of side 1 not among
+    themselves, rows of side 2 with those of side 1 alone; each pair once, and none of one component.
     """
+    return np.flatnonzero((root != root[i]) & ((side != side[i]) | ((side == 0) & (np.arange(len(side)) > i))) & ((side[i] + side) != 2))
+
 
-    def compare(side, node, root, signatures) -> pa.RecordBatch:
-        side, node, root = np.array(side), np.array(node, dtype=np.int64), np.array(root, dtype=np.int64)
-        marks = np.frombuffer(b"".join(signatures), np.uint8).reshape(-1, HASHES)
-        left, right = [], []
-        for i in np.flatnonzero(side != 1):
-            # each pair once: within a side only with later ones
-            other = np.flatnonzero((root != root[i]) & ((side != side[i]) | ((side == 0) & (np.arange(len(side)) > i))) & ((side[i] + side) != 2))
-            if len(other):
-                good = other[agreement(marks[other], marks[i]) >= SIGNATURE_FLOOR]
-                left.append(np.full(len(good), node[i]))
-                right.append(node[good])
-        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], names=["a", "b"])
+def _open_rows(rows: DataFrame) -> DataFrame:
+    """The rows of cells (cell, side, node, root, band, signature) that have a partner whose signature agrees."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list, list, list] = ([], [], [], [])
-        at = None
-        for batch in batches:
-            for cell, *row in zip(*(batch.column(k).to_pylist() for k in ("cell", "side", "node", "root", "signature")), strict=True):
-                if cell != at:
-                    if at is not None and len(held[0]) > 1:
-                        yield compare(*held)
-                    held, at = ([], [], [], []), cell
-                for to, x in zip(held, row, strict=True):
-                    to.append(x)
-        if at is not None and len(held[0]) > 1:
-            yield compare(*held)
+        for cell, (side, node, root, band, signatures) in _groups(batches, ("side", "node", "root", "band", "signature")):
+            sides, roots = np.array(side), np.array(root, dtype=np.int64)
+            marks = np.frombuffer(b"".join(signatures), np.uint8).reshape(-1, HASHES)
+            hit = np.zeros(len(side), dtype=bool)
+            for i in np.flatnonzero(sides != 1):
+                other = _partners(i, sides, roots)
+                good = other[agreement(marks[other], marks[i]) >= SIGNATURE_FLOOR] if len(other) else other
+                if len(good):
+                    hit[i] = hit[good] = True
+            at = np.flatnonzero(hit).tolist()
+            if at:
+                pick = lambda x, kind: pa.array([x[k] for k in at], kind)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array([cell] * len(at), pa.int64()), pick(side, pa.int32()), pick(node, pa.int64()), pick(root, pa.int64()), pick(band, pa.int64())], names=["cell", "side", "node", "root", "band"])
+
+    return rows.select("cell", "side", "node", "root", "band", "signature").mapInArrow(make, "cell bigint, side int, node bigint, root bigint, band bigint")
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets (sorted distinct hashes) are linked."""
+    if 100 * min(len(x), len(y)) < NUMERATOR * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= NUMERATOR * (len(x) + len(y) - both)
+
+
+def _links_in_cells(rows: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components within each cell, verified on the full sets: a spanning forest of all of its links.
+
+    ``rows``: those of :func:`_open_rows` with signature, bands and shingles.  A pair that shares
+    several buckets is looked at in the first of them alone.
+    """
 
-    return rows.select("cell", "side", "node", "root", "signature").mapInArrow(make, "a bigint, b bigint")
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (side, node, root, band, signatures, bands, sets) in _groups(batches, ("side", "node", "root", "band", "signature", "bands", "shingles")):
+            sides, keys = np.array(side), np.array(bands, dtype=np.int64)
+            _, roots = np.unique(np.array(root, dtype=np.int64), return_inverse=True)
+            marks = np.frombuffer(b"".join(signatures), np.uint8).reshape(-1, HASHES)
+            found = [np.frombuffer(x, np.uint64) for x in sets]
+            left, right = [], []
+            for i in np.flatnonzero(sides != 1):
+                other = _partners(i, sides, roots)
+                other = other[(keys[i] == keys[other]).argmax(axis=1) == int(np.flatnonzero(keys[i] == band[i])[0])] if len(other) else other
+                score = agreement(marks[other], marks[i]) if len(other) else np.zeros(0)
+                for j in other[np.argsort(-score, kind="stable")][: int((score >= SIGNATURE_FLOOR).sum())].tolist():
+                    if roots[j] != roots[i] and similar(found[i], found[j]):
+                        left.append(min(node[i], node[j]))
+                        right.append(max(node[i], node[j]))
+                        roots[roots == roots[j]] = roots[i]
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return rows.select("cell", "side", "node", "root", "band", "signature", "bands", "shingles").mapInArrow(make, "a bigint, b bigint")
 
 
 def _slot(key: bytes, bits: int) -> int:
@@ -239,16 +285,11 @@ def _text_key(text: bytes) -> bytes:
     return hashlib.blake2b(text, digest_size=16).digest()
 
 
-def _verified(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) of nodes that are linked by their full sets."""
-    count = pairs.count()
-    if not count:
-        return pairs
+def _sets(scratch: Scratch, docs: DataFrame, asked: DataFrame, count: int) -> DataFrame:
+    """(key, shingles) of the texts named by ``asked`` (key; about ``count`` rows), and of some more."""
     bits = 1 << 16
     while bits < MAX_BITS and bits < 32 * count:
         bits *= 2
-    keys = nodes.select("node", "key")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(keys, "node")
     bitmap = scratch.spark.sparkContext.broadcast(_bitmap(asked, bits))  # MAX_BITS / 8 bytes at most
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,41 +310,46 @@ def _verified(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFr
                 found = [x.tobytes() for x in shingles(text.take(pa.array(hit)))]
                 yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in hit], pa.binary()), pa.array(found, pa.binary())], names=["key", "shingles"])
 
-    whole = docs.select("text").mapInArrow(sets, "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
-    whole = scratch.write(whole, f"{name}-sets")
+    return scratch.keep(docs.select("text").mapInArrow(sets, "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles")))
+
+
+def _verified(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that are linked by their full sets."""
+    count = pairs.count()
+    if not count:
+        return pairs
+    keys = nodes.select("node", "key")
+    whole = _sets(scratch, docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(keys, "node"), count)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= NUMERATOR * max(len(x), len(y)) else 0
-                good.append(100 * both >= NUMERATOR * (len(x) + len(y) - both))
+            good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     # A node with many pairs is one row of the right side in both joins; its pairs on the left are split.
     named = pairs.join(keys.withColumnsRenamed({"node": "b", "key": "kb"}).hint("merge"), "b").join(whole.withColumnsRenamed({"key": "kb", "shingles": "y"}).hint("merge"), "kb").drop("kb")
     named = named.join(keys.withColumnsRenamed({"node": "a", "key": "ka"}).hint("merge"), "a").join(whole.withColumnsRenamed({"key": "ka", "shingles": "x"}).hint("merge"), "ka")
-    out = scratch.write(named.select("a", "b", "x", "y").mapInArrow(linked, "a bigint, b bigint"), f"{name}-links")
-    scratch.drop(f"{name}-sets")
-    return out
+    return named.select("a", "b", "x", "y").mapInArrow(linked, "a bigint, b bigint")
 
 
-def _rest(scratch: Scratch, members: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Candidates (a, b) in the buckets whose nodes lie in several components.
+def _rest(scratch: Scratch, docs: DataFrame, members: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components within the buckets whose nodes lie in several of them.
 
     In each bucket the component of the least node is ``near``, the nodes of all others are ``far``.
     Both are dealt into blocks of about BLOCK nodes; a cell holds a block of far nodes and one of
-    either kind.
+    either kind.  The rows of a cell that have a partner by their signatures come back with their
+    full sets, and only then are compared exactly.
     """
     known = members.select("band", "node").join(roots.hint("merge"), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    known = scratch.write(known, "known")
+    known = scratch.keep(known)
     buckets = known.groupBy("band").agg(F.min(F.struct("node", "root")).alias("lead"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band", F.col("lead.root").alias("near"))
-    buckets = scratch.write(buckets, "buckets")
+    buckets = scratch.keep(buckets)
     open_ = known.join(buckets.hint("merge"), "band")
     is_near = F.col("root") == F.col("near")
-    sizes = open_.groupBy("band").agg(F.ceil(F.count_if(is_near) / BLOCK).cast("int").alias("kp"), F.ceil(F.count_if(~is_near) / BLOCK).cast("int").alias("ko"))
-    sizes = scratch.write(sizes, "sizes")
+    open_ = open_.join(nodes.select("node", "n_shingles").hint("merge"), "node")
+    blocks = lambda on: F.ceil(F.sum(F.when(on, F.greatest(F.lit(1.0 / BLOCK), F.col("n_shingles") / BLOCK_SHINGLES)).otherwise(0.0))).cast("int")
+    sizes = open_.groupBy("band").agg(blocks(is_near).alias("kp"), blocks(~is_near).alias("ko"))
+    sizes = scratch.keep(sizes)
     dealt = open_.join(sizes.hint("merge"), "band")
     block = F.pmod(F.xxhash64("node", "band"), F.when(is_near, F.col("kp")).otherwise(F.col("ko"))).cast("int")
     dealt = dealt.withColumn("block", block)
@@ -315,9 +361,16 @@ def _rest(scratch: Scratch, members: DataFrame, roots: DataFrame, nodes: DataFra
     with_near = F.transform(F.sequence(F.lit(0), F.col("kp") - 1), lambda j: cell(0, F.col("block"), j, F.when(j == 0, 0).otherwise(2)))
     others = F.filter(F.sequence(F.lit(0), F.col("ko") - 1), lambda j: j != F.col("block"))
     with_far = F.transform(others, lambda j: cell(1, F.least(j, F.col("block")), F.greatest(j, F.col("block")), F.when(j > F.col("block"), 2).otherwise(1)))
-    cells = dealt.select("node", "root", F.explode(F.when(is_near, near_cells).otherwise(F.concat(with_near, with_far))).alias("c")).select("node", "root", "c.cell", "c.side")
+    cells = dealt.select("node", "root", "band", F.explode(F.when(is_near, near_cells).otherwise(F.concat(with_near, with_far))).alias("c")).select("node", "root", "band", "c.cell", "c.side")
     marked = cells.join(nodes.select("node", "signature").hint("merge"), "node")
-    return _in_blocks(marked.repartition("cell").sortWithinPartitions("cell")).distinct()
+    rows = scratch.write_small(_open_rows(marked.repartition("cell").sortWithinPartitions("cell")), "open-rows")
+    count = rows.count()
+    if not count:
+        return rows.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    keyed = rows.join(nodes.select("node", "key", "signature", "bands").hint("merge"), "node")
+    whole = _sets(scratch, docs, keyed.select("key").distinct(), count)
+    full = keyed.join(whole.hint("merge"), "key")
+    return _links_in_cells(full.repartition("cell").sortWithinPartitions("cell"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, row_id: str | None = None) -> DataFrame:
@@ -334,30 +387,29 @@ def near_dedup(spark: SparkSession, docs: DataFrame, row_id: str | None = None)
     nodes = (
         rows.where(F.col("set_hash").isNotNull())
         .groupBy("set_hash")
-        .agg(F.min(F.struct("row_id", "key")).alias("one"), F.min(own).alias("best"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
-        .select("set_hash", F.col("one.row_id").alias("node"), F.col("one.key").alias("key"), "best", "signature", "bands")
+        .agg(F.min(F.struct("row_id", "key")).alias("one"), F.min(own).alias("best"), F.first("signature").alias("signature"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles"))
+        .select("set_hash", F.col("one.row_id").alias("node"), F.col("one.key").alias("key"), "best", "signature", "bands", "n_shingles")
     )
-    nodes = scratch.write(nodes, "nodes")
+    nodes = scratch.keep(nodes)
 
     in_bands = nodes.select("node", F.explode("bands").alias("band"))
-    # Written first, here and below: only a join of two plain exchanges can be split by the adaptive engine.
-    leads = scratch.write(in_bands.groupBy("band").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "lead"), "leads")
-    members = scratch.write(in_bands.join(leads.hint("merge"), "band"), "members")
+    # Kept as a table, here and below: only a join of two plain exchanges can be split by the adaptive engine.
+    leads = scratch.keep(in_bands.groupBy("band").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "lead"))
+    members = scratch.write_small(in_bands.join(leads.hint("merge"), "band"), "members")
     stars = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     marks = nodes.select("node", "signature")
     stars = stars.join(marks.withColumnsRenamed({"node": "b", "signature": "sb"}).hint("merge"), "b").join(marks.withColumnsRenamed({"node": "a", "signature": "sa"}).hint("merge"), "a")
-    first = scratch.write(_agreeing(stars), "first-pairs")
-    roots = components(scratch, _verified(scratch, docs, nodes, first, "first"), "first")
+    first = scratch.write_small(_agreeing(stars), "first-pairs")
+    roots = components(scratch, _verified(scratch, docs, nodes, first), "first")
 
-    second = scratch.write(_rest(scratch, members, roots, nodes).join(first, ["a", "b"], "left_anti"), "second-pairs")
-    more = _verified(scratch, docs, nodes, second, "second")
+    more = _rest(scratch, docs, members, roots, nodes)
     at = roots.withColumnsRenamed({"node": "a", "root": "ra"})
     bt = roots.withColumnsRenamed({"node": "b", "root": "rb"})
     merged = more.join(at, "a", "left").join(bt, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     joined = components(scratch, merged, "second").select(F.col("root").alias("top"), F.col("node").alias("root"))
     where = nodes.select("set_hash", "node", "best").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(joined, "root", "left").withColumn("top", F.coalesce("top", "root"))
-    where = scratch.write(where.select("set_hash", "top", "best"), "where")
-    best = scratch.write(where.groupBy("top").agg(F.min("best").alias("win")), "best")
+    where = scratch.write_small(where.select("set_hash", "top", "best"), "where")
+    best = scratch.keep(where.groupBy("top").agg(F.min("best").alias("win")))
     # Nodes of a large component on the left are split; so are the copies of one set in the next join.
     of_set = where.select("set_hash", "top").join(best.hint("merge"), "top").select("set_hash", "win")
     full = rows.where(F.col("set_hash").isNotNull()).select("set_hash", "doc_id", "row_id", "n_shingles").join(of_set.hint("merge"), "set_hash")
