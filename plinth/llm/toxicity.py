@@ -2,7 +2,7 @@
 
 A document is a bag of sentences (cut after ``.``, ``!``, ``?`` and at line ends) and
 is toxic if one of them is.  A sentence has the probability sigmoid(bias + sum of
-the weights of its distinct hashed words); the document's is the noisy-or over its
+the weights of its distinct hashed words and word beginnings); the document's is the noisy-or over its
 sentences, 1 - prod(1 - p).  Weights are learned from document labels alone, by
 gradient descent on the noisy-or likelihood, over a bounded sample (SAMPLE labelled
 rows); the trained weights then locate the sentences that offend.
@@ -33,6 +33,8 @@ SAMPLE = 4000
 BUCKETS = 1 << 18
 #: A word must stand in so many documents of the sample to get a weight.
 MIN_DOCS = 8
+#: Lengths of the word beginnings that are features too.
+PREFIXES = (4, 5)
 MODULUS, HELD_OUT = 5, 0
 BIAS = -6.0
 #: A document is rejected from this score on.
@@ -53,8 +55,11 @@ def sentences(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     distinct, code = unique_words(words)
     ends = np.asarray(pc.fill_null(pc.match_substring_regex(distinct, r"[.!?\x1e][\"')\]]*$"), False))
     plain = pc.ascii_trim(distinct, characters="".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + BREAK)
-    feature = (mixed(string_hashes(plain)) & np.uint64(BUCKETS - 1)).astype(np.int64)
-    says = np.asarray(pc.greater(pc.binary_length(plain), 0))
+    # a word, and its beginnings, which inflected forms share
+    forms = [plain, *(pc.utf8_slice_codeunits(plain, 0, n) for n in PREFIXES)]
+    feature = np.stack([(mixed(string_hashes(x, seed)) & np.uint64(BUCKETS - 1)).astype(np.int64) for seed, x in enumerate(forms)])
+    size = np.asarray(pc.utf8_length(plain))
+    says = np.stack([size > 0, *(size > n for n in PREFIXES)])
     # A sentence begins at each text's start and after each end.
     begins = np.zeros(len(code) + 1, dtype=bool)
     if len(code):
@@ -70,8 +75,8 @@ def sentences(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     shift = np.cumsum(empty) if len(empty) else np.zeros(0, int)
     text_of = np.searchsorted(offsets, np.arange(len(code)), side="right") - 1
     number = number + shift[text_of] if len(code) else number
-    keep = says[code]
-    pair = np.unique(number[keep] * BUCKETS + feature[code[keep]]) if keep.any() else np.zeros(0, np.int64)
+    found = [number[keep] * BUCKETS + f[code[keep]] for f, on in zip(feature, says, strict=True) for keep in [on[code]]]
+    pair = np.unique(np.concatenate(found))
     return pair // BUCKETS, pair % BUCKETS, starts
 
 
