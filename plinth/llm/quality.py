@@ -1,8 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
 Every word, and every character n-gram of the word between ``<`` and ``>``, is hashed
-to a bucket with a learned vector; a document is the average of the vectors of all its
-words and n-grams, and a softmax layer over it gives the probabilities of both labels.
+to a bucket with a learned vector; so is the pair of a word with itself, one feature for all
+words.  A document is the average of the vectors of all its features, and a softmax layer over it gives the probabilities of both labels.
 Vectors and layer are trained together by stochastic gradient descent in numpy, on a
 bounded sample (SAMPLE labelled rows).
 
@@ -38,6 +38,17 @@ GRAMS = (3, 4)
 EPOCHS = 4
 RATE = 0.6
 MODULUS, HELD_OUT = 3, 1
+#: The bucket of a word that repeats the one before it.
+SAME = 0
+
+
+def repeats(code: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How often a word follows itself in each text."""
+    same = np.zeros(len(code) + 1, dtype=np.int64)
+    if len(code) > 1:
+        same[2:] = np.cumsum(code[1:] == code[:-1])
+    a, b = offsets[:-1], offsets[1:]
+    return np.where(b > a, same[b] - same[np.minimum(a + 1, len(code))], 0)
 
 
 @dataclass(frozen=True)
@@ -109,11 +120,13 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
             bucket = bucket[order]
             per = np.bincount(owner, minlength=len(distinct))
             starts = np.concatenate([[0], np.cumsum(per)])
+            same = repeats(code, offsets)
             for i, (doc_id, y) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("y").to_pylist(), strict=True)):
                 some, times = np.unique(code[offsets[i] : offsets[i + 1]], return_counts=True)
                 count = np.zeros(BUCKETS)
                 for w, t in zip(some.tolist(), times.tolist(), strict=True):
                     np.add.at(count, bucket[starts[w] : starts[w + 1]], t)
+                count[SAME] += same[i]
                 at = np.flatnonzero(count)
                 share = (count[at] / max(1.0, count.sum())).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([y], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([share.tobytes()], pa.binary())], names=["doc_id", "y", "at", "share"])
@@ -132,7 +145,8 @@ def margins(model: Model, text: pa.Array) -> np.ndarray:
     size = np.bincount(owner, minlength=len(distinct))
     sums = np.concatenate([[0.0], np.cumsum(value[code])])
     sizes = np.concatenate([[0], np.cumsum(size[code])])
-    top, n = sums[offsets[1:]] - sums[offsets[:-1]], sizes[offsets[1:]] - sizes[offsets[:-1]]
+    same = repeats(code, offsets)
+    top, n = sums[offsets[1:]] - sums[offsets[:-1]] + same * model.value[SAME], sizes[offsets[1:]] - sizes[offsets[:-1]] + same
     return top / np.maximum(n, 1) + model.bias
 
 
