@@ -11,6 +11,7 @@ character that no piece holds is written with its byte pieces.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,8 @@ MARK = " "
 PREFIX, MISSING = 1.0, 2.0
 #: Pieces with this score or less are reserved strings of the vocabulary.
 NEVER_MADE = -1e8
+#: Characters of a unit up to which it is handled together with others of its length; units that are handled at once.
+LONG_UNIT, ROWS_AT_ONCE = 32, 2048
 UNITS = re.compile(r"\n| *[^ \n]+| +")
 
 
@@ -142,3 +145,41 @@ def arcs_from(unit: str, start: int, vocabulary: Vocabulary) -> list[tuple[int,
     if not found or found[0][0] != start + 1:
         found.append((start + 1, tuple(vocabulary.byte_ids[b] for b in unit[start].encode("utf-8", "surrogatepass"))))
     return found
+
+
+def same_length(units: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Groups of units of one length: their indexes and characters (a row for each); then those that are too long, without characters."""
+    sizes = np.fromiter(map(len, units), np.int64, len(units))
+    order = np.argsort(sizes, kind="stable")
+    starts = np.searchsorted(sizes[order], np.arange(1, LONG_UNIT + 2))
+    for n in range(1, LONG_UNIT + 1):
+        for at in range(starts[n - 1], starts[n], ROWS_AT_ONCE):
+            own = order[at : min(starts[n], at + ROWS_AT_ONCE)]
+            yield own, np.frombuffer("".join([units[i] for i in own.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
+    if starts[LONG_UNIT] < len(units):
+        yield order[starts[LONG_UNIT] :], None
+
+
+def arc_slots(chars: np.ndarray, index: PieceIndex) -> np.ndarray:
+    """For units in rows: the index slot of the piece of each size (first axis, from 0) at each position of each unit, or -1."""
+    m, n = chars.shape
+    wide = chars.astype(np.uint64) + np.uint64(1)
+    at_row, at_pos = (x.ravel() for x in np.meshgrid(np.arange(m), np.arange(n), indexing="ij"))
+    code = np.zeros(m * n, dtype=np.uint64)
+    found = []
+    for size in range(1, min(n, index.longest) + 1):
+        code = code * index.FACTOR + wide[at_row, at_pos + size - 1]
+        slot = index.find(code)
+        piece = (slot >= 0) & (index.values[slot] <= 0)
+        here = np.full((n, m), -1, dtype=np.int32)
+        here[at_pos[piece], at_row[piece]] = slot[piece]
+        found.append(here)
+        on = (slot >= 0) & (at_pos + size < n)
+        at_row, at_pos, code = at_row[on], at_pos[on], code[on]
+        if not len(code):
+            break
+    return np.stack(found)
+
+
+def utf8_length(chars: np.ndarray) -> np.ndarray:
+    return 1 + (chars >= 0x80).astype(np.int64) + (chars >= 0x800) + (chars >= 0x10000)

@@ -42,15 +42,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc32_mod, documents, mixed, pieces_of, string_hashes, unique_words, words_of
-from .lattice import MARK, Vocabulary, arcs_from, load_vocabulary
+from .common import BATCH_BYTES, Scratch, crc32_mod, documents, gathered, mixed, pieces_of, string_hashes, unique_words, words_of
+from .lattice import MARK, PieceIndex, Vocabulary, arc_slots, arcs_from, load_vocabulary, same_length
 from .sentencepiece_coding import VOCABULARY
 
 MODULUS, HELD_OUT = 7, 2
 #: Words that are broadcast at most.
 HEAD = 1 << 17
-#: Words whose counts a task holds before it gives them out.
-HELD_WORDS = 400_000
+#: Bytes of words whose lattices are summed at once.
+WORD_BYTES = 1 << 18
 #: Latent classes of texts, training texts that they are found on (at most), and the buckets of their hashed words.
 CLASSES, CLASS_SAMPLE, CLASS_BUCKETS = 8, 3000, 4096
 #: What every piece is given beside its expected count.
@@ -62,17 +62,19 @@ END = " "
 
 @dataclass(frozen=True)
 class Pieces:
-    """ln probabilities: ``table`` has those of pieces (0 at most) and 1 for what is only the beginning of one; ``bytes_`` those of the byte pieces."""
+    """ln probabilities: ``logs`` by id, ``table`` by piece (and 1 for what is only the beginning of one), ``bytes_`` of the byte pieces."""
 
     table: dict[str, float]
     bytes_: list[float]
+    logs: np.ndarray
+    index: PieceIndex
 
 
 def pieces(vocabulary: Vocabulary, weights: np.ndarray) -> Pieces:
     logs = np.log(weights / weights.sum())
     table = {k: 1.0 for k, v in vocabulary.table.items() if v > 0}
     table.update((p, float(logs[i])) for p, i in vocabulary.ids.items())
-    return Pieces(table, [float(logs[i]) for i in vocabulary.byte_ids])
+    return Pieces(table, [float(logs[i]) for i in vocabulary.byte_ids], logs, vocabulary.index())
 
 
 def first_weights(vocabulary: Vocabulary) -> np.ndarray:
@@ -108,50 +110,80 @@ def marginal(unit: str, p: Pieces) -> float:
     return total[n]
 
 
-def expect(unit: str, times: float, vocabulary: Vocabulary, weights: np.ndarray, into: dict[int, float]) -> None:
-    """Add the expected piece counts of ``times`` occurrences of a unit, by forward and backward sums scaled at each position."""
+def marginals(units: list[str], p: Pieces) -> np.ndarray:
+    """:func:`marginal` of many units at once."""
+    out = np.zeros(len(units))
+    index = p.index
+    logs = np.where(index.ids >= 0, p.logs[index.ids], -np.inf)
+    for own, chars in same_length(units):
+        if chars is None:
+            out[own] = [marginal(units[i], p) for i in own.tolist()]
+            continue
+        n = chars.shape[1]
+        slots = arc_slots(chars, index)
+        arcs = np.where(slots >= 0, logs[slots], -np.inf)
+        for pos, row in zip(*np.nonzero(slots[0] < 0), strict=True):
+            arcs[0, pos, row] = sum(p.bytes_[x] for x in chr(chars[row, pos]).encode("utf-8", "surrogatepass"))
+        total = np.full((n + 1, len(own)), -np.inf)
+        total[0] = 0.0
+        for stop in range(1, n + 1):
+            for size in range(1, min(stop, len(arcs)) + 1):
+                total[stop] = np.logaddexp(total[stop], total[stop - size] + arcs[size - 1, stop - size])
+        out[own] = total[n]
+    return out
+
+
+def expected(units: list[str], times: np.ndarray, vocabulary: Vocabulary, index: PieceIndex, weights: np.ndarray) -> np.ndarray:
+    """Expected piece counts of ``times`` occurrences of each unit: forward and backward sums over its lattice."""
+    found = np.zeros(len(weights))
+    of_slot = np.where(index.ids >= 0, weights[index.ids], 0.0)
+    for own, chars in same_length(units):
+        if chars is None:
+            for i in own.tolist():
+                _expected_long(units[i], float(times[i]), vocabulary, weights, found)
+            continue
+        n = chars.shape[1]
+        slots = arc_slots(chars, index)
+        arcs = np.where(slots >= 0, of_slot[slots], 0.0)
+        lone = list(zip(*(x.tolist() for x in np.nonzero(slots[0] < 0)), strict=True))
+        for pos, row in lone:
+            arcs[0, pos, row] = math.prod(weights[vocabulary.byte_ids[x]] for x in chr(chars[row, pos]).encode("utf-8", "surrogatepass"))
+        forward, backward = np.zeros((n + 1, len(own))), np.zeros((n + 1, len(own)))
+        forward[0] = 1.0
+        for stop in range(1, n + 1):
+            for size in range(1, min(stop, len(arcs)) + 1):
+                forward[stop] += forward[stop - size] * arcs[size - 1, stop - size]
+        safe = forward[n] > 1e-250
+        for i in own[~safe].tolist():
+            _expected_long(units[i], float(times[i]), vocabulary, weights, found)
+        backward[n] = np.where(safe, times[own] / np.where(safe, forward[n], 1.0), 0.0)
+        for start in range(n - 1, -1, -1):
+            for size in range(1, min(n - start, len(arcs)) + 1):
+                share = arcs[size - 1, start] * backward[start + size]
+                backward[start] += share
+                slot = slots[size - 1, start]
+                on = slot >= 0
+                found += np.bincount(index.ids[slot[on]], (share * forward[start])[on], minlength=len(found))
+        for pos, row in lone:
+            for x in chr(chars[row, pos]).encode("utf-8", "surrogatepass"):
+                found[vocabulary.byte_ids[x]] += forward[pos, row] * arcs[0, pos, row] * backward[pos + 1, row]
+    return found
+
+
+def _expected_long(unit: str, times: float, vocabulary: Vocabulary, weights: np.ndarray, found: np.ndarray) -> None:
+    """:func:`expected` of one unit in log space, for long units and those whose probabilities leave the range of doubles."""
     n = len(unit)
-    arcs = []
-    forward = [0.0] * (n + 1)
-    forward[0] = 1.0
-    scale = [1.0] * (n + 1)
-    for start in range(n):
-        if 0.0 < forward[start] < 1e-100:  # scale this and later positions up alike
-            factor = 1.0 / forward[start]
-            scale[start] = factor
-            for k in range(start, n + 1):
-                forward[k] *= factor
-        for stop, ids in arcs_from(unit, start, vocabulary):
-            w = weights[ids[0]] if len(ids) == 1 else math.prod(weights[i] for i in ids)
-            arcs.append((start, stop, ids, w))
-            forward[stop] += forward[start] * w
-    if any(s != 1.0 for s in scale):
-        return _expect_long(arcs, n, times, into)
-    backward = [0.0] * (n + 1)
-    backward[n] = times / forward[n]
-    for start, stop, ids, w in reversed(arcs):
-        share = w * backward[stop]
-        backward[start] += share
-        share *= forward[start]
-        for i in ids:
-            into[i] = into.get(i, 0.0) + share
-    return None
-
-
-def _expect_long(arcs: list, n: int, times: float, into: dict[int, float]) -> None:
-    """The same in log space, for units whose probabilities leave the range of doubles."""
-    add = np.logaddexp
+    arcs = [(start, stop, ids, sum(math.log(weights[i]) for i in ids)) for start in range(n) for stop, ids in arcs_from(unit, start, vocabulary)]
     forward, backward = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
     forward[0] = backward[n] = 0.0
-    logs = [math.log(w) if w else -1e6 for *_, w in arcs]
-    for (start, stop, _, _), w in zip(arcs, logs, strict=True):
-        forward[stop] = float(add(forward[stop], forward[start] + w))
-    for (start, stop, _, _), w in zip(reversed(arcs), reversed(logs), strict=True):
-        backward[start] = float(add(backward[start], backward[stop] + w))
-    for (start, stop, ids, _), w in zip(arcs, logs, strict=True):
+    for start, stop, _, w in arcs:
+        forward[stop] = float(np.logaddexp(forward[stop], forward[start] + w))
+    for start, stop, _, w in reversed(arcs):
+        backward[start] = float(np.logaddexp(backward[start], backward[stop] + w))
+    for start, stop, ids, w in arcs:
         share = times * math.exp(min(0.0, forward[start] + w + backward[stop] - forward[n]))
         for i in ids:
-            into[i] = into.get(i, 0.0) + share
+            found[i] += share
 
 
 @dataclass(frozen=True)
@@ -224,30 +256,16 @@ def word_counts(docs: DataFrame, classes: Classes) -> DataFrame:
     kinds = len(classes.prior)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict[str, int]] = [{} for _ in range(kinds)]
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for k, one in enumerate(held):
-                if one:
-                    yield pa.RecordBatch.from_arrays([pa.array(one, pa.string()), pa.array([k] * len(one), pa.int32()), pa.array(one.values(), pa.int64())], names=["word", "k", "n"])
-                one.clear()
-
-        for batch in pieces_of(batches):
+        for batch in gathered(batches):
             tokens, offsets = words_of(batch.column("text"))
             distinct, code = unique_words(tokens)
             of_text = shared.value.of(distinct, code, offsets)
-            for k, n in enumerate(np.bincount(of_text, minlength=kinds).tolist()):
-                if n:
-                    held[k][END] = held[k].get(END, 0) + n
-            of_token = np.repeat(of_text, np.diff(offsets))
-            names = distinct.to_pylist()
-            pair = np.bincount(of_token * len(distinct) + code, minlength=kinds * len(distinct))
-            for at in np.flatnonzero(pair).tolist():
-                k, w = divmod(at, len(distinct))
-                held[k][names[w]] = held[k].get(names[w], 0) + int(pair[at])
-            if sum(map(len, held)) > HELD_WORDS:
-                yield from flush()
-        yield from flush()
+            pair = np.bincount(np.repeat(of_text, np.diff(offsets)) * len(distinct) + code, minlength=kinds * len(distinct))
+            at = np.flatnonzero(pair)
+            texts = np.bincount(of_text, minlength=kinds)
+            words = pa.concat_arrays([distinct.take(pa.array(at % max(1, len(distinct)))), pa.array([END] * kinds)])
+            k = np.concatenate([at // max(1, len(distinct)), np.arange(kinds)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([words, pa.array(k), pa.array(np.concatenate([pair[at], texts]))], names=["word", "k", "n"])
 
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(make, "word string, k int, n bigint")
     parts = [F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)) for k in range(kinds)]
@@ -258,15 +276,15 @@ def fit_pieces(counts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     """Piece weights after one expectation-maximisation pass over all counted words."""
     start = first_weights(vocabulary)
     start = start / start.sum()
-    shared = counts.sparkSession.sparkContext.broadcast((vocabulary, start.tolist()))
+    shared = counts.sparkSession.sparkContext.broadcast((vocabulary, vocabulary.index(), start))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, float] = {}
-        own, weights = shared.value
-        for batch in batches:
-            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                expect(MARK + word, float(n), own, weights, found)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(found.values(), pa.float64())], names=["piece", "n"])
+        own, index, weights = shared.value
+        found = np.zeros(len(weights))
+        for batch in gathered(batches, "word", WORD_BYTES):
+            found += expected([MARK + x for x in batch.column("word").to_pylist()], np.asarray(batch.column("n"), dtype=np.float64), own, index, weights)
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(found[at])], names=["piece", "n"])
 
     weights = np.full(len(start), SMOOTHING)
     for piece, n in counts.mapInArrow(make, "piece int, n double").groupBy("piece").agg(F.sum(F.col("n").cast("decimal(38,9)")).cast("double").alias("n")).collect():  # a row for each piece
@@ -284,7 +302,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, path: str = VOCABULARY
     training = docs.where(~F.col("held_out"))
     classes = fit_classes(training)
     kinds = len(classes.prior)
-    every = scratch.write(word_counts(training, classes), "counts")
+    every = scratch.keep(word_counts(training, classes))
     counts = every.where(F.col("word") != END)
     by = [F.col("by")[k] for k in range(kinds)]
     ones, twos = lambda c: F.count_if(c == 1), lambda c: F.count_if(c == 2)
@@ -306,10 +324,10 @@ def score_documents(spark: SparkSession, docs: DataFrame, path: str = VOCABULARY
 
     def with_marginals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), batch.column("by"), pa.array([marginal(MARK + w, p) for w in batch.column("word").to_pylist()], pa.float64())], names=["word", "c", "by", "ln_pieces"])
+        for batch in gathered(batches, "word", WORD_BYTES):
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), batch.column("by"), pa.array(marginals([MARK + w for w in batch.column("word").to_pylist()], p))], names=["word", "c", "by", "ln_pieces"])
 
-    words = scratch.write(counts.mapInArrow(with_marginals, "word string, c bigint, by array<bigint>, ln_pieces double"), "words")
+    words = scratch.keep(counts.mapInArrow(with_marginals, "word string, c bigint, by array<bigint>, ln_pieces double"))
     # The least power of two that at most HEAD words reach.
     sizes = dict(words.groupBy(F.floor(F.log2("c")).cast("int").alias("e")).agg(F.count(F.lit(1)).alias("n")).collect())
     least, many = 64, 0
@@ -333,7 +351,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, path: str = VOCABULARY
 
     def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, of_word = head.value
-        for batch in pieces_of(batches):
+        for batch in gathered(batches, limit=2 * BATCH_BYTES):
             tokens, offsets = words_of(batch.column("text"))
             distinct, code = unique_words(tokens)
             at = np.asarray(pc.fill_null(pc.index_in(distinct, value_set=frequent), -1), dtype=np.int64) if len(frequent) else np.full(len(distinct), -1)
@@ -357,20 +375,15 @@ def score_documents(spark: SparkSession, docs: DataFrame, path: str = VOCABULARY
 
     def of_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
-        seen: dict[str, float] = {}
-        for batch in batches:
+        for batch in gathered(batches, "word", WORD_BYTES):
             c = np.asarray(pc.fill_null(batch.column("c"), 0), dtype=np.float64)
             own = np.zeros((len(c), kinds))
             there = np.flatnonzero(c > 0)
             own[there] = np.asarray(batch.column("by").drop_null().flatten(), dtype=np.float64).reshape(-1, kinds)
             ln = np.array(pc.fill_null(batch.column("ln_pieces"), 0.0), dtype=np.float64)
             new = np.flatnonzero(c == 0)
-            if len(seen) > HELD_WORDS:
-                seen.clear()
-            for i, word in zip(new.tolist(), batch.column("word").take(pa.array(new)).to_pylist(), strict=True):
-                if word not in seen:
-                    seen[word] = marginal(MARK + word, p)
-                ln[i] = seen[word]
+            names, code = unique_words(batch.column("word").take(pa.array(new)))
+            ln[new] = marginals([MARK + w for w in names.to_pylist()], p)[code] if len(new) else 0.0
             times = np.asarray(batch.column("n"), dtype=np.float64)
             value = logs(c, own, ln) * times[:, None]
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(((c > 0) * times).astype(np.int64)), *(pa.array(np.ascontiguousarray(x)) for x in value.T)], names=["row_id", "known", *sums])

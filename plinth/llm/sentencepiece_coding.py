@@ -27,14 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, byte_view, documents, pieces_of, unique_words
-from .lattice import MARK, MISSING, UNITS, PieceIndex, Vocabulary, arcs_from, load_vocabulary, prepare
+from .lattice import MARK, MISSING, UNITS, PieceIndex, Vocabulary, arc_slots, arcs_from, load_vocabulary, prepare, same_length, utf8_length
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 #: Units whose N best a worker keeps.
 CACHE_UNITS = 30_000
-#: Characters of a unit beyond which it is segmented by itself; units that are segmented at once.
-LONG_UNIT, ROWS_AT_ONCE = 32, 2048
 NEVER = float("-inf")
 
 
@@ -124,22 +122,18 @@ def segment(units: list[str], index: PieceIndex, vocabulary: Vocabulary) -> tupl
     """:func:`best_and_loss` of many units at once: flat ids, and for each unit their number, the score and the loss."""
     counts, score, loss = np.zeros(len(units), dtype=np.int64), np.zeros(len(units)), np.zeros(len(units))
     parts: list[np.ndarray | None] = [None] * len(units)
-    sizes = np.fromiter(map(len, units), np.int64, len(units))
-    order = np.argsort(sizes, kind="stable")
-    starts = np.searchsorted(sizes[order], np.arange(1, LONG_UNIT + 2))
-    for n in range(1, LONG_UNIT + 1):
-        for at in range(starts[n - 1], starts[n], ROWS_AT_ONCE):
-            own = order[at : min(starts[n], at + ROWS_AT_ONCE)]
-            chars = np.frombuffer("".join([units[i] for i in own.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
-            ids, number, score[own], loss[own] = _segment_alike(chars, index, vocabulary)
-            counts[own] = number
-            flat = ids[np.arange(ids.shape[1]) >= ids.shape[1] - number[:, None]]
-            for i, part in zip(own.tolist(), np.split(flat, np.cumsum(number)[:-1]), strict=True):
-                parts[i] = part
-    for i in order[starts[LONG_UNIT] :].tolist():
-        ids, score[i], loss[i] = best_and_loss(units[i], vocabulary)
-        parts[i] = np.array(ids, dtype=np.int32)
-        counts[i] = len(ids)
+    for own, chars in same_length(units):
+        if chars is None:
+            for i in own.tolist():
+                ids, score[i], loss[i] = best_and_loss(units[i], vocabulary)
+                parts[i] = np.array(ids, dtype=np.int32)
+                counts[i] = len(ids)
+            continue
+        ids, number, score[own], loss[own] = _segment_alike(chars, index, vocabulary)
+        counts[own] = number
+        flat = ids[np.arange(ids.shape[1]) >= ids.shape[1] - number[:, None]]
+        for i, part in zip(own.tolist(), np.split(flat, np.cumsum(number)[:-1]), strict=True):
+            parts[i] = part
     return np.concatenate(parts) if parts else np.zeros(0, np.int32), counts, score, loss
 
 
@@ -147,32 +141,14 @@ def _segment_alike(chars: np.ndarray, index: PieceIndex, vocabulary: Vocabulary)
     """Units with the same number of characters, one in each row: ids (at the right end of the rows), their number, score and loss."""
     m, n = chars.shape
     rows = np.arange(m)
-    wide = chars.astype(np.uint64) + np.uint64(1)
+    slot_of = arc_slots(chars, index)
+    arcs = np.where(slot_of >= 0, index.values[slot_of], NEVER)
+    alone = slot_of[0] < 0
+    if alone.any():
+        arcs[0] = np.where(alone, vocabulary.byte_score * utf8_length(chars.T), arcs[0])
     first, second = np.full((n + 1, m), NEVER), np.full((n + 1, m), NEVER)
     first[0] = 0.0
     back = np.ones((n + 1, m), dtype=np.int8)
-    arcs: list[np.ndarray] = []  # for each length: the score of the piece that starts at each position, or NEVER
-    at_row, at_pos = (x.ravel() for x in np.meshgrid(rows, np.arange(n), indexing="ij"))
-    code = np.zeros(m * n, dtype=np.uint64)
-    slot_of = np.full((min(n, index.longest) + 1, n, m), -1, dtype=np.int32)
-    for size in range(1, min(n, index.longest) + 1):
-        code = code * index.FACTOR + wide[at_row, at_pos + size - 1]
-        slot = index.find(code)
-        score = np.full((n, m), NEVER)
-        piece = (slot >= 0) & (index.values[slot] <= 0)
-        score[at_pos[piece], at_row[piece]] = index.values[slot[piece]]
-        slot_of[size, at_pos[piece], at_row[piece]] = slot[piece]
-        if size == 1:
-            alone = score == NEVER
-            if alone.any():
-                c = chars.T
-                length = 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000)
-                score = np.where(alone, vocabulary.byte_score * length, score)
-        arcs.append(score)
-        on = (slot >= 0) & (at_pos + size < n)
-        at_row, at_pos, code = at_row[on], at_pos[on], code[on]
-        if not len(code):
-            break
     for stop in range(1, n + 1):
         for size in range(min(stop, len(arcs)), 0, -1):  # of equal scores the longest last piece stays
             x = first[stop - size] + arcs[size - 1][stop - size]
@@ -187,7 +163,7 @@ def _segment_alike(chars: np.ndarray, index: PieceIndex, vocabulary: Vocabulary)
     while len(left):
         size = back[at[left], left].astype(np.int64)
         start = at[left] - size
-        slot = slot_of[np.minimum(size, slot_of.shape[0] - 1), start, left]
+        slot = slot_of[size - 1, start, left]
         known = slot >= 0
         ids[left[known], 4 * n - 1 - number[left[known]]] = index.ids[slot[known]]
         number[left[known]] += 1
