@@ -72,13 +72,22 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, si
     small = found.count() <= BROADCAST_WINDOWS
     keyed = scratch.keep(with_prefix(found, docs, small))
 
-    parsed = docs.select("doc_id", "row_key", words(F.col("text")).alias("w"))
-    tokens = parsed.select("doc_id", "row_key", "w", F.posexplode("w").alias("pos", "token"))
-    pairs = tokens.join(F.broadcast(keyed) if small else keyed, "token")
+    own = ["row_key", F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("no_id")]
+    parsed = docs.select(*own, words(F.col("text")).alias("w"))
     start = F.col("pos") - F.col("offset")
-    fits = pairs.where((start >= 0) & (start + F.size("window") <= F.size("w")))
-    same = fits.where(F.slice("w", start + 1, F.size("window")) == F.col("window"))
-    spans = same.select("doc_id", "row_key", F.struct(start.alias("a"), (start + F.size("window")).alias("b")).alias("span"), "items")
+    if small:
+        # Joined on the map side: the words are at hand and are never copied for a token.
+        tokens = parsed.select("row_key", "id", "no_id", "w", F.posexplode("w").alias("pos", "token"))
+        pairs = tokens.join(F.broadcast(keyed), "token").withColumn("start", start)
+        fits = pairs.where((F.col("start") >= 0) & (F.col("start") + F.size("window") <= F.size("w")))
+    else:
+        # Tokens are shuffled without the words of their text; what fits meets them again.
+        tokens = parsed.select("row_key", "id", "no_id", F.size("w").alias("n"), F.posexplode("w").alias("pos", "token"))
+        pairs = tokens.join(keyed.hint("merge"), "token").withColumn("start", start)
+        fits = pairs.where((F.col("start") >= 0) & (F.col("start") + F.size("window") <= F.col("n"))).select("row_key", "id", "no_id", "start", "window", "items")
+        fits = fits.join(parsed.hint("merge"), ["row_key", "id", "no_id"])
+    same = fits.where(F.slice("w", F.col("start") + 1, F.size("window")) == F.col("window"))
+    spans = same.select("row_key", "id", "no_id", F.struct(F.col("start").alias("a"), (F.col("start") + F.size("window")).alias("b")).alias("span"), "items")
     # A document has no more spans than words, and no more items than spans and the items that share a window.
     far = F.aggregate(
         F.array_sort("spans"),
@@ -86,11 +95,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, si
         lambda x, s: F.struct((x["n"] + F.greatest(F.lit(0), s["b"] - F.greatest(s["a"], x["far"]))).alias("n"), F.greatest(x["far"], s["b"]).alias("far")),
     )
     hits = (
-        spans.groupBy("row_key", F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("no_id"))
+        spans.groupBy("row_key", "id", "no_id")
         .agg(F.collect_set("span").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
         .select("row_key", "id", "no_id", far["n"].cast("bigint").alias("n_hit"), "items")
     )
-    rows = docs.select("doc_id", "row_key", F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.size(words(F.col("text"))).cast("bigint").alias("n_words"))
+    rows = docs.select("doc_id", *own, F.size(words(F.col("text"))).cast("bigint").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
     return rows.join(hits, ["row_key", "id", "no_id"], "left").select(
         "doc_id",
