@@ -28,7 +28,7 @@ from .common import Scratch, crc32_mod, documents, mixed, pieces_of, string_hash
 from .training import labelled_docs, labelled_ids
 
 #: Labelled documents learned from, at most.
-SAMPLE = 4000
+SAMPLE = 3000
 #: Hashed word features.
 BUCKETS = 1 << 18
 #: A word must stand in so many documents of the sample to get a weight.
@@ -85,11 +85,8 @@ def train(pair_sentence: np.ndarray, pair_feature: np.ndarray, doc_of: np.ndarra
     weights, bias = np.zeros(BUCKETS), BIAS
     if not len(y):
         return Model(weights, bias)
-    seen = np.unique(doc_of[pair_sentence].astype(np.int64) * BUCKETS + pair_feature) % BUCKETS
-    common = np.bincount(seen, minlength=BUCKETS) >= min(MIN_DOCS, max(1, len(y) // 20))
-    use = common[pair_feature]
-    names, col = np.unique(pair_feature[use], return_inverse=True)
-    row = pair_sentence[use]
+    names, col = np.unique(pair_feature, return_inverse=True)
+    row = pair_sentence
     w, m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     w[-1] = bias
     n, n_docs = len(doc_of), len(y)
@@ -123,9 +120,15 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
 
     pairs, names, doc_of, ys, at = [], [], [], [], 0
     rows = sorted(chosen.mapInArrow(features, "doc_id bigint, y int, n bigint, sentence binary, feature binary").toLocalIterator(), key=lambda r: (r[0], r[3], r[4]))
+    in_docs = np.zeros(BUCKETS, dtype=np.int32)
+    for *_, feature in rows:
+        in_docs[np.unique(np.frombuffer(feature, np.int32))] += 1
+    common = in_docs >= min(MIN_DOCS, max(1, len(rows) // 20))
     for i, (_, y, n, sentence, feature) in enumerate(rows):
-        pairs.append(np.frombuffer(sentence, np.int32) + np.int32(at))
-        names.append(np.frombuffer(feature, np.int32))
+        found = np.frombuffer(feature, np.int32)
+        use = common[found]
+        pairs.append(np.frombuffer(sentence, np.int32)[use] + np.int32(at))
+        names.append(found[use])
         doc_of.append(np.full(n, i, dtype=np.int32))
         ys.append(y)
         at += n
