@@ -57,8 +57,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline-near")
-    rows, key = _numbered(scratch, docs)
-    return _without(scratch, rows, near_dedup(spark, rows, row_id=key).where(~F.col("first_row")), key)
+    key = _free_name(docs, "row_key")
+    keyed = docs.withColumn(key, decontamination.row_key(docs))
+    if not keyed.groupBy(key).count().where("count > 1").isEmpty():  # not after exact dedup, which leaves no two rows with one id and text
+        keyed, key = _numbered(scratch, docs)
+    return _without(scratch, keyed, near_dedup(spark, keyed, row_id=key).where(~F.col("first_row")), key)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
