@@ -16,6 +16,10 @@ from plinth.functions.text import tokens
 from plinth.operators.ranking import top_k
 
 
+#: First ids, beyond 2 k, that may fill up a query with few hits.
+SPARE = 1000
+
+
 @dataclass(frozen=True)
 class SparseIndex:
     documents: DataFrame
@@ -50,10 +54,14 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def scores(index: SparseIndex, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score) of documents that hold a query term; repeated query terms count again."""
+def scores(index: SparseIndex, queries: DataFrame, k1: float = 1.5, b: float = 0.75, within: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score) of documents that hold a query term; repeated query terms count again.
+
+    ``within`` (doc_id; broadcast, so bounded) restricts the documents.
+    """
     wanted = query_terms(queries).join(index.terms.select("term", "idf"), "term")
-    hits = index.postings.join(wanted, "term").crossJoin(F.broadcast(index.corpus))  # corpus is one row
+    postings = index.postings if within is None else index.postings.join(F.broadcast(within), "doc_id", "left_semi")
+    hits = postings.join(wanted, "term").crossJoin(F.broadcast(index.corpus))  # corpus is one row
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
@@ -61,12 +69,12 @@ def scores(index: SparseIndex, queries: DataFrame, k1: float = 1.5, b: float = 0
 def search(index: SparseIndex, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """The best ``k`` documents of each query with tokens: (query_id, doc_id, score, rank); ties by id.
 
-    Documents without a hit fill a query up to k in the order of their ids; of these k are enough,
-    so not every document is paired with every query.
+    Documents without a hit fill a query up to k in the order of their ids.  Candidates for that are
+    the first ids alone, so not every document is paired with every query.
     """
     found = top_k(scores(index, queries, k1, b), k, ["query_id"], F.round("score", 9).desc(), F.col("doc_id"), name="_r").drop("_r")
     asked = query_terms(queries).select("query_id").distinct()
-    # The first documents by id that could be needed: k, and k more for those that hit by themselves.
-    fillers = index.documents.orderBy("doc_id").limit(2 * k).select("doc_id")
-    padded = asked.crossJoin(F.broadcast(fillers)).join(scores(index, queries, k1, b).select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))  # 2k rows
+    fillers = index.documents.orderBy("doc_id").limit(2 * k + SPARE).select("doc_id")
+    hit = scores(index, queries, k1, b, fillers).select("query_id", "doc_id")
+    padded = asked.crossJoin(F.broadcast(fillers)).join(hit, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))  # 2 k + SPARE rows for each query
     return top_k(found.unionByName(padded), k, ["query_id"], F.round("score", 9).desc(), F.col("doc_id")).select("query_id", "doc_id", "score", "rank")
