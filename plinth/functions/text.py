@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Between letters and others, at lower-to-upper boundaries, and before the last capital of an acronym.
-_BOUNDARY = r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
+#: One part of an identifier: an acronym before a capitalised word; letters and digits with a digit right
+#: behind the capitals; a word with one capital at most; capitals alone.
+_PART = r"([A-Z]+(?=[A-Z][a-z])|[A-Z]*[0-9][a-z0-9]*|[A-Z]?[a-z][a-z0-9]*|[A-Z]+)"
 
 # Words that carry no content.
 STOP_WORDS = (
@@ -29,8 +30,7 @@ BLOCK_SEPARATOR = "\n\n---\n\n"
 
 def tokens(text: Column) -> Column:
     """Lower-cased identifier parts; empty for null."""
-    parts = F.split(F.coalesce(text, F.lit("")), _BOUNDARY)
-    return F.array_remove(F.transform(parts, lambda x: F.lower(x)), "")
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_PART), 1), lambda x: F.lower(x))
 
 
 def content_words(text: Column) -> Column:

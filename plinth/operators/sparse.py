@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from plinth.functions.text import tokens
 from plinth.operators.ranking import top_k
@@ -27,6 +28,10 @@ class SparseIndex:
     terms: DataFrame
     corpus: DataFrame
 
+    def kept(self) -> SparseIndex:
+        """The same index with its tables persisted; unpersist them, or clear the cache, when done."""
+        return SparseIndex(*(getattr(self, name).persist(StorageLevel.MEMORY_AND_DISK) for name in ("documents", "postings", "terms", "corpus")))
+
     def save(self, path: str) -> None:
         for name in ("documents", "postings", "terms", "corpus"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")

@@ -148,7 +148,7 @@ def _questions(spark, sf) -> DataFrame:
 
 
 def _sparse_index(spark, sf) -> sparse.SparseIndex:
-    return sparse.build_index(table(spark, sf, "documents").select("doc_id", "text"))
+    return sparse.build_index(table(spark, sf, "documents").select("doc_id", "text")).kept()
 
 
 @query(f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
