@@ -207,10 +207,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, is_history=None, row_id: s
     old = (crc32_mod("doc_id", 2) == 0) if is_history is None else is_history
     number = F.monotonically_increasing_id() if row_id is None else F.col(row_id)
     rows = scratch.write(digests(docs, number, old), "digests")
-    history = scratch.write(winners(rows.where("old")), "history")
+    history = scratch.keep(winners(rows.where("old")))
     n_buckets = max(1, -(-history.count() // BUCKET_KEYS))
-    index = scratch.write(build_index(history, n_buckets), "index")
-    groups = scratch.write(look_up(winners(rows.where("not old")), index, n_buckets), "groups")
+    index = build_index(history, n_buckets)
+    groups = scratch.keep(look_up(winners(rows.where("not old")), index, n_buckets))
     # A hot group is one row of the right side; the left side is split by the adaptive skew join.
     joined = rows.join(groups.hint("merge"), "digest")
     return joined.select(
