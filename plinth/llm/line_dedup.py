@@ -190,8 +190,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, bits: int | None = None, w
         yield flush()
 
     counted = docs.mapInArrow(keys, "key binary, n bigint, last bigint").groupBy("key").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
-    # Written, since only a join of two plain exchanges can be split by the adaptive engine.
-    repeated = scratch.write(counted.where((F.col("n") >= MIN_DOCS) & F.col("last").isNotNull()), "repeated")
+    # Kept as a table, since only a join of two plain exchanges can be split by the adaptive engine.
+    repeated = scratch.keep(counted.where((F.col("n") >= MIN_DOCS) & F.col("last").isNotNull()))
 
     # Pass 3: documents without a suspect are finished; the others name their suspected keys.
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
