@@ -154,7 +154,7 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS) -> DataFra
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranked = rows.repartitionByRange(n, "digest", "doc_id").sortWithinPartitions("digest", "doc_id")
     ranked = scratch.write(ranked.withColumn("place", F.monotonically_increasing_id()), "ranked")
-    groups = scratch.write(ranked.groupBy("digest").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).withColumn("block", F.conv(F.substring("digest", 1, 4), 16, 10).cast("int")), "groups")
+    groups = scratch.keep(ranked.groupBy("digest").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).withColumn("block", F.conv(F.substring("digest", 1, 4), 16, 10).cast("int")))
 
     total = groups.agg(F.sum("size")).first()[0] or 0
     # Groups of more than this are few (at most LARGE * shards) and get a piece of their own.
@@ -162,7 +162,7 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS) -> DataFra
     groups = groups.join(F.broadcast(hot), "block", "left")
     here = F.coalesce(F.col("hot"), F.array().cast("array<string>"))
     groups = groups.withColumn("k", 2 * F.size(F.filter(here, lambda h: h < F.col("digest"))) + F.array_contains(here, F.col("digest")).cast("int"))
-    groups = scratch.write(groups.drop("hot"), "pieces")
+    groups = scratch.keep(groups.drop("hot"))
     pieces = sorted((b, k, s, m, d) for b, k, s, m, d in groups.groupBy("block", "k").agg(F.sum("size"), F.max("size"), F.max("digest")).collect())  # at most BLOCKS + 2 * LARGE * shards rows
     cuts: list[str] = []
     if pieces:
