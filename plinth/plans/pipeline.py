@@ -14,7 +14,7 @@ from plinth.models import Encoder, Generator, Scorer, echo_generator, hashed_enc
 from plinth.operators import cache, chunking, context, dense, fusion, graph, resolve, review, sparse, syntax
 from plinth.operators.ranking import keep_first
 from plinth.operators.tables import Store
-from plinth.schemas import SYNTAX_KINDS
+from plinth.schemas import LAYOUTS, SYNTAX_KINDS
 from plinth.sources.files import discover
 
 
@@ -159,6 +159,12 @@ class Engine:
         out = full.select("query_id", "answer", text.alias("context"), F.coalesce("total_tokens", F.lit(0).cast("bigint")).alias("total_tokens"), F.coalesce("truncated", F.lit(False)).alias("truncated"), "cited", F.lit(False).alias("from_cache"))
         return out.unionByName(hits) if hits is not None else out
 
+    def register_views(self) -> list[str]:
+        """The stored tables as temporary views, for SQL; returns their names."""
+        for name in LAYOUTS:
+            self.store.read(name).createOrReplaceTempView(name)
+        return list(LAYOUTS)
+
     def context_at(self, rid: str, file_path: str, line: int) -> DataFrame:
         """The chunks around a line, narrowest first."""
         point = self.spark.createDataFrame([(1, file_path, line)], "point_id int, file_id string, line int")

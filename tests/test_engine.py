@@ -135,6 +135,19 @@ def test_context_and_review(spark, engine):
     assert "callee" in roles or "caller" in roles
 
 
+def test_command_line_and_views(spark, engine, repo, capsys):
+    from plinth.__main__ import main
+
+    e, first = engine
+    rid = first["repository_id"]
+    assert main(["--store", e.root, "status", rid], spark) == 0 and '"ready"' in capsys.readouterr().out
+    assert main(["--store", e.root, "search", rid, "helper"], spark) == 0 and "chunk_id" in capsys.readouterr().out
+    assert main(["--store", e.root, "graph", rid], spark) == 0 and "edge_type" in capsys.readouterr().out
+    assert main(["--store", e.root, "query", "zz", "helper"], spark) == 1
+    assert "code_chunks" in e.register_views()
+    assert spark.sql("SELECT count(*) AS n FROM code_chunks").first().n == e.store.read("code_chunks").count()
+
+
 def test_json_sources(spark, tmp_path):
     good = '[{"repository_id": "r", "query": "q", "expected_answer": "a", "expected_source_files": ["x"], "expected_functions": []}]'
     (tmp_path / "e.json").write_text(good)
