@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; :func:`run`
 writes each result as Parquet and reads it again.  All stages but the last return the columns of
-``docs``.  Repeated rows are told apart by a row number, so one of them stays.
+``docs``.  Of repeated rows one stays.
 
 Defined cases: null and empty texts pass the first stage; of all empty texts one stays after exact
 dedup; rows without id are kept or dropped by their text alone; an empty table stays empty; further
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from plinth.llm import decontaminate as decontamination
 from plinth.llm import toxicity
-from plinth.llm.common import Scratch
+from plinth.llm.common import Scratch, release
 from plinth.llm.exact_dedup import exact_dedup
 from plinth.llm.near_dedup import near_dedup
 from plinth.llm.sentencepiece_coding import encode_documents
@@ -31,10 +31,16 @@ def _free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
-def _numbered(scratch: Scratch, docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` written with a row number, and that column's name."""
-    name = _free_name(docs, "row_number")
-    return scratch.write(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+def _keyed(scratch: Scratch, docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column that tells all rows apart, and that column's name.
+
+    A hash of id and text does, unless a row repeats; then the rows are written with a number.
+    """
+    key = _free_name(docs, "row_key")
+    keyed = docs.withColumn(key, decontamination.row_key(docs))
+    if keyed.groupBy(key).count().where("count > 1").isEmpty():
+        return keyed, key
+    return scratch.write(docs.withColumn(key, F.monotonically_increasing_id()), "numbered"), key
 
 
 def _without(scratch: Scratch, docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
@@ -51,17 +57,14 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline-copies")
-    rows, key = _numbered(scratch, docs)
+    rows, key = _keyed(scratch, docs)
     return _without(scratch, rows, exact_dedup(spark, rows, row_id=key).where(~F.col("kept")), key)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline-near")
-    key = _free_name(docs, "row_key")
-    keyed = docs.withColumn(key, decontamination.row_key(docs))
-    if not keyed.groupBy(key).count().where("count > 1").isEmpty():  # not after exact dedup, which leaves no two rows with one id and text
-        keyed, key = _numbered(scratch, docs)
-    return _without(scratch, keyed, near_dedup(spark, keyed, row_id=key).where(~F.col("first_row")), key)
+    rows, key = _keyed(scratch, docs)
+    return _without(scratch, rows, near_dedup(spark, rows, row_id=key).where(~F.col("first_row")), key)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -94,4 +97,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{i}")
+        release()
     return docs
