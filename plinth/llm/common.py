@@ -36,7 +36,10 @@ _kept: list[DataFrame] = []
 def release() -> None:
     """Drop what the operators keep on disk; results that aren't computed yet then compute it again."""
     while _kept:
-        _kept.pop().unpersist()
+        df = _kept.pop()
+        context = df.sparkSession.sparkContext
+        if context._jsc is not None and not context._jsc.sc().isStopped():
+            df.unpersist()
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -2,9 +2,24 @@
 
 from __future__ import annotations
 
+import functools
+
 from . import chat, decontaminate, exact_dedup, line_dedup, lm_scoring, near_dedup, quality, sentencepiece_coding, sharding, toxicity
+from .common import release
+
+
+def _alone(query):
+    """The query, after what earlier ones kept on disk has been dropped."""
+
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        release()
+        return query(spark, sf_dir)
 
-QUERIES = {
+    return run
+
+
+_QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_chat": chat.op2_chat,
     "op3_sentencepiece": sentencepiece_coding.op3_sentencepiece,
@@ -17,6 +32,8 @@ QUERIES = {
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
 }
 
+QUERIES = {name: _alone(query) for name, query in _QUERIES.items()}
+
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.SQL,
     "op2_chat": chat.SQL,

@@ -43,3 +43,11 @@ def none(spark):
 @pytest.fixture(scope="session")
 def sf01() -> str:
     return "/root/testdata/sf0.01"
+
+
+@pytest.fixture(autouse=True)
+def released():
+    from plinth.llm.common import release
+
+    yield
+    release()
