@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import sys
 from pathlib import Path
 
@@ -12,6 +13,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from plinth.session import session
 
+    os.environ.setdefault("PYSPARK_SUBMIT_ARGS", "--driver-memory 4g pyspark-shell")
     s = session("local[4]", 4, "plinth-tests")
     s.sparkContext.setLogLevel("ERROR")
     yield s
