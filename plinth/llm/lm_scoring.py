@@ -17,8 +17,8 @@ Texts come in kinds (languages above all), so the model has CLASSES latent class
 texts: in a class the words' weights are the discounted counts in the training texts of
 that class, and what the discount leaves goes to the model above.  A text's probability
 is the sum over the classes, each weighted by its share of the training texts.  The
-classes are multinomial mixtures over hashed words, found by expectation maximisation on
-a bounded sample (CLASS_SAMPLE texts); all counts are over all training texts.
+classes are multinomial mixtures over hashed words, found by expectation maximisation in
+passes over all training texts; all counts are over all training texts too.
 
 The counts of all words stay a table.  The most frequent words (HEAD at most) are
 broadcast and take care of most tokens on the map side; all other words of a text are
@@ -41,8 +41,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
-from .common import BATCH_BYTES, Scratch, crc32_mod, documents, gathered, mixed, pieces_of, string_hashes, unique_words, words_of
+from .common import BATCH_BYTES, Scratch, byte_view, crc32_mod, documents, gathered, mixed, pieces_of, string_hashes, unique_words, words_of
 from .lattice import MARK, PieceIndex, Vocabulary, arc_slots, arcs_from, load_vocabulary, same_length
 from .sentencepiece_coding import VOCABULARY
 
@@ -51,8 +52,10 @@ MODULUS, HELD_OUT = 7, 2
 HEAD = 1 << 17
 #: Bytes of words whose lattices are summed at once.
 WORD_BYTES = 1 << 18
-#: Latent classes of texts, training texts that they are found on (at most), and the buckets of their hashed words.
-CLASSES, CLASS_SAMPLE, CLASS_BUCKETS = 8, 3000, 4096
+#: Latent classes of texts, and the buckets of their hashed words.
+CLASSES, CLASS_BUCKETS = 8, 4096
+#: The unit in which sums over texts are added up.
+ULP = 2.0**-20
 #: What every piece is given beside its expected count.
 SMOOTHING = 0.01
 LN10 = math.log(10.0)
@@ -209,45 +212,101 @@ def _bucket(distinct: pa.Array) -> np.ndarray:
     return (mixed(string_hashes(distinct)) & np.uint64(CLASS_BUCKETS - 1)).astype(np.int64)
 
 
-def mixture(counts: np.ndarray, k: int, rounds: int = 25, tries: int = 4) -> Classes:
-    """A mixture of ``k`` multinomials over rows of bucket counts; the best of some seeded starts."""
-    best: tuple[float, Classes] | None = None
-    for seed in range(tries):
-        rng = np.random.default_rng(seed)
-        logs = np.log((counts[rng.choice(len(counts), k, replace=len(counts) < k)] + 0.1 + counts.mean(axis=0)) / 1.0)
-        logs -= np.logaddexp.reduce(logs, axis=1, keepdims=True)
-        prior = np.full(k, -math.log(k))
-        value = -math.inf
-        for _ in range(rounds):
-            joint = counts @ logs.T + prior
-            total = np.logaddexp.reduce(joint, axis=1)
-            value = float(total.sum())
-            share = np.exp(joint - total[:, None])
-            mass = share.T @ counts + 0.1
-            logs = np.log(mass) - np.log(mass.sum(axis=1, keepdims=True))
-            prior = np.log((share.sum(axis=0) + 1) / (len(counts) + k))
-        if best is None or value > best[0]:
-            best = value, Classes(logs, prior)
-    return best[1]
-
-
-def fit_classes(training: DataFrame, k: int = CLASSES, sample: int = CLASS_SAMPLE) -> Classes:
-    """Classes of texts from at most ``sample`` training texts, chosen by a hash of their ids."""
-    ids = training.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+def bags(texts: DataFrame) -> DataFrame:
+    """buckets and counts (packed numbers) of each text, and place, a hash that orders the texts."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches):
             tokens, offsets = words_of(batch.column("text"))
             distinct, code = unique_words(tokens)
-            bucket = _bucket(distinct)[code]
-            found = [np.minimum(np.bincount(bucket[a:b], minlength=CLASS_BUCKETS), 65535).astype(np.uint16).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "counts"])
-
-    rows = training.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInArrow(make, "doc_id bigint, counts binary").toLocalIterator()
-    found = sorted((r[0], r[1]) for r in rows)[: 2 * sample]  # ids may repeat
-    if not found:
-        return Classes(np.full((1, CLASS_BUCKETS), -math.log(CLASS_BUCKETS)), np.zeros(1))
-    return mixture(np.stack([np.frombuffer(x, np.uint16) for _, x in found]).astype(np.float32), k)
+            text_of = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            pair, times = np.unique(text_of * CLASS_BUCKETS + _bucket(distinct)[code], return_counts=True)
+            ends = np.searchsorted(pair, np.arange(batch.num_rows + 1) * CLASS_BUCKETS)
+            packed = [pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x in ((pair % CLASS_BUCKETS).astype(np.uint16), times.astype(np.uint32))]
+            yield pa.RecordBatch.from_arrays([batch.column("place"), *packed], names=["place", "buckets", "counts"])
+
+    rows = texts.select(F.xxhash64("doc_id", "text").alias("place"), "text")
+    return rows.mapInArrow(make, "place bigint, buckets binary, counts binary")
+
+
+def dense_bags(batch: pa.RecordBatch) -> np.ndarray:
+    """A row of CLASS_BUCKETS counts for each bag."""
+    found = np.zeros((batch.num_rows, CLASS_BUCKETS), dtype=np.float32)
+    flat, offsets = byte_view(batch.column("buckets"))
+    times, _ = byte_view(batch.column("counts"))
+    found[np.repeat(np.arange(batch.num_rows), np.diff(offsets) // 2), flat.view(np.uint16)] = times.view(np.uint32)
+    return found
+
+
+def class_sums(texts: DataFrame, logs: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """One pass of expectation over all bags for each try: (try, class, numbers): the texts' shares, their ln likelihood (in class 0) and the mass of each bucket.
+
+    The sums are whole numbers of ULP, so they don't depend on the order of tasks.
+    """
+    tries, k, _ = logs.shape
+    shared = texts.sparkSession.sparkContext.broadcast((np.ascontiguousarray(logs.reshape(tries * k, -1).T, dtype=np.float32), prior.reshape(-1)))  # tries x CLASSES x CLASS_BUCKETS numbers
+
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, start = shared.value
+        found = np.zeros((tries * k, CLASS_BUCKETS + 2))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            counts = dense_bags(batch)
+            joint = ((counts @ weights).astype(np.float64) + start).reshape(-1, tries, k)
+            total = np.logaddexp.reduce(joint, axis=2)
+            share = np.exp(joint - total[:, :, None]).reshape(-1, tries * k)
+            found[:, 0] += share.sum(axis=0)
+            found[::k, 1] += total.sum(axis=0)
+            found[:, 2:] += share.T.astype(np.float32) @ counts
+        whole = np.rint(found / ULP).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(tries * k), pa.int32()), pa.array([x.tobytes() for x in whole], pa.binary())], names=["j", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for j, x in zip(batch.column("j").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                found[j] = found.get(j, 0) + np.frombuffer(x, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], names=["j", "sums"])
+
+    schema = "j int, sums binary"
+    rows = texts.mapInArrow(expect, schema).repartition("j").mapInArrow(add, schema).collect()  # tries x CLASSES rows
+    shared.destroy()
+    out = np.zeros((tries * k, CLASS_BUCKETS + 2))
+    for j, x in rows:
+        out[j] = np.frombuffer(x, np.int64) * ULP
+    return out.reshape(tries, k, -1)
+
+
+def fit_classes(training: DataFrame, k: int = CLASSES, rounds: int = 25, tries: int = 4) -> Classes:
+    """A mixture of ``k`` multinomials over the bucket counts of all training texts; the best of some starts.
+
+    Each round is a pass over all texts.  A start is ``k`` texts, chosen by a hash among all.
+    """
+    parts = training.rdd.getNumPartitions()
+    # A task sends tries x CLASSES x CLASS_BUCKETS sums a round, so it takes in some partitions where there are more than cores.
+    texts = bags(training.coalesce(max(1, min(parts, max(training.sparkSession.sparkContext.defaultParallelism, parts // 4))))).persist(StorageLevel.DISK_ONLY)
+    try:
+        first = texts.orderBy("place", "buckets", "counts").limit(tries * k).toArrow().combine_chunks().to_batches()  # tries x CLASSES rows
+        if not first:
+            return Classes(np.full((1, CLASS_BUCKETS), -math.log(CLASS_BUCKETS)), np.zeros(1))
+        seeds = dense_bags(first[0]).astype(np.float64)
+        every = class_sums(texts, np.zeros((1, 1, CLASS_BUCKETS)), np.zeros((1, 1)))[0, 0]
+        n = every[0]
+        logs = np.log(seeds[np.arange(tries * k) % len(seeds)].reshape(tries, k, -1) + 0.1 + every[2:] / n)
+        logs -= np.logaddexp.reduce(logs, axis=2, keepdims=True)
+        prior = np.full((tries, k), -math.log(k))
+        value = np.zeros(tries)
+        for _ in range(rounds):
+            sums = class_sums(texts, logs, prior)
+            value = sums[:, 0, 1]
+            mass = sums[:, :, 2:] + 0.1
+            logs = np.log(mass) - np.log(mass.sum(axis=2, keepdims=True))
+            prior = np.log((sums[:, :, 0] + 1) / (n + k))
+        best = int(np.argmax(value))
+        return Classes(logs[best], prior[best])
+    finally:
+        texts.unpersist()
 
 
 def word_counts(docs: DataFrame, classes: Classes) -> DataFrame:

@@ -322,3 +322,40 @@ def test_score_is_a_probability(spark, monkeypatch):
 def test_scores_beat_the_base_on_known_texts(spark, sf01):
     got = lm_scoring.op10_lm_scoring(spark, sf01).where("not held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert got.s > got.b
+
+
+def test_classes_are_found_on_all_texts(spark):
+    """A kind of texts of which the first 3000 ids by hash have none gets a class of its own; so do texts without id."""
+    order = [r.doc_id for r in spark.range(4000).withColumnRenamed("id", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    late = set(order[3000:])
+    rows = [(i if i % 2 else None, f"stre ble nd {i % 7}") if i in late else (i, f"on the er {i % 5}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lm_scoring.fit_classes(docs, k=2)
+    texts = pa.array(["on the er", "stre ble nd"])
+    tokens, offsets = lm_scoring.words_of(texts)
+    distinct, code = lm_scoring.unique_words(tokens)
+    kind = found.of(distinct, code, offsets)
+    assert kind[0] != kind[1]
+    assert np.exp(found.prior[kind]) == pytest.approx([0.75, 0.25], abs=0.01)
+    stre = np.exp(found.buckets[kind[1], lm_scoring._bucket(pa.array(["stre"]))[0]])
+    assert stre == pytest.approx(1000.1 / (4000 + 0.1 * lm_scoring.CLASS_BUCKETS), abs=0.001)  # 0.1 is what every bucket gets
+
+
+def test_classes_are_those_of_the_plain_method(spark):
+    """The passes give what expectation maximisation over one matrix gives; counts beyond 65535 aren't cut off."""
+    rows = [(i, " ".join(f"w{i % 3}{j % (2 + i % 4)}" for j in range(1 + i % 9))) for i in range(40)] + [(None, "er " * 70_000), (40, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bags = lm_scoring.bags(docs).orderBy("place", "buckets", "counts").toArrow().combine_chunks().to_batches()[0]
+    counts = lm_scoring.dense_bags(bags).astype(np.float64)
+    assert counts.max() == 70_000 and len(counts) == 42
+    logs = np.log(counts[:3] + 0.1 + counts.mean(axis=0))
+    logs -= np.logaddexp.reduce(logs, axis=1, keepdims=True)
+    prior = np.full(3, -math.log(3))
+    for _ in range(4):
+        joint = counts @ logs.T + prior
+        share = np.exp(joint - np.logaddexp.reduce(joint, axis=1)[:, None])
+        mass = share.T @ counts + 0.1
+        logs = np.log(mass / mass.sum(axis=1, keepdims=True))
+        prior = np.log((share.sum(axis=0) + 1) / (len(counts) + 3))
+    got = lm_scoring.fit_classes(docs, k=3, rounds=4, tries=1)
+    assert np.exp(got.buckets) == pytest.approx(np.exp(logs), abs=1e-3) and np.exp(got.prior) == pytest.approx(np.exp(prior), abs=1e-3)
