@@ -11,14 +11,28 @@ from plinth.operators.ranking import keep_first
 from plinth.operators.tables import upsert
 from plinth.schemas import KEYS
 
+#: Questions that are broadcast at once, about; more of them go in slices.
+QUESTION_SLICE = 1000
+
 
 def lookup(entries: DataFrame, asked: DataFrame, threshold: float = 0.95, lexical: float = 0.5) -> DataFrame:
     """The best cached entry for each question, if one passes both gates.
 
     ``entries``: repository_id, query, query_embedding, response, retrieved_chunk_ids; ``asked``:
     query_id, repository_id, query, vector.  A question meets the entries of its own repository only.
+    The questions are broadcast in slices, so the entries are scanned and never shuffled.
     """
-    pairs = entries.withColumnRenamed("query", "cached_query").join(F.broadcast(asked.limit(1000)), "repository_id")  # a bounded set of questions
+    n = asked.count()
+    slices = 1 if n <= QUESTION_SLICE else 2 * -(-n // QUESTION_SLICE)
+    part = F.pmod(F.xxhash64("query_id"), F.lit(slices))
+    out = _lookup(entries, asked.where(part == 0) if slices > 1 else asked, threshold, lexical)
+    for i in range(1, slices):
+        out = out.unionByName(_lookup(entries, asked.where(part == i), threshold, lexical))
+    return out
+
+
+def _lookup(entries: DataFrame, asked: DataFrame, threshold: float, lexical: float) -> DataFrame:
+    pairs = entries.withColumnRenamed("query", "cached_query").join(F.broadcast(asked), "repository_id")  # a slice of the questions
     close = pairs.withColumn("similarity", cosine(F.col("query_embedding"), F.col("vector"))).where(F.col("similarity") >= threshold)
     good = close.where(lexically_compatible(F.col("query"), F.col("cached_query"), lexical))
     return keep_first(good, ["query_id"], F.round("similarity", 9).desc(), F.col("cached_query"))

@@ -216,6 +216,14 @@ def test_cache(spark):
     assert cache.clear(entries, "r").count() == 1
 
 
+def test_cache_answers_every_question(spark):
+    n = 2500
+    entries = spark.createDataFrame([("r", f"what does part{i} do", [1.0, 0.0], str(i), ["1"]) for i in range(0, n, 100)], "repository_id string, query string, query_embedding array<double>, response string, retrieved_chunk_ids array<string>")
+    asked = spark.createDataFrame([(i, "r", f"what does part{i} do", [1.0, 0.0]) for i in range(n)], "query_id int, repository_id string, query string, vector array<double>")
+    got = cache.lookup(entries, asked, lexical=0.9)
+    assert {(r.query_id, r.response) for r in got.collect()} == {(i, str(i)) for i in range(0, n, 100)}
+
+
 def test_store(spark, tmp_path):
     store = tables.Store(spark, str(tmp_path / "db"))
     rows = spark.createDataFrame([("r", "f1", "a.py", "python", ".py", 1), ("r", "f1", "a.py", "python", ".py", 1)], "repository_id string, file_id string, relative_path string, language string, extension string, size_bytes bigint")
