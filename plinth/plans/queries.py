@@ -6,6 +6,7 @@ and documents share one id space.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,16 +20,20 @@ from plinth.sources.files import is_ignored, language, parse_repository_url
 from plinth.streaming.jobs import latest_state, windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: Queries over whole tables whose namesakes in QUERIES have SQL over a part; these have no SQL.
+WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name."""
+def query(sql: str | None = None, whole: bool = False):
+    """Register a query under its function's name; with ``whole`` also as <name>_whole, without the limits of its SQL."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
             SQL[f.__name__] = sql
+        if whole:
+            WHOLE[f"{f.__name__}_whole"] = functools.partial(f, whole=True)
         return f
 
     return add
@@ -231,11 +236,11 @@ ed AS (SELECT src, dst, edge_type FROM (SELECT *, row_number() OVER (PARTITION B
 bw AS (SELECT src AS id, dst AS other FROM ed UNION SELECT dst, src FROM ed)"""
 
 
-def _edges(spark, sf) -> DataFrame:
-    """A supplier-part graph: every 40th order is an edge set of its own (the graph is this subgraph by definition)."""
+def _edges(spark, sf, whole: bool = False) -> DataFrame:
+    """A supplier-part graph of all orders, or, as in the SQL, of every 40th."""
     pre = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     kind = F.when(F.col("l_linenumber") % 2 == 0, "function_call").otherwise("method_call")
-    li = table(spark, sf, "lineitem").where("l_orderkey % 40 = 0").select(pre("s", "l_suppkey").alias("src"), pre("p", "l_partkey").alias("dst"), kind.alias("edge_type"), F.col("l_orderkey").alias("o"))
+    li = table(spark, sf, "lineitem").where(F.lit(True) if whole else F.col("l_orderkey") % 40 == 0).select(pre("s", "l_suppkey").alias("src"), pre("p", "l_partkey").alias("dst"), kind.alias("edge_type"), F.col("l_orderkey").alias("o"))
     su = table(spark, sf, "supplier").select(pre("n", "s_nationkey").alias("src"), pre("s", "s_suppkey").alias("dst"), F.lit("contains").alias("edge_type"), F.col("s_suppkey").alias("o"))
     na = table(spark, sf, "nation").select(pre("r", "n_regionkey").alias("src"), pre("n", "n_nationkey").alias("dst"), F.lit("imports").alias("edge_type"), F.col("n_nationkey").cast("bigint").alias("o"))
     return graph.first_wins(li.unionByName(su).unionByName(na), graph.phase(F.col("edge_type")), F.col("o"), F.col("edge_type")).select("src", "dst", "edge_type")
@@ -245,24 +250,24 @@ def _focus(spark) -> DataFrame:
     return spark.createDataFrame([(f"s{i}",) for i in range(1, 6)], "id string")
 
 
-@query(f"WITH {_GRAPH} SELECT src, dst, edge_type FROM ed")
-def graph_edges_first_wins(spark, sf):
-    return _edges(spark, sf)
+@query(f"WITH {_GRAPH} SELECT src, dst, edge_type FROM ed", whole=True)
+def graph_edges_first_wins(spark, sf, whole=False):
+    return _edges(spark, sf, whole)
 
 
-@query(f"WITH {_GRAPH} SELECT DISTINCT dst AS id, src AS caller FROM ed WHERE edge_type IN ('function_call', 'method_call') AND dst IN ('p1', 'p2', 'p3', 'p4', 'p5')")
-def graph_callers(spark, sf):
-    return graph.callers(_edges(spark, sf), spark.createDataFrame([(f"p{i}",) for i in range(1, 6)], "id string"))
+@query(f"WITH {_GRAPH} SELECT DISTINCT dst AS id, src AS caller FROM ed WHERE edge_type IN ('function_call', 'method_call') AND dst IN ('p1', 'p2', 'p3', 'p4', 'p5')", whole=True)
+def graph_callers(spark, sf, whole=False):
+    return graph.callers(_edges(spark, sf, whole), spark.createDataFrame([(f"p{i}",) for i in range(1, 6)], "id string"))
 
 
-@query(f"WITH {_GRAPH} SELECT DISTINCT src AS id, dst AS callee FROM ed WHERE edge_type IN ('function_call', 'method_call') AND src IN ('s1', 's2', 's3', 's4', 's5')")
-def graph_callees(spark, sf):
-    return graph.callees(_edges(spark, sf), _focus(spark))
+@query(f"WITH {_GRAPH} SELECT DISTINCT src AS id, dst AS callee FROM ed WHERE edge_type IN ('function_call', 'method_call') AND src IN ('s1', 's2', 's3', 's4', 's5')", whole=True)
+def graph_callees(spark, sf, whole=False):
+    return graph.callees(_edges(spark, sf, whole), _focus(spark))
 
 
-@query(f"WITH {_GRAPH} SELECT id, other AS neighbor FROM bw WHERE id IN ('s1', 's2', 's3', 's4', 's5')")
-def graph_neighbors(spark, sf):
-    return graph.neighbors(_edges(spark, sf), _focus(spark))
+@query(f"WITH {_GRAPH} SELECT id, other AS neighbor FROM bw WHERE id IN ('s1', 's2', 's3', 's4', 's5')", whole=True)
+def graph_neighbors(spark, sf, whole=False):
+    return graph.neighbors(_edges(spark, sf, whole), _focus(spark))
 
 
 _SEEDS = "seed AS (SELECT 1 AS query_id, 's1' AS id, 0.9::DOUBLE AS score, 1 AS rank UNION ALL SELECT 1, 's2', 0.5, 2 UNION ALL SELECT 2, 'p3', 0.7, 1 UNION ALL SELECT 2, 'n3', 0.6, 2)"
@@ -275,14 +280,14 @@ def _seeds(spark) -> DataFrame:
     return spark.createDataFrame([(1, "s1", 0.9, 1), (1, "s2", 0.5, 2), (2, "p3", 0.7, 1), (2, "n3", 0.6, 2)], "query_id int, id string, score double, rank int")
 
 
-def _steps(spark, sf) -> DataFrame:
-    e = _edges(spark, sf)
+def _steps(spark, sf, whole: bool = False) -> DataFrame:
+    e = _edges(spark, sf, whole)
     return e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "edge_type", F.lit(0).alias("side")).unionByName(e.select("src", "dst", "edge_type", F.lit(1).alias("side")))
 
 
-@query(f"WITH {_GRAPH}, {_SEEDS}, {_STEPS}, {_HOP1} SELECT query_id, id, round(score, 6) AS score, 0 AS distance, CAST(NULL AS VARCHAR) AS origin FROM seed UNION ALL SELECT query_id, id, round(score, 6), 1, origin FROM h1")
-def graph_expand_1hop(spark, sf):
-    return graph.expand(_seeds(spark), _steps(spark, sf), 1).select("query_id", "id", F.round("score", 6).alias("score"), "distance", "origin")
+@query(f"WITH {_GRAPH}, {_SEEDS}, {_STEPS}, {_HOP1} SELECT query_id, id, round(score, 6) AS score, 0 AS distance, CAST(NULL AS VARCHAR) AS origin FROM seed UNION ALL SELECT query_id, id, round(score, 6), 1, origin FROM h1", whole=True)
+def graph_expand_1hop(spark, sf, whole=False):
+    return graph.expand(_seeds(spark), _steps(spark, sf, whole), 1).select("query_id", "id", F.round("score", 6).alias("score"), "distance", "origin")
 
 
 @query(
@@ -292,10 +297,11 @@ def graph_expand_1hop(spark, sf):
     imp AS (SELECT h2.* FROM h2 LEFT JOIN h1 ON h1.query_id = h2.query_id AND h1.id = h2.id WHERE h1.id IS NULL OR h2.score > h1.score)
     SELECT query_id, id, round(score, 6) AS score, 0 AS distance, CAST(NULL AS VARCHAR) AS origin FROM seed
     UNION ALL SELECT query_id, id, round(score, 6), 1, origin FROM h1 WHERE NOT EXISTS (SELECT 1 FROM imp WHERE imp.query_id = h1.query_id AND imp.id = h1.id)
-    UNION ALL SELECT query_id, id, round(score, 6), 2, origin FROM imp"""
+    UNION ALL SELECT query_id, id, round(score, 6), 2, origin FROM imp""",
+    whole=True,
 )
-def graph_expand_2hop(spark, sf):
-    return graph.expand(_seeds(spark), _steps(spark, sf), 2).select("query_id", "id", F.round("score", 6).alias("score"), "distance", "origin")
+def graph_expand_2hop(spark, sf, whole=False):
+    return graph.expand(_seeds(spark), _steps(spark, sf, whole), 2).select("query_id", "id", F.round("score", 6).alias("score"), "distance", "origin")
 
 
 _RADIUS = f"""WITH RECURSIVE {_GRAPH.strip()},
@@ -303,34 +309,35 @@ bfs AS (SELECT 's' || i AS focus, 's' || i AS id, 0 AS hop FROM range(1, 6) t(i)
 rad AS (SELECT focus, id, min(hop) AS hop FROM bfs GROUP BY ALL)"""
 
 
-@query(f"{_RADIUS} SELECT focus, id, hop FROM rad")
-def blast_radius(spark, sf):
-    return graph.blast_radius(_edges(spark, sf), _focus(spark), 2)
+@query(f"{_RADIUS} SELECT focus, id, hop FROM rad", whole=True)
+def blast_radius(spark, sf, whole=False):
+    return graph.blast_radius(_edges(spark, sf, whole), _focus(spark), 2)
 
 
-@query(f"{_RADIUS} SELECT src, dst, edge_type FROM ed WHERE src IN (SELECT id FROM rad) AND dst IN (SELECT id FROM rad)")
-def blast_radius_edges(spark, sf):
-    e = _edges(spark, sf)
+@query(f"{_RADIUS} SELECT src, dst, edge_type FROM ed WHERE src IN (SELECT id FROM rad) AND dst IN (SELECT id FROM rad)", whole=True)
+def blast_radius_edges(spark, sf, whole=False):
+    e = _edges(spark, sf, whole)
     return graph.induced(e, graph.blast_radius(e, _focus(spark), 2).select("id"))
 
 
-@query(f"{_RADIUS} SELECT focus, hop, count(*) AS n_nodes FROM rad GROUP BY ALL")
-def hop_tiers(spark, sf):
-    return graph.hop_tiers(graph.blast_radius(_edges(spark, sf), _focus(spark), 2))
+@query(f"{_RADIUS} SELECT focus, hop, count(*) AS n_nodes FROM rad GROUP BY ALL", whole=True)
+def hop_tiers(spark, sf, whole=False):
+    return graph.hop_tiers(graph.blast_radius(_edges(spark, sf, whole), _focus(spark), 2))
 
 
-@query(f"WITH {_GRAPH} SELECT 'p' || p_partkey AS id FROM part WHERE NOT EXISTS (SELECT 1 FROM bw WHERE bw.id = 'p' || p_partkey)")
-def graph_isolated_census(spark, sf):
+@query(f"WITH {_GRAPH} SELECT 'p' || p_partkey AS id FROM part WHERE NOT EXISTS (SELECT 1 FROM bw WHERE bw.id = 'p' || p_partkey)", whole=True)
+def graph_isolated_census(spark, sf, whole=False):
     nodes = table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"))
-    return graph.isolated(nodes, _edges(spark, sf))
+    return graph.isolated(nodes, _edges(spark, sf, whole))
 
 
 @query(
     f"""WITH {_GRAPH}, c AS (SELECT * FROM ed WHERE edge_type IN ('function_call', 'method_call') AND src <> dst)
-    SELECT DISTINCT dst AS focus, src AS other, 'caller' AS role FROM c WHERE dst IN ('s1', 'p1', 'p2') UNION SELECT DISTINCT src, dst, 'callee' FROM c WHERE src IN ('s1', 'p1', 'p2')"""
+    SELECT DISTINCT dst AS focus, src AS other, 'caller' AS role FROM c WHERE dst IN ('s1', 'p1', 'p2') UNION SELECT DISTINCT src, dst, 'callee' FROM c WHERE src IN ('s1', 'p1', 'p2')""",
+    whole=True,
 )
-def caller_callee_roles(spark, sf):
-    return graph.classify(_edges(spark, sf), spark.createDataFrame([("s1",), ("p1",), ("p2",)], "id string"))
+def caller_callee_roles(spark, sf, whole=False):
+    return graph.classify(_edges(spark, sf, whole), spark.createDataFrame([("s1",), ("p1",), ("p2",)], "id string"))
 
 
 # --- resolution ---

@@ -1,0 +1,42 @@
+"""The graph queries over all orders, against brute force."""
+
+from __future__ import annotations
+
+import pytest
+
+from plinth.plans.queries import WHOLE
+
+
+@pytest.fixture(scope="module")
+def edges(spark, sf_dir):
+    """(src, dst) -> edge type of the first inserted."""
+    read = lambda name, *c: [tuple(r) for r in spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*c).collect()]
+    rows = [(f"s{s}", f"p{p}", 2 if n % 2 == 0 else 3, o, "function_call" if n % 2 == 0 else "method_call") for s, p, n, o in read("lineitem", "l_suppkey", "l_partkey", "l_linenumber", "l_orderkey")]
+    rows += [(f"n{n}", f"s{s}", 0, s, "contains") for n, s in read("supplier", "s_nationkey", "s_suppkey")]
+    rows += [(f"r{r}", f"n{n}", 5, n, "imports") for r, n in read("nation", "n_regionkey", "n_nationkey")]
+    found: dict = {}
+    for src, dst, *rest in rows:
+        found[src, dst] = min(found.get((src, dst), rest), rest)
+    return {k: v[2] for k, v in found.items()}
+
+
+def test_whole_graph(spark, sf_dir, edges):
+    run = lambda name: {tuple(r) for r in WHOLE[name](spark, sf_dir).collect()}
+    assert run("graph_edges_first_wins_whole") == {(*k, v) for k, v in edges.items()}
+    focus = {f"s{i}" for i in range(1, 6)}
+    calls = {k for k, v in edges.items() if v.endswith("call")}
+    assert run("graph_callees_whole") == {k for k in calls if k[0] in focus}
+    assert run("graph_callers_whole") == {(d, s) for s, d in calls if d in {f"p{i}" for i in range(1, 6)}}
+    near: dict = {}
+    for s, d in edges:
+        near.setdefault(s, set()).add(d)
+        near.setdefault(d, set()).add(s)
+    assert run("graph_neighbors_whole") == {(f, x) for f in focus for x in near.get(f, ())}
+    parts = {f"p{r[0]}" for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey").collect()}
+    assert run("graph_isolated_census_whole") == {(p,) for p in parts if p not in near}
+    radius = set()
+    for f in focus:
+        one = near.get(f, set()) - {f}
+        two = {y for x in one for y in near[x]} - one - {f}
+        radius |= {(f, f, 0)} | {(f, x, 1) for x in one} | {(f, x, 2) for x in two}
+    assert run("blast_radius_whole") == radius
