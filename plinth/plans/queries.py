@@ -354,11 +354,12 @@ def _symbols(spark, sf) -> DataFrame:
     f"""WITH {_SYMBOLS}, si AS (SELECT DISTINCT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS site_id, l_suppkey AS src, l_partkey % 20 AS file_id, p_type AS caller_class, p_brand AS callee, l_linenumber = 1 AS is_self, CASE WHEN l_linenumber = 2 THEN p_type END AS qualifier FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey <= 2000),
     ti AS (SELECT si.*, sy.id AS dst, sy.ordinal, sy.kind, CASE WHEN kind = 'method' AND is_self AND class_name = caller_class THEN 1 WHEN kind = 'method' AND class_name = qualifier THEN 2 WHEN kind = 'function' THEN 3 ELSE 4 END AS tier, CASE WHEN sy.file_id = si.file_id THEN 0 ELSE 1 END AS far FROM si JOIN sy ON sy.name = si.callee WHERE kind <> 'class'),
     r AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY tier, CASE WHEN tier <= 2 THEN 0 ELSE far END, ordinal) AS k FROM ti)
-    SELECT site_id, src, dst, CASE WHEN kind = 'method' THEN 'method_call' ELSE 'function_call' END AS edge_type FROM r WHERE k = 1"""
+    SELECT site_id, src, dst, CASE WHEN kind = 'method' THEN 'method_call' ELSE 'function_call' END AS edge_type FROM r WHERE k = 1""",
+    whole=True,
 )
-def resolve_call_preference(spark, sf):
+def resolve_call_preference(spark, sf, whole=False):
     part = table(spark, sf, "part").select("p_partkey", "p_type", "p_brand")
-    sites = table(spark, sf, "lineitem").where("l_orderkey <= 2000").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    sites = table(spark, sf, "lineitem").where("true" if whole else "l_orderkey <= 2000").join(part, F.col("l_partkey") == F.col("p_partkey"))
     sites = sites.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("site_id"), F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 20).alias("file_id"), F.col("p_type").alias("caller_class"), F.col("p_brand").alias("callee"), (F.col("l_linenumber") == 1).alias("is_self"), F.when(F.col("l_linenumber") == 2, F.col("p_type")).alias("qualifier")).distinct()
     return resolve.calls(sites, _symbols(spark, sf))
 
@@ -452,12 +453,13 @@ def context_budget(spark, sf):
     """WITH s AS (SELECT l_orderkey % 100 AS file_id, l_orderkey * 10 + l_linenumber AS chunk_id, l_partkey % 300 + 1 AS a, l_partkey % 300 + 1 + CAST(l_quantity AS INTEGER) AS b FROM lineitem WHERE l_orderkey < 4000),
     p AS (SELECT o_orderkey AS point_id, o_orderkey % 100 AS file_id, CAST(o_custkey % 350 + 1 AS INTEGER) AS line FROM orders WHERE o_orderkey < 4000),
     m AS (SELECT point_id, chunk_id, b - a AS width, row_number() OVER (PARTITION BY point_id ORDER BY b - a, a, chunk_id) AS rank FROM p JOIN s ON s.file_id = p.file_id AND line BETWEEN a AND b)
-    SELECT point_id, chunk_id, CAST(width AS INTEGER) AS width FROM m WHERE rank = 1"""
+    SELECT point_id, chunk_id, CAST(width AS INTEGER) AS width FROM m WHERE rank = 1""",
+    whole=True,
 )
-def enclosing_chunk_lookup(spark, sf):
+def enclosing_chunk_lookup(spark, sf, whole=False):
     start = (F.col("l_partkey") % 300 + 1).cast("int")
-    chunks = table(spark, sf, "lineitem").where("l_orderkey < 4000").select((F.col("l_orderkey") % 100).alias("file_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id"), start.alias("start_line"), (start + F.col("l_quantity").cast("int")).alias("end_line"))
-    points = table(spark, sf, "orders").where("o_orderkey < 4000").select(F.col("o_orderkey").alias("point_id"), (F.col("o_orderkey") % 100).alias("file_id"), (F.col("o_custkey") % 350 + 1).cast("int").alias("line"))
+    chunks = table(spark, sf, "lineitem").where("true" if whole else "l_orderkey < 4000").select((F.col("l_orderkey") % 100).alias("file_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id"), start.alias("start_line"), (start + F.col("l_quantity").cast("int")).alias("end_line"))
+    points = table(spark, sf, "orders").where("true" if whole else "o_orderkey < 4000").select(F.col("o_orderkey").alias("point_id"), (F.col("o_orderkey") % 100).alias("file_id"), (F.col("o_custkey") % 350 + 1).cast("int").alias("line"))
     return chunking.enclosing(points, chunks).where("rank = 1").select("point_id", "chunk_id", "width")
 
 
@@ -545,10 +547,11 @@ def json_claims_parse(spark, sf):
 @query(
     """WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS claim_id, l_suppkey AS file, CAST(l_partkey % 500 AS INTEGER) AS line FROM lineitem WHERE l_orderkey < 1000),
     f AS (SELECT o_orderkey AS finding_id, o_custkey % 100 + 1 AS file, CAST(o_orderkey % 500 AS INTEGER) AS line FROM orders)
-    SELECT claim_id, finding_id FROM c JOIN f ON c.file = f.file AND f.line BETWEEN c.line - 2 AND c.line + 2"""
+    SELECT claim_id, finding_id FROM c JOIN f ON c.file = f.file AND f.line BETWEEN c.line - 2 AND c.line + 2""",
+    whole=True,
 )
-def line_proximity_band(spark, sf):
-    claims = table(spark, sf, "lineitem").where("l_orderkey < 1000").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_id"), F.col("l_suppkey").alias("file"), (F.col("l_partkey") % 500).cast("int").alias("line"))
+def line_proximity_band(spark, sf, whole=False):
+    claims = table(spark, sf, "lineitem").where("true" if whole else "l_orderkey < 1000").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_id"), F.col("l_suppkey").alias("file"), (F.col("l_partkey") % 500).cast("int").alias("line"))
     findings = table(spark, sf, "orders").select(F.col("o_orderkey").alias("finding_id"), (F.col("o_custkey") % 100 + 1).alias("file"), (F.col("o_orderkey") % 500).cast("int").alias("line"))
     return review.near_findings(claims, findings)
 

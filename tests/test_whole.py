@@ -1,4 +1,4 @@
-"""The graph queries over all orders, against brute force."""
+"""Queries over whole tables, against brute force."""
 
 from __future__ import annotations
 
@@ -40,3 +40,40 @@ def test_whole_graph(spark, sf_dir, edges):
         two = {y for x in one for y in near[x]} - one - {f}
         radius |= {(f, f, 0)} | {(f, x, 1) for x in one} | {(f, x, 2) for x in two}
     assert run("blast_radius_whole") == radius
+
+
+def test_whole_tables(spark, tmp_path):
+    """Orders beyond the keys of the SQL have results."""
+    li = [(o, n, 1 + o * 7 % 9 + n, 1 + o % 3, float(20 + o % 50)) for o in (5, 900, 5003, 7005, 90103, 120005) for n in (1, 2, 3)]
+    parts = [(i, f"t{i % 2}", f"b{i % 2}") for i in range(1, 14)]
+    od = [(500003, 1), (500005, 2), (7005, 100), (90103, 11), (6, 100), (5, 4), (5003, 20), (500008, 1)]
+    for name, rows, schema in (
+        ("lineitem", li, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double"),
+        ("part", parts, "p_partkey long, p_type string, p_brand string"),
+        ("orders", od, "o_orderkey long, o_custkey long"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    run = lambda name, *c: sorted(tuple(r) for r in WHOLE[name](spark, str(tmp_path)).select(*c).collect())
+    want = sorted((o * 10 + n, f) for o, n, p, s, _ in li for f, c in od if c % 100 + 1 == s and abs(f % 500 - p % 500) <= 2)
+    assert want and run("line_proximity_band_whole", "claim_id", "finding_id") == want
+    best = {}
+    for f, c in od:
+        inside = [(int(q), p % 300 + 1, o * 10 + n) for o, n, p, _, q in li if o % 100 == f % 100 and p % 300 + 1 <= c % 350 + 1 <= p % 300 + 1 + int(q)]
+        if inside:
+            best[f] = min(inside)
+    assert any(f > 4000 for f in best) and run("enclosing_chunk_lookup_whole", "point_id", "chunk_id", "width") == sorted((f, k, w) for f, (w, _, k) in best.items())
+    sites = {(f"{o}-{n}-{p}-{s}", s, p, n) for o, n, p, s, _ in li}
+    kinds = ("function", "method", "class")
+    found = []
+    for site, src, p, n in sites:
+        own = dict((i, (t, b)) for i, t, b in parts)[p]
+        pool = []
+        for i, t, b in parts:
+            kind = kinds[i % 3]
+            if kind == "class" or b != own[1]:
+                continue
+            tier = 1 if kind == "method" and n == 1 and t == own[0] else 2 if kind == "method" and n == 2 and t == own[0] else 3 if kind == "function" else 4
+            pool.append((tier, 0 if tier <= 2 else int(i % 20 != p % 20), i, f"{kind}_call"))
+        if pool:
+            found.append((site, src, *min(pool)[2:]))
+    assert run("resolve_call_preference_whole", "site_id", "src", "dst", "edge_type") == sorted(found) and len(found) == len(sites)
