@@ -14,7 +14,8 @@ the join is a shuffled one, whose skewed partitions the adaptive engine splits.
 Defined cases: null or empty texts have no words, are never hit and hit nothing; an
 empty documents table gives an empty result, an empty benchmark hits nothing;
 repeated rows get equal results; rows sharing an id keep their own results; items
-sharing an id count once; other columns play no part.
+sharing an id count once; the windows of items without id hit like any other, but such
+items are not counted or named; other columns play no part.
 """
 
 from __future__ import annotations
@@ -40,81 +41,94 @@ def words(text: Column) -> Column:
 
 
 def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The distinct windows (array of words) with the sorted ids of their items."""
-    item = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where(F.col("item").isNotNull() & (F.size("w") > 0))
+    """The distinct windows (array of words) with the sorted ids of their items; none where no item with the window has an id."""
+    item = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (size - 1)))
     each = item.select("item", F.explode(F.transform(starts, lambda s: F.slice("w", s, size))).alias("window"))
     return each.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def with_prefix(found: DataFrame, docs: DataFrame, small: bool) -> DataFrame:
+def with_prefix(scratch: Scratch, found: DataFrame, docs: DataFrame, small: bool) -> DataFrame:
     """Each window with its rarest word in ``docs`` and that word's first offset; ties go to the lesser word."""
     vocabulary = found.select(F.explode("window").alias("word")).distinct()
     tokens = docs.select(F.explode(words(F.col("text"))).alias("word"))
-    seen = tokens.join(F.broadcast(vocabulary) if small else vocabulary, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    order = found.select("window", F.explode("window").alias("word")).distinct().join(seen, "word", "left")
+    # Kept as a table: only a join of two plain exchanges can be split where a word is in very many windows.
+    seen = scratch.keep(tokens.join(F.broadcast(vocabulary) if small else vocabulary, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    order = found.select("window", F.explode(F.array_distinct("window")).alias("word")).join(seen.hint("merge"), "word", "left")
     # A window with a word that no document has cannot occur.
     rarest = order.groupBy("window").agg(F.min(F.struct("n", "word")).alias("rare"), F.count("n").alias("known"), F.count("word").alias("all")).where("known = `all`")
     return found.join(rarest, "window").select("window", "items", F.col("rare.word").alias("token"), (F.array_position("window", F.col("rare.word")) - 1).cast("int").alias("offset"))
 
 
 def row_key(docs: DataFrame) -> Column:
-    """A hash of a row's id and text; rows with equal keys have equal results."""
-    return F.xxhash64(docs["doc_id"].cast("bigint"), docs["text"].cast("string"))
+    """What tells rows apart: hashes of id and text, and the text's length; rows with equal keys have equal results."""
+    id_, text = docs["doc_id"].cast("bigint"), docs["text"].cast("string")
+    return F.struct(F.xxhash64(id_, text).alias("a"), F.hash(text, id_).alias("b"), F.coalesce(F.octet_length(text), F.lit(-1)).alias("c"))
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """For each row of ``docs``: doc_id, n_words, n_hit, n_items, items (sorted ids), contaminated, and ``row_key`` (a hash of id and text)."""
+def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, row_id: str | None = None) -> DataFrame:
+    """For each row of ``docs``: doc_id, n_words, n_hit, n_items, items (sorted ids), contaminated.
+
+    ``row_id`` names a column that tells all rows apart and comes back; without it hashes of the rows do.
+
+    Every document ends in a token of its own that matches a window of no words; so one pass over the
+    texts finds the hits and the number of words.
+    """
     scratch = Scratch(spark, "decontaminate")
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("row_key", row_key(docs))
+    key = row_key(docs) if row_id is None else F.col(row_id)
+    docs = docs.select(key.alias("row_key"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = scratch.keep(windows(benchmark, size))
     small = found.count() <= BROADCAST_WINDOWS
-    keyed = scratch.keep(with_prefix(found, docs, small))
+    keyed = scratch.keep(with_prefix(scratch, found, docs, small))
 
-    own = ["row_key", F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("no_id")]
-    parsed = docs.select(*own, words(F.col("text")).alias("w"))
+    parsed = docs.select("row_key", "doc_id", words(F.col("text")).alias("w"))
     start = F.col("pos") - F.col("offset")
+    span = F.struct(F.col("start").alias("a"), (F.col("start") + F.size("window")).alias("b")).alias("span")
+    end = F.lit("")  # no word is empty
     if small:
         # Joined on the map side: the words are at hand and are never copied for a token.
-        tokens = parsed.select("row_key", "id", "no_id", "w", F.posexplode("w").alias("pos", "token"))
-        pairs = tokens.join(F.broadcast(keyed), "token").withColumn("start", start)
+        nothing = F.array().cast("array<string>")
+        prefixes = keyed.unionByName(spark.range(1).select(nothing.alias("window"), nothing.alias("items"), end.alias("token"), F.lit(0).alias("offset")))
+        tokens = parsed.select("row_key", "doc_id", "w", F.posexplode(F.array_append("w", end)).alias("pos", "token"))
+        pairs = tokens.join(F.broadcast(prefixes), "token").withColumn("start", start)
         fits = pairs.where((F.col("start") >= 0) & (F.col("start") + F.size("window") <= F.size("w")))
+        spans = fits.where(F.slice("w", F.col("start") + 1, F.size("window")) == F.col("window")).select("row_key", "doc_id", span, "items")
     else:
         # Tokens are shuffled without the words of their text; what fits meets them again.
-        tokens = parsed.select("row_key", "id", "no_id", F.size("w").alias("n"), F.posexplode("w").alias("pos", "token"))
+        tokens = parsed.select("row_key", F.size("w").alias("n"), F.posexplode("w").alias("pos", "token"))
         pairs = tokens.join(keyed.hint("merge"), "token").withColumn("start", start)
-        fits = pairs.where((F.col("start") >= 0) & (F.col("start") + F.size("window") <= F.col("n"))).select("row_key", "id", "no_id", "start", "window", "items")
-        fits = fits.join(parsed.hint("merge"), ["row_key", "id", "no_id"])
-    same = fits.where(F.slice("w", F.col("start") + 1, F.size("window")) == F.col("window"))
-    spans = same.select("row_key", "id", "no_id", F.struct(F.col("start").alias("a"), (F.col("start") + F.size("window")).alias("b")).alias("span"), "items")
+        fits = pairs.where((F.col("start") >= 0) & (F.col("start") + F.size("window") <= F.col("n"))).select("row_key", "start", "window", "items").distinct()
+        met = fits.join(parsed.distinct().hint("merge"), "row_key")
+        spans = met.where(F.slice("w", F.col("start") + 1, F.size("window")) == F.col("window")).select("row_key", "doc_id", span, "items")
+        n = F.size("w")
+        spans = spans.unionByName(parsed.select("row_key", "doc_id", F.struct(n.alias("a"), n.alias("b")).alias("span"), F.array().cast("array<string>").alias("items")))
     # A document has no more spans than words, and no more items than spans and the items that share a window.
     far = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("far")),
         lambda x, s: F.struct((x["n"] + F.greatest(F.lit(0), s["b"] - F.greatest(s["a"], x["far"]))).alias("n"), F.greatest(x["far"], s["b"]).alias("far")),
     )
-    hits = (
-        spans.groupBy("row_key", "id", "no_id")
-        .agg(F.collect_set("span").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-        .select("row_key", "id", "no_id", far["n"].cast("bigint").alias("n_hit"), "items")
+    each = spans.groupBy("row_key", "doc_id").agg(
+        F.collect_set("span").alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        F.max("span.b").cast("bigint").alias("n_words"),
+        F.count_if(F.col("span.a") == F.col("span.b")).cast("int").alias("n_rows"),
     )
-    rows = docs.select("doc_id", *own, F.size(words(F.col("text"))).cast("bigint").alias("n_words"))
-    n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
-    return rows.join(hits, ["row_key", "id", "no_id"], "left").select(
+    each = each.withColumn("n_hit", far["n"].cast("bigint"))
+    return each.select(
         "doc_id",
         "n_words",
-        n_hit.alias("n_hit"),
-        F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("n_items"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"),
-        "row_key",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        "items",
+        ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"),
+        F.explode(F.array_repeat("row_key", F.col("n_rows"))).alias("row_key" if row_id is None else row_id),
     )
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.select("doc_id", "n_words", "n_hit", F.when(F.size("items") > 0, F.col("n_items")).otherwise(0).cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 SQL = r"""

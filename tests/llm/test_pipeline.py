@@ -37,7 +37,7 @@ def test_stages_like_brute_force(spark, docs, texts, tmp_path):
             assert sorted(i for i, _ in got) == sorted(str(x[0]) for x in want if x[3])
             kept = [(r.doc_id, r.text) for r in now.collect()]
         else:
-            clean = {str(x[0]) for x in plain_hits(kept, items) if not x[4]}
+            clean = {str(x[0]) for x in plain_hits(kept, items) if not x[2]}
             assert {i for i, _ in got} == clean
         if name == "toxicity":
             assert got == sorted((str(i), t or "") for i, t in kept)
@@ -52,6 +52,19 @@ def test_empty_tables(spark, none, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-def test_names_that_clash(spark, docs):
+def test_names_that_clash(spark, docs, texts, tmp_path):
     clashing = docs.withColumnRenamed("lang", "row_number").withColumnRenamed("source", "Row_Key")
-    assert corpus_pipeline.drop_copies(spark, clashing, "").columns == clashing.columns
+    spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, texts[0][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clashing, str(tmp_path))
+        assert out.columns == clashing.columns, name
+        assert out.count() == stage(spark, docs, str(tmp_path)).count() > 0, name
+
+
+def test_a_long_document_with_one_window_goes(spark, docs, tmp_path):
+    item = " ".join(f"w{i}" for i in range(13))
+    rows = [(1, "a " * 5000 + item + " b" * 5000), (2, "a " * 5000 + item[:-1] + " b" * 5000), (3, "clean"), (None, item)]
+    own = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(None, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_contaminated(spark, own, str(tmp_path)).collect()) == [2, 3]

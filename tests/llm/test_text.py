@@ -160,7 +160,7 @@ def plain_hits(texts, items, size=13):
     for item, t in items:
         w = words(t)
         for i in range(max(1, len(w) - size + 1)) if w else []:
-            windows.setdefault(tuple(w[i : i + size]), set()).add(str(item))
+            windows.setdefault(tuple(w[i : i + size]), set()).update([] if item is None else [str(item)])
     sizes = {len(w) for w in windows}
     out = []
     for doc, t in texts:
@@ -168,7 +168,7 @@ def plain_hits(texts, items, size=13):
         for n in sizes:
             for i in range(len(w) - n + 1):
                 own = windows.get(tuple(w[i : i + n]))
-                if own:
+                if own is not None:
                     hit.update(range(i, i + n))
                     found |= own
         out.append((doc, len(w), len(hit), ",".join(sorted(found)), bool(hit) and 20 * len(hit) >= len(w)))
@@ -179,7 +179,7 @@ def plain_hits(texts, items, size=13):
 def test_hits(spark, docs, texts, none, limit, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
     base = [t for _, t in texts if t and len(t.split()) > 50]
-    items = [(1, " ".join(base[0].split()[3:30])), (10, base[1]), (2, "one two"), (3, None), (4, ""), (5, "no such words anywhere"), (1, base[2]), (7, "thné! heß")]
+    items = [(1, " ".join(base[0].split()[3:30])), (10, base[1]), (2, "one two"), (3, None), (4, ""), (5, "no such words anywhere"), (1, base[2]), (7, "thné! heß"), (None, " ".join(base[3].split()[:20])), (None, base[1])]
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, window long")
     got = decontaminate.decontaminate(spark, docs, bench).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"]), r.contaminated) for r in got), key=str) == plain_hits(texts, items)
