@@ -5,8 +5,9 @@ writes each result as Parquet and reads it again.  All stages but the last retur
 ``docs``.  Of repeated rows one stays.
 
 Defined cases: null and empty texts pass the first stage; of all empty texts one stays after exact
-dedup; rows without id are kept or dropped by their text alone; an empty table stays empty; further
-columns are carried along under their names.
+dedup; rows without id are kept or dropped by their text alone; a document goes if it holds any
+window of the benchmark, items without id included; an empty table stays empty; further columns are
+carried along under their names.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ def _keyed(scratch: Scratch, docs: DataFrame) -> tuple[DataFrame, str]:
     A hash of id and text does, unless a row repeats; then the rows are written with a number.
     """
     key = _free_name(docs, "row_key")
-    keyed = docs.withColumn(key, decontamination.row_key(docs))
+    id_, text = F.col("doc_id").cast("bigint"), F.col("text").cast("string")
+    keyed = docs.withColumn(key, F.xxhash64(id_, text))
     if keyed.groupBy(key).count().where("count > 1").isEmpty():
         return keyed, key
     return scratch.write(docs.withColumn(key, F.monotonically_increasing_id()), "numbered"), key
@@ -68,11 +70,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document that holds a window of the benchmark goes, however long it is.
+
+    The operator's ``contaminated`` weighs the hits against the length and so lets a long document
+    through that holds a whole item; for a training corpus the item must not stay.
+    """
     scratch = Scratch(spark, "pipeline-benchmark")
-    found = decontamination.decontaminate(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
-    key = _free_name(docs, "row_key")
-    keyed = docs.withColumn(key, decontamination.row_key(docs))
-    return _without(scratch, keyed, found.select(F.col("row_key").alias(key)), key)
+    rows, key = _keyed(scratch, docs)
+    found = decontamination.decontaminate(spark, rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), row_id=key)
+    return _without(scratch, rows, found.where("n_hit > 0"), key)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
