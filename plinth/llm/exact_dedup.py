@@ -10,8 +10,9 @@ slot equal its own; members join the group of the slot, the others are grouped
 among themselves.
 
 Rows are aggregated by digest before anything is dealt to buckets, so a group of
-copies of any size is one row there, and a bucket holds a bounded number of
-distinct digests.
+copies of any size is one row there.  There are as many buckets as the distinct
+digests of history and of the new rows together ask for, so a bucket holds about
+BUCKET_KEYS of them however little history there is.
 
 Defined cases: null text counts as empty; all empty texts are one group; a tie in
 length goes to the smallest id, null ids lose to all others, and of repeated rows
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, Scratch, crc32_mod, documents, pieces_of
 
-#: Distinct digests of history that a bucket holds on average.
+#: Distinct digests, of history and new, that a bucket holds on average.
 BUCKET_KEYS = 4096
 #: Digests that share one displacement, on average.
 GROUP_KEYS = 4
@@ -208,9 +209,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, is_history=None, row_id: s
     number = F.monotonically_increasing_id() if row_id is None else F.col(row_id)
     rows = scratch.write(digests(docs, number, old), "digests")
     history = scratch.keep(winners(rows.where("old")))
-    n_buckets = max(1, -(-history.count() // BUCKET_KEYS))
+    fresh = scratch.keep(winners(rows.where("not old")))
+    n_buckets = max(1, -(-(history.count() + fresh.count()) // BUCKET_KEYS))
     index = build_index(history, n_buckets)
-    groups = scratch.keep(look_up(winners(rows.where("not old")), index, n_buckets))
+    groups = scratch.keep(look_up(fresh, index, n_buckets))
     # A hot group is one row of the right side; the left side is split by the adaptive skew join.
     joined = rows.join(groups.hint("merge"), "digest")
     return joined.select(

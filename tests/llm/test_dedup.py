@@ -77,6 +77,23 @@ def test_copies(spark, docs, texts, history):
     assert all(r.doc_id == r.keep_id for r in got if r.kept)
 
 
+@pytest.mark.parametrize("history", [False, True])
+def test_buckets_are_bounded_without_history(spark, monkeypatch, history):
+    """New digests alone are dealt to as many buckets as digests of history are."""
+    monkeypatch.setattr(exact_dedup, "BUCKET_KEYS", 16)
+    seen = []
+    plain = exact_dedup.look_up
+    monkeypatch.setattr(exact_dedup, "look_up", lambda fresh, index, n: seen.append((fresh, n)) or plain(fresh, index, n))
+    docs = spark.range(800).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 400).alias("text"))
+    got = exact_dedup.exact_dedup(spark, docs, F.lit(history)).collect()
+    assert len(got) == 800 and {r.group_size for r in got} == {2} and sum(r.kept for r in got) == 400
+    [(fresh, n)] = seen
+    assert n == 25
+    if not history:
+        sizes = [r["count"] for r in fresh.groupBy(exact_dedup.bucket_of(F.col("digest"), n)).count().collect()]
+        assert sum(sizes) == 400 and max(sizes) < 40
+
+
 def test_no_copies(spark, none):
     assert exact_dedup.exact_dedup(spark, none).count() == 0
 
