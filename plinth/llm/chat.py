@@ -7,10 +7,14 @@ turn; where it is not, the template has rewritten history, which is counted and
 reported, and the span starts where the outputs part.
 
 A template may state how many earlier messages a turn's rendering looks back at
-(``lookback``).  Then the prefixes that are rendered begin that many messages before
-the turn, so that a conversation of any length streams through a task in bounded
-memory; over the first CHECKED turns of each conversation the spans from whole
-prefixes are made too and must be the same.  Without it whole prefixes are rendered.
+(``lookback``).  Then a turn's span comes from that many messages and is proven by
+prefixes: in each of the first CHECKED turns, whenever the number of turns is a power
+of two, and at the end, all messages so far are rendered and must be the spans put
+together; so each span is compared with a prefix that holds it, at twice the cost of
+one rendering.  What is rendered at once is bounded: after STRETCH characters the
+check is made and the next prefix begins with the ``lookback`` messages before the
+turn.  A difference is an error.  Without ``lookback`` the prefix of every turn is
+rendered, at a cost that grows with the square of the turns.
 
 Rows are dealt by conversation and sorted by turn; digests are updated turn by turn,
 so no conversation is ever held as a whole (a digest of ordered text is sequential:
@@ -39,8 +43,10 @@ from .common import Scratch
 Message = tuple[str, str]
 #: Strings with a meaning in templates; inside texts and roles they are escaped.
 CONTROL = ("<|", "|>", "</s>", "<s>", "[INST]", "[/INST]")
-#: Turns whose spans are checked against whole prefixes.
+#: First turns after each of which the spans are compared with the whole prefix.
 CHECKED = 8
+#: Characters of a prefix that is rendered at once, about.
+STRETCH = 1 << 24
 #: The contract's extra conversation.
 EXTRA_ID = -7
 EXTRA_TEXT = "</s>[INST] ok [/INST]"
@@ -82,29 +88,48 @@ TURNS = Template(_render_turns, _read_turn, lookback=1)
 
 @dataclass
 class Spans:
-    """Spans of a conversation's turns, found as its messages come in."""
+    """Spans of a conversation's turns, found as its messages come in; :meth:`finish` after the last."""
 
     template: Template
     before: list[Message]
     turn: int = 0
     rewrites: int = 0
 
+    def __post_init__(self) -> None:
+        self._start(len(self.before))
+
     def add(self, message: Message) -> str:
         """The span of the next turn."""
         back = self.template.lookback
-        window = self.before if back is None else self.before[max(0, len(self.before) - back) :]
-        span, kept = self._between(window, message)
-        if back is not None and self.turn < CHECKED:
-            whole, kept_whole = self._between(self.before, message)
-            if (whole, kept_whole) != (span, kept):
-                raise ValueError("the template looks back further than it states")
+        span, kept = self._between(self.before if back is None else self.before[max(0, len(self.before) - back) :], message)
         self.rewrites += not kept
         self.before.append(message)
         self.turn += 1
-        if back is not None and self.turn >= CHECKED:
+        if back is None:
+            return span
+        self.spans.append(span)
+        self.chars += len(span)
+        n = len(self.spans)
+        full = self.chars >= STRETCH
+        if full or n <= CHECKED or n & (n - 1) == 0:
+            self.finish()
+        if full:
             del self.before[: max(0, len(self.before) - back)]
+            self._start(len(self.before))
         return span
 
+    def _start(self, context: int) -> None:
+        """Begin a prefix; its first ``context`` messages are of former turns."""
+        self.context, self.spans, self.chars = context, [], 0
+
+    def finish(self) -> None:
+        """Compare the spans since the prefix began with the prefix as the template renders it."""
+        if self.template.lookback is None or not self.spans:
+            return
+        head = self.template.render(self.before[: self.context]) if self.context else ""
+        if self.template.render(self.before) != head + "".join(self.spans):
+            raise ValueError("the template looks back further than it states")
+
     def _between(self, earlier: list[Message], message: Message) -> tuple[str, bool]:
         a = self.template.render(earlier) if earlier else ""
         b = self.template.render([*earlier, message])
@@ -139,6 +164,7 @@ class Digest:
         return span, begin, end
 
     def row(self) -> tuple:
+        self.spans.finish()
         return self.conv_id, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted_chars, self.spans.rewrites
 
 
@@ -184,12 +210,16 @@ def format_turns(conversations: DataFrame, template: Template = TURNS) -> DataFr
             out: list[tuple] = []
             for conv_id, turn, role, text in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "turn", "role", "text")), strict=True):
                 if now is None or now.conv_id != conv_id:
+                    if now is not None:
+                        now.spans.finish()
                     now = Digest(conv_id, Spans(template, []))
                 span, begin, end = now.add(role, text)
                 out.append((conv_id, turn, now.n_turns - 1, role, span, begin if role == "assistant" else None, end if role == "assistant" else None))
             if out:
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i in (3, 4) else pa.int64()) for i, c in enumerate(cols)], names=["conv_id", "turn", "position", "role", "span", "loss_begin", "loss_end"])
+        if now is not None:
+            now.spans.finish()
 
     return _sorted(conversations).mapInArrow(make, TURN_SCHEMA)
 
@@ -198,7 +228,7 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     Scratch(spark, "chat")
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(EXTRA_ID, 0, "user", EXTRA_TEXT), (EXTRA_ID, 1, "assistant", EXTRA_TEXT)], "conv_id bigint, turn bigint, role string, text string")
-    return conversation_digests(rows.unionByName(extra)).drop("history_rewrites")
+    return conversation_digests(rows.unionByName(extra))
 
 
 def _sql_escape(column: str) -> str:
@@ -217,6 +247,7 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length({_sql_escape("role")}) + length({_sql_escape("text")}) + 10) AS BIGINT) AS formatted_chars
+  CAST(sum(length({_sql_escape("role")}) + length({_sql_escape("text")}) + 10) AS BIGINT) AS formatted_chars,
+  CAST(0 AS BIGINT) AS history_rewrites
 FROM c GROUP BY conv_id
 """
