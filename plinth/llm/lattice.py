@@ -50,8 +50,9 @@ class Vocabulary:
 class PieceIndex:
     """Pieces and beginnings of pieces by a rolling hash of their characters, in two-choice tables.
 
-    Every string of the vocabulary's table lies in one of two slots, which are told by its hash; a
-    lookup compares the whole 64-bit hash with both.
+    Every string of the vocabulary's table lies in one of two slots, which are told by its hash.
+    Strings are looked up from their first character on; a slot is right if its string is that of the
+    former slot and the next character, so strings of equal hashes are told apart.
     """
 
     FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -68,6 +69,8 @@ class PieceIndex:
         self.keys = np.zeros(2 << self.BITS, dtype=np.uint64)
         self.values = np.full(2 << self.BITS, MISSING)
         self.ids = np.full(2 << self.BITS, -1, dtype=np.int32)
+        self.before = np.full(2 << self.BITS, -1, dtype=np.int32)
+        self.last = np.zeros(2 << self.BITS, dtype=np.uint32)
         one, two = (x.tolist() for x in self.slots(hashes))
         owner: dict[int, int] = {}
         for i in range(len(names)):
@@ -78,6 +81,9 @@ class PieceIndex:
             owner[at] = now
         at, own = np.fromiter(owner, np.int64), np.fromiter(owner.values(), np.int64)
         self.keys[at], self.values[at], self.ids[at] = hashes[own], values[own], ids[own]
+        slot_of = {names[i]: a for a, i in zip(at.tolist(), own.tolist(), strict=True)}  # all beginnings of a piece are in the table
+        self.before[at] = [slot_of.get(names[i][:-1], -1) for i in own.tolist()]
+        self.last[at] = [ord(names[i][-1]) for i in own.tolist()]
 
     @classmethod
     def hash_of(cls, piece: str) -> int:
@@ -92,10 +98,11 @@ class PieceIndex:
         two = ((x * np.uint64(0xAF251AF3B0F025B5)) >> np.uint64(64 - self.BITS)) + np.uint64(1 << self.BITS)
         return one.astype(np.int64), two.astype(np.int64)
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The slot of each hash, or -1."""
+    def find(self, hashes: np.ndarray, before: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The slot of each string, or -1, from its hash, the slot of what stands before its last character, and that character."""
         one, two = self.slots(hashes)
-        return np.where(self.keys[one] == hashes, one, np.where(self.keys[two] == hashes, two, -1))
+        slot = np.where(self.keys[one] == hashes, one, np.where(self.keys[two] == hashes, two, -1))
+        return np.where((slot >= 0) & (self.before[slot] == before) & (self.last[slot] == last), slot, -1)
 
 
 def load_vocabulary(path: str) -> Vocabulary:
@@ -166,16 +173,18 @@ def arc_slots(chars: np.ndarray, index: PieceIndex) -> np.ndarray:
     wide = chars.astype(np.uint64) + np.uint64(1)
     at_row, at_pos = (x.ravel() for x in np.meshgrid(np.arange(m), np.arange(n), indexing="ij"))
     code = np.zeros(m * n, dtype=np.uint64)
+    slot = np.full(m * n, -1, dtype=np.int64)
     found = []
     for size in range(1, min(n, index.longest) + 1):
-        code = code * index.FACTOR + wide[at_row, at_pos + size - 1]
-        slot = index.find(code)
+        last = at_pos + size - 1
+        code = code * index.FACTOR + wide[at_row, last]
+        slot = index.find(code, slot, chars[at_row, last])
         piece = (slot >= 0) & (index.values[slot] <= 0)
         here = np.full((n, m), -1, dtype=np.int32)
         here[at_pos[piece], at_row[piece]] = slot[piece]
         found.append(here)
         on = (slot >= 0) & (at_pos + size < n)
-        at_row, at_pos, code = at_row[on], at_pos[on], code[on]
+        at_row, at_pos, code, slot = at_row[on], at_pos[on], code[on], slot[on]
         if not len(code):
             break
     return np.stack(found)

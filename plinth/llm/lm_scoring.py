@@ -1,33 +1,29 @@
-r"""Language-model scores: marginal likelihood over a subword lattice.
-
-Tokens are words and one end for each text.  A word's lattice has the arcs of the
-existing vocabulary's pieces, weighted by unigram scores, and one arc for the whole word,
-weighted by its count in the training texts; the marginal probability of the word is the
-sum over all paths, by a forward recursion in log space.
-
-The vocabulary's own scores are ranks, not probabilities, so they only start the piece
-weights (a piece of rank r begins with 1 / (r + 3)); one expectation-maximisation pass
-over the counts of all training words then makes them probabilities of this corpus.
-With N tokens, V words and the absolute discount D = n1 / (n1 + 2 n2) (n1, n2: words
-seen once, twice), the whole-word arc of a word seen c times weighs (c - D) / N, the
-paths over pieces together D V / N, and the end its own relative frequency: these
-add up to one over all words.
-
-Texts come in kinds (languages above all), so the model has CLASSES latent classes of
-texts: in a class the words' weights are the discounted counts in the training texts of
-that class, and what the discount leaves goes to the model above.  A text's probability
-is the sum over the classes, each weighted by its share of the training texts.  The
-classes are multinomial mixtures over hashed words, found by expectation maximisation in
-passes over all training texts; all counts are over all training texts too.
+"""Language-model scores: marginal likelihood over a subword lattice.
+
+A text is a sequence of words and one end.  A word stands for all sequences of vocabulary
+pieces that spell it; the probability of a sequence is the product of its pieces', that of
+the word the sum over all its segmentations, by a forward recursion in log space.  No piece
+crosses a word's bounds, so the text's marginal probability is the product of its words'
+and the end's.  Pieces and the end share one distribution, which makes the probabilities of
+all texts add up to one at most.
+
+The existing vocabulary's scores say which pieces are likelier.  They are ranks, not
+probabilities, so they only start the piece weights (a piece of rank r begins with
+1 / (r + 3)); EM_ROUNDS passes of expectation maximisation over the counts of all training
+words then make them probabilities of this corpus.
+
+Beside ``score`` comes ``word_score``, in which a word seen in training has an arc of its own:
+with N tokens, V words and the absolute discount D = n1 / (n1 + 2 n2) (n1, n2: words seen
+once, twice) it weighs (c - D) / N, the marginal over pieces D V / N, and the end its own
+relative frequency.
 
 The counts of all words stay a table.  The most frequent words (HEAD at most) are
 broadcast and take care of most tokens on the map side; all other words of a text are
 joined with the table, pre-aggregated by text.
 
 Defined cases: null and empty texts have the end alone; with no training text the base
-is log10(1) for each token and the model has only its pieces, of equal weight, and
-ends of weight one; repeated rows score alike; an empty table gives an empty result;
-other columns play no part.
+is log10(1) for each token and all pieces and the end have equal weight; repeated rows
+score alike; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -41,9 +37,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
-from .common import BATCH_BYTES, Scratch, byte_view, crc32_mod, documents, gathered, mixed, pieces_of, string_hashes, unique_words, words_of
+from .common import BATCH_BYTES, Scratch, crc32_mod, documents, gathered, unique_words, words_of
 from .lattice import MARK, PieceIndex, Vocabulary, arc_slots, arcs_from, load_vocabulary, same_length
 from .sentencepiece_coding import VOCABULARY
 
@@ -52,10 +47,8 @@ MODULUS, HELD_OUT = 7, 2
 HEAD = 1 << 17
 #: Bytes of words whose lattices are summed at once.
 WORD_BYTES = 1 << 18
-#: Latent classes of texts, and the buckets of their hashed words.
-CLASSES, CLASS_BUCKETS = 8, 4096
-#: The unit in which sums over texts are added up.
-ULP = 2.0**-20
+#: Passes of expectation maximisation over the counted words.
+EM_ROUNDS = 3
 #: What every piece is given beside its expected count.
 SMOOTHING = 0.01
 LN10 = math.log(10.0)
@@ -73,8 +66,9 @@ class Pieces:
     index: PieceIndex
 
 
-def pieces(vocabulary: Vocabulary, weights: np.ndarray) -> Pieces:
-    logs = np.log(weights / weights.sum())
+def pieces(vocabulary: Vocabulary, weights: np.ndarray, end: float) -> Pieces:
+    """``end``: the weight of the end, which shares one distribution with the pieces."""
+    logs = np.log(weights / (weights.sum() + end))
     table = {k: 1.0 for k, v in vocabulary.table.items() if v > 0}
     table.update((p, float(logs[i])) for p, i in vocabulary.ids.items())
     return Pieces(table, [float(logs[i]) for i in vocabulary.byte_ids], logs, vocabulary.index())
@@ -189,204 +183,76 @@ def _expected_long(unit: str, times: float, vocabulary: Vocabulary, weights: np.
             found[i] += share
 
 
-@dataclass(frozen=True)
-class Classes:
-    """ln probability of each bucket in each class, and of the classes."""
-
-    buckets: np.ndarray
-    prior: np.ndarray
-
-    def of(self, distinct: pa.Array, code: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The likeliest class of each text."""
-        bucket = _bucket(distinct)
-        best, found = np.full(len(offsets) - 1, -np.inf), np.zeros(len(offsets) - 1, dtype=np.int64)
-        for k in range(len(self.prior)):
-            run = np.concatenate([[0.0], np.cumsum(self.buckets[k][bucket][code])])
-            value = run[offsets[1:]] - run[offsets[:-1]] + self.prior[k]
-            found[value > best] = k
-            best = np.maximum(best, value)
-        return found
-
-
-def _bucket(distinct: pa.Array) -> np.ndarray:
-    return (mixed(string_hashes(distinct)) & np.uint64(CLASS_BUCKETS - 1)).astype(np.int64)
-
-
-def bags(texts: DataFrame) -> DataFrame:
-    """buckets and counts (packed numbers) of each text, and place, a hash that orders the texts."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_of(batches):
-            tokens, offsets = words_of(batch.column("text"))
-            distinct, code = unique_words(tokens)
-            text_of = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-            pair, times = np.unique(text_of * CLASS_BUCKETS + _bucket(distinct)[code], return_counts=True)
-            ends = np.searchsorted(pair, np.arange(batch.num_rows + 1) * CLASS_BUCKETS)
-            packed = [pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x in ((pair % CLASS_BUCKETS).astype(np.uint16), times.astype(np.uint32))]
-            yield pa.RecordBatch.from_arrays([batch.column("place"), *packed], names=["place", "buckets", "counts"])
-
-    rows = texts.select(F.xxhash64("doc_id", "text").alias("place"), "text")
-    return rows.mapInArrow(make, "place bigint, buckets binary, counts binary")
-
-
-def dense_bags(batch: pa.RecordBatch) -> np.ndarray:
-    """A row of CLASS_BUCKETS counts for each bag."""
-    found = np.zeros((batch.num_rows, CLASS_BUCKETS), dtype=np.float32)
-    flat, offsets = byte_view(batch.column("buckets"))
-    times, _ = byte_view(batch.column("counts"))
-    found[np.repeat(np.arange(batch.num_rows), np.diff(offsets) // 2), flat.view(np.uint16)] = times.view(np.uint32)
-    return found
-
-
-def class_sums(texts: DataFrame, logs: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    """One pass of expectation over all bags for each try: (try, class, numbers): the texts' shares, their ln likelihood (in class 0) and the mass of each bucket.
-
-    The sums are whole numbers of ULP, so they don't depend on the order of tasks.
-    """
-    tries, k, _ = logs.shape
-    shared = texts.sparkSession.sparkContext.broadcast((np.ascontiguousarray(logs.reshape(tries * k, -1).T, dtype=np.float32), prior.reshape(-1)))  # tries x CLASSES x CLASS_BUCKETS numbers
-
-    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, start = shared.value
-        found = np.zeros((tries * k, CLASS_BUCKETS + 2))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            counts = dense_bags(batch)
-            joint = ((counts @ weights).astype(np.float64) + start).reshape(-1, tries, k)
-            total = np.logaddexp.reduce(joint, axis=2)
-            share = np.exp(joint - total[:, :, None]).reshape(-1, tries * k)
-            found[:, 0] += share.sum(axis=0)
-            found[::k, 1] += total.sum(axis=0)
-            found[:, 2:] += share.T.astype(np.float32) @ counts
-        whole = np.rint(found / ULP).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(tries * k), pa.int32()), pa.array([x.tobytes() for x in whole], pa.binary())], names=["j", "sums"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for j, x in zip(batch.column("j").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-                found[j] = found.get(j, 0) + np.frombuffer(x, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], names=["j", "sums"])
-
-    schema = "j int, sums binary"
-    rows = texts.mapInArrow(expect, schema).repartition("j").mapInArrow(add, schema).collect()  # tries x CLASSES rows
-    shared.destroy()
-    out = np.zeros((tries * k, CLASS_BUCKETS + 2))
-    for j, x in rows:
-        out[j] = np.frombuffer(x, np.int64) * ULP
-    return out.reshape(tries, k, -1)
-
-
-def fit_classes(training: DataFrame, k: int = CLASSES, rounds: int = 25, tries: int = 4) -> Classes:
-    """A mixture of ``k`` multinomials over the bucket counts of all training texts; the best of some starts.
-
-    Each round is a pass over all texts.  A start is ``k`` texts, chosen by a hash among all.
-    """
-    parts = training.rdd.getNumPartitions()
-    # A task sends tries x CLASSES x CLASS_BUCKETS sums a round, so it takes in some partitions where there are more than cores.
-    texts = bags(training.coalesce(max(1, min(parts, max(training.sparkSession.sparkContext.defaultParallelism, parts // 4))))).persist(StorageLevel.DISK_ONLY)
-    try:
-        first = texts.orderBy("place", "buckets", "counts").limit(tries * k).toArrow().combine_chunks().to_batches()  # tries x CLASSES rows
-        if not first:
-            return Classes(np.full((1, CLASS_BUCKETS), -math.log(CLASS_BUCKETS)), np.zeros(1))
-        seeds = dense_bags(first[0]).astype(np.float64)
-        every = class_sums(texts, np.zeros((1, 1, CLASS_BUCKETS)), np.zeros((1, 1)))[0, 0]
-        n = every[0]
-        logs = np.log(seeds[np.arange(tries * k) % len(seeds)].reshape(tries, k, -1) + 0.1 + every[2:] / n)
-        logs -= np.logaddexp.reduce(logs, axis=2, keepdims=True)
-        prior = np.full((tries, k), -math.log(k))
-        value = np.zeros(tries)
-        for _ in range(rounds):
-            sums = class_sums(texts, logs, prior)
-            value = sums[:, 0, 1]
-            mass = sums[:, :, 2:] + 0.1
-            logs = np.log(mass) - np.log(mass.sum(axis=2, keepdims=True))
-            prior = np.log((sums[:, :, 0] + 1) / (n + k))
-        best = int(np.argmax(value))
-        return Classes(logs[best], prior[best])
-    finally:
-        texts.unpersist()
-
-
-def word_counts(docs: DataFrame, classes: Classes) -> DataFrame:
-    """word, n and by (its parts by class): occurrences in all texts, pre-aggregated in each task; END counts texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes)  # CLASSES x CLASS_BUCKETS numbers
-    kinds = len(classes.prior)
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word and n: occurrences in all texts, pre-aggregated in each task; END counts texts."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches):
-            tokens, offsets = words_of(batch.column("text"))
+            tokens, _ = words_of(batch.column("text"))
             distinct, code = unique_words(tokens)
-            of_text = shared.value.of(distinct, code, offsets)
-            pair = np.bincount(np.repeat(of_text, np.diff(offsets)) * len(distinct) + code, minlength=kinds * len(distinct))
-            at = np.flatnonzero(pair)
-            texts = np.bincount(of_text, minlength=kinds)
-            words = pa.concat_arrays([distinct.take(pa.array(at % max(1, len(distinct)))), pa.array([END] * kinds)])
-            k = np.concatenate([at // max(1, len(distinct)), np.arange(kinds)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([words, pa.array(k), pa.array(np.concatenate([pair[at], texts]))], names=["word", "k", "n"])
-
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(make, "word string, k int, n bigint")
-    parts = [F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)) for k in range(kinds)]
-    return rows.groupBy("word").agg(F.sum("n").alias("n"), *(p.alias(f"c{k}") for k, p in enumerate(parts))).select("word", "n", F.array(*(f"c{k}" for k in range(kinds))).alias("by"))
+            n = np.append(np.bincount(code, minlength=len(distinct)), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([distinct, pa.array([END])]), pa.array(n.astype(np.int64))], names=["word", "n"])
 
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(make, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
-def fit_pieces(counts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """Piece weights after one expectation-maximisation pass over all counted words."""
-    start = first_weights(vocabulary)
-    start = start / start.sum()
-    shared = counts.sparkSession.sparkContext.broadcast((vocabulary, vocabulary.index(), start))
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, index, weights = shared.value
-        found = np.zeros(len(weights))
-        for batch in gathered(batches, "word", WORD_BYTES):
-            found += expected([MARK + x for x in batch.column("word").to_pylist()], np.asarray(batch.column("n"), dtype=np.float64), own, index, weights)
-        at = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(found[at])], names=["piece", "n"])
-
-    weights = np.full(len(start), SMOOTHING)
-    for piece, n in counts.mapInArrow(make, "piece int, n double").groupBy("piece").agg(F.sum(F.col("n").cast("decimal(38,9)")).cast("double").alias("n")).collect():  # a row for each piece
-        weights[piece] += n
-    used = np.zeros(len(start), dtype=bool)
+def fit_pieces(counts: DataFrame, vocabulary: Vocabulary, ends: int) -> np.ndarray:
+    """Piece weights after EM_ROUNDS passes of expectation maximisation over all counted words."""
+    weights = first_weights(vocabulary)
+    used = np.zeros(len(weights), dtype=bool)
     used[[*vocabulary.ids.values(), *vocabulary.byte_ids]] = True
-    return np.where(used, weights, 1e-300)
+    index = vocabulary.index()
+    for turn in range(EM_ROUNDS):
+        share = weights / (weights.sum() + (ends if turn else 0))  # the weights to start with are not on the scale of counts
+        shared = counts.sparkSession.sparkContext.broadcast((vocabulary, index, share))  # fixed size: the vocabulary
+
+        def make(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own, index, weights = shared.value
+            found = np.zeros(len(weights))
+            for batch in gathered(batches, "word", WORD_BYTES):
+                found += expected([MARK + x for x in batch.column("word").to_pylist()], np.asarray(batch.column("n"), dtype=np.float64), own, index, weights)
+            at = np.flatnonzero(found)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(found[at])], names=["piece", "n"])
+
+        weights = np.full(len(weights), SMOOTHING)
+        for piece, n in counts.mapInArrow(make, "piece int, n double").groupBy("piece").agg(F.sum(F.col("n").cast("decimal(38,9)")).cast("double").alias("n")).collect():  # a row for each piece
+            weights[piece] += n
+        weights = np.where(used, weights, 1e-300)
+        shared.destroy()
+    return weights
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, word_score for each row of ``docs``."""
     scratch = Scratch(spark, "lm-scoring")
     context = spark.sparkContext
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), (crc32_mod("doc_id", MODULUS) == HELD_OUT).alias("held_out"))
-    training = docs.where(~F.col("held_out"))
-    classes = fit_classes(training)
-    kinds = len(classes.prior)
-    every = scratch.keep(word_counts(training, classes))
+    every = scratch.keep(word_counts(docs.where(~F.col("held_out"))))
     counts = every.where(F.col("word") != END)
-    by = [F.col("by")[k] for k in range(kinds)]
-    ones, twos = lambda c: F.count_if(c == 1), lambda c: F.count_if(c == 2)
-    each = [f(c) for c in [F.col("n"), *by] for f in (ones, twos, lambda c: F.count_if(c > 0), lambda c: F.coalesce(F.sum(c), F.lit(0)))]
-    stats = np.array(every.agg(*(f.alias(f"s{i}") for i, f in enumerate(each))).first(), dtype=np.int64).reshape(kinds + 1, 4)
-    ends = ([[r[0], *r[1]] for r in every.where(F.col("word") == END).select("n", "by").collect()] or [[0] * (kinds + 1)])[0]
-    total, floor = int(stats[0, 3]), math.log10(int(stats[0, 3]) + int(stats[0, 2]) + 1)
-    discount = np.where((stats[:, 0] > 0) & (stats[:, 1] > 0), stats[:, 0] / np.maximum(1, stats[:, 0] + 2 * stats[:, 1]), 0.5)
-    # What the discount of the words (not of the end) leaves to the model below; all of it where nothing was counted.
-    rest = np.where(stats[:, 3] > 0, discount * np.maximum(0, stats[:, 2] - (np.array(ends) > 0)) / np.maximum(1, stats[:, 3]), 1.0)
-    with np.errstate(divide="ignore"):
-        rest = np.log(rest)
-        end = np.log(np.maximum(ends, 1e-9) / np.maximum(1, stats[:, 3])) if total else np.zeros(kinds + 1)
-    end_base = math.log10(ends[0] + 1) - floor
-    shares = (np.array(ends[1:]) + 1.0) / (sum(ends[1:]) + kinds)
+    once, twice, total, known, ends = every.agg(
+        F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2), F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("word") == END, F.col("n"))), F.lit(0))
+    ).first()
+    floor = math.log10(total + known + 1)
+    discount = once / (once + 2 * twice) if once and twice else 0.5
+    # What the discount of the words (not of the end) leaves to the pieces; all of it where nothing was counted.
+    rest = discount * (known - (ends > 0)) / total if total else 1.0
+    ln_rest = math.log(rest) if rest else -math.inf
 
     vocabulary = load_vocabulary(path)
-    shared = context.broadcast(pieces(vocabulary, fit_pieces(counts, vocabulary)))  # fixed size: the vocabulary
+    weights = fit_pieces(counts, vocabulary, ends)
+    shared = context.broadcast(pieces(vocabulary, weights, ends + SMOOTHING))  # fixed size: the vocabulary
+    of_end = {
+        "base": math.log10(ends + 1) - floor,
+        "piece": math.log10((ends + SMOOTHING) / (weights.sum() + ends + SMOOTHING)),
+        "word": math.log10(ends / total) if ends else 0.0,
+    }
 
     def with_marginals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         for batch in gathered(batches, "word", WORD_BYTES):
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), batch.column("by"), pa.array(marginals([MARK + w for w in batch.column("word").to_pylist()], p))], names=["word", "c", "by", "ln_pieces"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(marginals([MARK + w for w in batch.column("word").to_pylist()], p))], names=["word", "c", "ln_pieces"])
 
-    words = scratch.keep(counts.mapInArrow(with_marginals, "word string, c bigint, by array<bigint>, ln_pieces double"))
+    words = scratch.keep(counts.mapInArrow(with_marginals, "word string, c bigint, ln_pieces double"))
     # The least power of two that at most HEAD words reach.
     sizes = dict(words.groupBy(F.floor(F.log2("c")).cast("int").alias("e")).agg(F.count(F.lit(1)).alias("n")).collect())
     least, many = 64, 0
@@ -394,18 +260,15 @@ def score_documents(spark: SparkSession, docs: DataFrame, path: str = VOCABULARY
         least -= 1
         many += sizes.get(least, 0)
 
-    def logs(c: np.ndarray, own: np.ndarray, ln_pieces: np.ndarray) -> np.ndarray:
-        """log10 of the base and of the model in each class (columns) for words with these counts."""
+    def logs(c: np.ndarray, ln_pieces: np.ndarray) -> np.ndarray:
+        """log10 of the base, the marginal over pieces and the model with whole words (rows) of words with these counts."""
         with np.errstate(divide="ignore"):
-            low = np.logaddexp(np.log(np.where(c > 0, (c - discount[0]) / max(total, 1), 0.0)), rest[0] + ln_pieces)
-            whole = np.log(np.where(own > 0, (own - discount[1:]) / np.maximum(1, stats[1:, 3]), 0.0))
-            model = np.logaddexp(whole, rest[1:] + low[:, None])
-        return np.column_stack([np.log10(c + 1.0) - floor, model / LN10])
-
-    top = words.where(F.col("c") >= (1 << least)).select("word", "c", "by", "ln_pieces").collect() if many else []  # at most HEAD rows
-    values = logs(np.array([r[1] for r in top], dtype=np.float64), np.array([r[2] for r in top], dtype=np.float64).reshape(-1, kinds), np.array([r[3] for r in top], dtype=np.float64))
-    head = context.broadcast((pa.array([r[0] for r in top], pa.string()), np.ascontiguousarray(values.T)))
-    sums = ["base", *(f"m{k}" for k in range(kinds))]
+            whole = np.logaddexp(np.log(np.where(c > 0, (c - discount) / max(total, 1), 0.0)), ln_rest + ln_pieces)
+        return np.stack([np.log10(c + 1.0) - floor, ln_pieces / LN10, whole / LN10])
+
+    top = words.where(F.col("c") >= (1 << least)).select("word", "c", "ln_pieces").collect() if many else []  # at most HEAD rows
+    head = context.broadcast((pa.array([r[0] for r in top], pa.string()), logs(np.array([r[1] for r in top], dtype=np.float64), np.array([r[2] for r in top], dtype=np.float64))))
+    sums = list(of_end)
     sum_schema = ", ".join(f"{x} double" for x in sums)
 
     def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,34 +299,28 @@ def score_documents(spark: SparkSession, docs: DataFrame, path: str = VOCABULARY
         p = shared.value
         for batch in gathered(batches, "word", WORD_BYTES):
             c = np.asarray(pc.fill_null(batch.column("c"), 0), dtype=np.float64)
-            own = np.zeros((len(c), kinds))
-            there = np.flatnonzero(c > 0)
-            own[there] = np.asarray(batch.column("by").drop_null().flatten(), dtype=np.float64).reshape(-1, kinds)
             ln = np.array(pc.fill_null(batch.column("ln_pieces"), 0.0), dtype=np.float64)
             new = np.flatnonzero(c == 0)
             names, code = unique_words(batch.column("word").take(pa.array(new)))
             ln[new] = marginals([MARK + w for w in names.to_pylist()], p)[code] if len(new) else 0.0
             times = np.asarray(batch.column("n"), dtype=np.float64)
-            value = logs(c, own, ln) * times[:, None]
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(((c > 0) * times).astype(np.int64)), *(pa.array(np.ascontiguousarray(x)) for x in value.T)], names=["row_id", "known", *sums])
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(((c > 0) * times).astype(np.int64)), *(pa.array(x) for x in logs(c, ln) * times)], names=["row_id", "known", *sums])
 
     tail = rows.select("row_id", F.inline("tail"))
     # A word that very many texts hold is one row of the right side; the left side is split.
-    scored = tail.join(words.hint("merge"), "word", "left").select("row_id", "word", "n", "c", "by", "ln_pieces").mapInArrow(of_rest, f"row_id bigint, known bigint, {sum_schema}")
+    scored = tail.join(words.hint("merge"), "word", "left").select("row_id", "word", "n", "c", "ln_pieces").mapInArrow(of_rest, f"row_id bigint, known bigint, {sum_schema}")
     more = scored.groupBy("row_id").agg(*(F.sum(x).alias(f"{x}_more") for x in ("known", *sums)))
     out = rows.drop("tail").join(more, "row_id", "left")
     both = lambda x: F.col(x) + F.coalesce(F.col(f"{x}_more"), F.lit(0))
-    parts = F.array(*(both(f"m{k}") + F.lit(float(end[k + 1] / LN10 + math.log10(shares[k]))) for k in range(kinds)))
-    best = F.array_max("parts")
-    mass = F.aggregate("parts", F.lit(0.0), lambda x, y: x + F.pow(F.lit(10.0), y - best))
-    return out.withColumn("parts", parts).select(
+    return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (both("known") + (1 if ends[0] else 0)).cast("bigint").alias("n_known"),
+        (both("known") + (1 if ends else 0)).cast("bigint").alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
-        (both("base") + F.lit(end_base)).alias("base_score"),
-        (best + F.log10(mass)).alias("score"),
+        (both("base") + F.lit(of_end["base"])).alias("base_score"),
+        (both("piece") + F.lit(float(of_end["piece"]))).alias("score"),
+        (both("word") + F.lit(of_end["word"])).alias("word_score"),
     )
 
 

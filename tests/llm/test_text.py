@@ -54,6 +54,29 @@ def test_rewritten_history_is_found(spark):
         chat.conversation_digests(rows, chat.Template(render, chat._read_turn, lookback=0)).collect()
 
 
+@pytest.mark.parametrize("turns", [9, 20, 33])
+def test_a_template_that_looks_back_late_is_found(spark, turns, monkeypatch):
+    """From turn 9 on an older answer is cut; the stated lookback hides that from the windows, not from the prefixes."""
+
+    def render(messages):
+        return "".join(f"<|{r}|>\n{t if len(messages) < 9 or i >= len(messages) - 2 else t[:2]}</s>\n" for i, (r, t) in enumerate(messages))
+
+    late = chat.Template(render, chat._read_turn, lookback=1)
+    rows = [(1, i, "assistant" if i % 2 else "user", f"text {i}") for i in range(turns)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    with pytest.raises(Exception, match="looks back further"):
+        chat.conversation_digests(df, late).collect()
+    with pytest.raises(Exception, match="looks back further"):
+        chat.format_turns(df, late).collect()
+    good = [r.asDict() for r in chat.conversation_digests(df).collect()]
+    monkeypatch.setattr(chat, "STRETCH", 60)  # several prefixes
+    spans = chat.Spans(chat.TURNS, [])
+    for _, _, role, text in rows:
+        spans.add((role, text))
+    spans.finish()
+    assert len(spans.before) < 9 and good[0]["n_turns"] == turns and good[0]["history_rewrites"] == 0
+
+
 def test_conversations(spark):
     rows = [(1, 0, "user", "hi <|x|>"), (1, 1, "assistant", "a</s>b\\"), (1, 1, "assistant", None), (2, None, None, None), (None, 0, "assistant", "é" * 3000), (3, 5, "system", ""), *((9, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(60))]
     df = spark.createDataFrame([(*r, 1, "z") for r in rows], "conv_id long, turn long, role string, text string, span long, position string").repartition(3)
@@ -266,24 +289,20 @@ def test_scores(spark, texts, none):
     assert lm_scoring.score_documents(spark, none.select("doc_id", "text")).count() == 0
 
 
-def test_score_is_a_probability(spark, monkeypatch):
-    """With one class and all words in the head or all in the tail, the score is the brute-force sum over all paths."""
-    rows = [(i, t) for i, t in enumerate(["on the", "the er on", "onthe", "er er the", "zq", "the on er", "on on"])]
+def test_score_is_the_marginal_over_all_segmentations(spark, monkeypatch):
+    """The very scores that the query returns, with all words in the head or all in the tail, against sums over all paths."""
+    rows = [(i, t) for i, t in enumerate(["on the", "the er on", "onthe", "er er the", "zq", "the on er", "on on", "", "\u4e9a er"])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(lm_scoring, "fit_classes", lambda training: lm_scoring.Classes(np.full((1, lm_scoring.CLASS_BUCKETS), -1.0), np.zeros(1)))
     found = []
     for head in (1 << 17, 0):
         monkeypatch.setattr(lm_scoring, "HEAD", head)
-        found.append({r.doc_id: r.score for r in lm_scoring.score_documents(spark, docs).collect()})
-    assert found[0] == pytest.approx(found[1])
+        found.append({r.doc_id: (r.score, r.word_score) for r in lm_scoring.score_documents(spark, docs).collect()})
+    assert all(found[0][i] == pytest.approx(found[1][i]) for i in found[0])
     v = _shared()
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     c = Counter(w for i, t in rows if not held(i) for w in t.split())
     ends = sum(not held(i) for i, _ in rows)
-    start = lm_scoring.first_weights(v)
-    start = start / start.sum()
-    counts = np.full(len(start), lm_scoring.SMOOTHING)
-    used = np.zeros(len(start), dtype=bool)
+    used = np.zeros(len(v.scores), dtype=bool)
     used[[*v.ids.values(), *v.byte_ids]] = True
 
     def paths(unit, w):
@@ -299,63 +318,47 @@ def test_score_is_a_probability(spark, monkeypatch):
         go(0, 1.0, [])
         return out
 
-    for word, k in c.items():
-        every = paths(" " + word, start)
-        mass = sum(p for p, _ in every)
-        for p, ids in every:
-            for i in ids:
-                counts[i] += k * p / mass
-    weights = np.where(used, counts, 1e-300)
-    weights = weights / weights.sum()
+    weights = lm_scoring.first_weights(v)
+    for turn in range(lm_scoring.EM_ROUNDS):
+        share = weights / (weights.sum() + (ends if turn else 0))
+        counts = np.full(len(weights), lm_scoring.SMOOTHING)
+        for word, k in c.items():
+            every = paths(" " + word, share)
+            mass = sum(p for p, _ in every)
+            for p, ids in every:
+                for i in ids:
+                    counts[i] += k * p / mass
+        weights = np.where(used, counts, 1e-300)
+    all_mass = weights.sum() + ends + lm_scoring.SMOOTHING
+    share = weights / all_mass
     n = sum(c.values()) + ends
     tally = Counter([*c.values(), ends])
     d = tally[1] / (tally[1] + 2 * tally[2]) if tally[1] and tally[2] else 0.5
-    rest = d * len(c) / n
     for i, t in rows:
-        total = math.log10(ends / n)
+        by_piece, by_word = math.log10((ends + lm_scoring.SMOOTHING) / all_mass), math.log10(ends / n)
         for word in t.split():
-            low = max(0.0, c[word] - d) / n * (c[word] > 0) + rest * sum(p for p, _ in paths(" " + word, weights))
-            total += math.log10((max(0.0, c[word] - d) / n if c[word] else 0.0) + rest * low)  # the class stands above the model of all texts
-        assert found[0][i] == pytest.approx(total, rel=1e-9)
-
-
-def test_scores_beat_the_base_on_known_texts(spark, sf01):
-    got = lm_scoring.op10_lm_scoring(spark, sf01).where("not held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
-    assert got.s > got.b
-
-
-def test_classes_are_found_on_all_texts(spark):
-    """A kind of texts of which the first 3000 ids by hash have none gets a class of its own; so do texts without id."""
-    order = [r.doc_id for r in spark.range(4000).withColumnRenamed("id", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
-    late = set(order[3000:])
-    rows = [(i if i % 2 else None, f"stre ble nd {i % 7}") if i in late else (i, f"on the er {i % 5}") for i in range(4000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = lm_scoring.fit_classes(docs, k=2)
-    texts = pa.array(["on the er", "stre ble nd"])
-    tokens, offsets = lm_scoring.words_of(texts)
-    distinct, code = lm_scoring.unique_words(tokens)
-    kind = found.of(distinct, code, offsets)
-    assert kind[0] != kind[1]
-    assert np.exp(found.prior[kind]) == pytest.approx([0.75, 0.25], abs=0.01)
-    stre = np.exp(found.buckets[kind[1], lm_scoring._bucket(pa.array(["stre"]))[0]])
-    assert stre == pytest.approx(1000.1 / (4000 + 0.1 * lm_scoring.CLASS_BUCKETS), abs=0.001)  # 0.1 is what every bucket gets
-
-
-def test_classes_are_those_of_the_plain_method(spark):
-    """The passes give what expectation maximisation over one matrix gives; counts beyond 65535 aren't cut off."""
-    rows = [(i, " ".join(f"w{i % 3}{j % (2 + i % 4)}" for j in range(1 + i % 9))) for i in range(40)] + [(None, "er " * 70_000), (40, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    bags = lm_scoring.bags(docs).orderBy("place", "buckets", "counts").toArrow().combine_chunks().to_batches()[0]
-    counts = lm_scoring.dense_bags(bags).astype(np.float64)
-    assert counts.max() == 70_000 and len(counts) == 42
-    logs = np.log(counts[:3] + 0.1 + counts.mean(axis=0))
-    logs -= np.logaddexp.reduce(logs, axis=1, keepdims=True)
-    prior = np.full(3, -math.log(3))
-    for _ in range(4):
-        joint = counts @ logs.T + prior
-        share = np.exp(joint - np.logaddexp.reduce(joint, axis=1)[:, None])
-        mass = share.T @ counts + 0.1
-        logs = np.log(mass / mass.sum(axis=1, keepdims=True))
-        prior = np.log((share.sum(axis=0) + 1) / (len(counts) + 3))
-    got = lm_scoring.fit_classes(docs, k=3, rounds=4, tries=1)
-    assert np.exp(got.buckets) == pytest.approx(np.exp(logs), abs=1e-3) and np.exp(got.prior) == pytest.approx(np.exp(prior), abs=1e-3)
+            marginal = sum(p for p, _ in paths(" " + word, share))
+            by_piece += math.log10(marginal)
+            by_word += math.log10((max(0.0, c[word] - d) / n if c[word] else 0.0) + d * len(c) / n * marginal)
+        assert found[0][i] == pytest.approx((by_piece, by_word), rel=1e-9)
+
+
+def test_training_makes_the_vocabulary_fit(spark, sf01):
+    """Held-out texts are likelier than under the weights that the vocabulary's scores start with."""
+    held = spark.read.parquet(f"{sf01}/documents.parquet")
+    fitted = lm_scoring.score_documents(spark, held).where("held_out").agg(F.sum("score")).first()[0]
+    untrained = lm_scoring.pieces(_shared(), lm_scoring.first_weights(_shared()), 1.0)
+    texts = [r.text for r in held.where(lm_scoring.crc32_mod("doc_id", 7) == 2).collect()]
+    words = Counter(w for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)))
+    plain = lm_scoring.marginals([" " + w for w in words], untrained) @ np.array(list(words.values())) / math.log(10)
+    assert fitted > 0.9 * plain > plain
+
+
+def test_pieces_of_equal_hash_are_told_apart(monkeypatch):
+    index = _shared().index()
+    chars = np.array([[ord(x) for x in "the"]], dtype=np.uint32)
+    slot = int(lm_scoring.arc_slots(chars, index)[0, 0, 0])
+    assert index.ids[slot] == _shared().ids["t"]
+    last = index.last.copy()
+    monkeypatch.setattr(index, "last", np.where(np.arange(len(last)) == slot, ord("z"), last))  # as if the string in the slot were another
+    assert lm_scoring.arc_slots(chars, index)[0, 0, 0] == -1
