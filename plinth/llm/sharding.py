@@ -7,9 +7,11 @@ than ``shards`` runs is found by binary search, and the runs of that packing are
 the shards (law ``bytes``).  Runs then follow the order of the digests, so a
 shard is told by comparing a digest with at most ``shards - 1`` cuts.
 
-What reaches the driver is bounded: the byte sums of BLOCKS blocks of the digest
-space, the largest groups (at most LARGE * shards), which cut their blocks into
-pieces, then the group sizes of those few pieces in which the search meets a cut.
+The driver never holds the groups.  It starts with the byte sums of the 65,536 blocks of
+the digest space, which bound every cut of a greedy packing from both sides; only the
+blocks in which a bound falls are split by further digest bits, again and again, until
+the bounds meet.  A split makes at most 256 pieces of each of at most 4 * shards
+pieces, whatever the size of the input, and the number of splits grows with its logarithm.
 
 Rows are numbered by a range sort on (digest, id), which splits a large group over
 several partitions; a row's slot is its rank, less the rank at which its shard
@@ -23,122 +25,100 @@ stay empty; other columns play no part.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, documents
 
-#: Blocks of the digest space whose byte sums the driver holds.
-BLOCKS = 1 << 16
-#: Groups of more than 1 / (LARGE * shards) of all bytes are known one by one.
-LARGE = 16
-#: Pieces around one cut that are fetched beforehand; a cut that can lie in more is fetched when it is met.
-PREFETCH = 32
+#: Hex digits of a digest that name a block, and that each further split adds.
+BLOCK_DIGITS, SPLIT_DIGITS = 4, 2
 SHARDS = 24
 #: Bytes that a row counts beside its text.
 ROW_BYTES = 8
 
 
-def greedy_cuts(ends: np.ndarray, capacity: int, shards: int) -> list[int] | None:
-    """The ends (indexes past the last item) of the greedy runs under ``capacity``; None if they exceed ``shards``.
+@dataclass
+class Pieces:
+    """Runs of groups in the order of the digests: name (leading hex digits), bytes, largest group, last digest; ``whole``: a single group."""
 
-    ``ends`` are the running sums of the item sizes.
-    """
-    cuts: list[int] = []
-    at, base = 0, 0
-    while at < len(ends):
-        if len(cuts) == shards:
-            return None
-        stop = int(np.searchsorted(ends, base + capacity, side="right"))
-        if stop == at:
-            return None  # an item is larger than the capacity
-        cuts.append(stop)
-        at, base = stop, int(ends[stop - 1])
-    return cuts
-
-
-def smallest_capacity(sizes: np.ndarray, shards: int, low: int, high: int) -> int:
-    """The smallest feasible capacity in [low, high]; ``high`` must be feasible."""
-    ends = np.cumsum(sizes)
-    while low < high:
-        mid = (low + high) // 2
-        if greedy_cuts(ends, mid, shards) is None:
-            low = mid + 1
-        else:
-            high = mid
-    return low
-
-
-class Cuts:
-    """Exact greedy cuts over pieces of which only a few are known group by group.
-
-    ``sums`` and ``largest`` hold the bytes and the largest group of each piece, in order; ``whole``
-    tells which pieces are a single group.  ``fetch(pieces)`` gives, for each of them, the sizes and
-    names of its groups in order.
-    """
+    names: list[str]
+    sums: np.ndarray
+    largest: np.ndarray
+    last: list[str]
+    whole: np.ndarray
 
-    def __init__(self, sums: np.ndarray, largest: np.ndarray, whole: np.ndarray, shards: int, fetch):
-        self.sums, self.largest, self.whole, self.shards, self.fetch = sums, largest, whole, shards, fetch
-        self.ends = np.cumsum(sums)
-        self.known: dict[int, tuple[np.ndarray, list]] = {}
+    @staticmethod
+    def of(rows: list[tuple[str, int, int, str, int]]) -> Pieces:
+        rows = sorted(rows)
+        names, sums, largest, last, n = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [], [])
+        return Pieces(names, np.array(sums, np.int64), np.array(largest, np.int64), last, np.array(n, np.int64) == 1)
 
-    def load(self, pieces: list[int]) -> None:
-        pieces = [p for p in pieces if p not in self.known]
-        for p, (sizes, names) in (self.fetch(pieces) if pieces else {}).items():
-            self.known[p] = (np.cumsum(sizes), names)
+    def __post_init__(self) -> None:
+        self.ends = np.cumsum(self.sums)
 
-    def reach(self, x: int) -> tuple[int, int, int]:
-        """The last group boundary at or before byte ``x``: its byte, its piece, its group in the piece (-1: the piece's end)."""
+    def reach(self, x: int, least: bool) -> tuple[int, int]:
+        """A bound on the last group boundary at or before byte ``x``, and the piece that leaves it open (-1: none does)."""
         p = int(np.searchsorted(self.ends, x, side="right"))
         if p == len(self.ends):
-            return int(self.ends[-1]), p - 1, -1
+            return int(self.ends[-1]), -1
         start = int(self.ends[p] - self.sums[p])
-        if x > start and not self.whole[p]:
-            self.load([p])
-            g = int(np.searchsorted(self.known[p][0], x - start, side="right"))
-            if g:
-                return start + int(self.known[p][0][g - 1]), p, g - 1
-        return start, p - 1, -1
-
-    def greedy(self, capacity: int) -> list[tuple[int, int, int]] | None:
-        """The ends of the runs, or None if there are more than ``shards``."""
-        found, at = [], 0
-        while at < int(self.ends[-1]):
-            if len(found) == self.shards:
-                return None
-            stop = self.reach(at + capacity)
-            if stop[0] == at:
-                return None
-            found.append(stop)
-            at = stop[0]
-        return found
-
-    def prefetch(self, low: int, high: int) -> None:
-        """Fetch at once the pieces in which a cut may fall, as far as these are few."""
-        first = last = 0
-        wanted: set[int] = set()
-        for _ in range(self.shards):
-            p = min(int(np.searchsorted(self.ends, first + low, side="right")), len(self.ends) - 1)
-            first = max(int(self.ends[p] - self.sums[p]), first + low - int(self.largest[p]))
-            last = min(int(self.ends[-1]), last + high)
-            q = min(int(np.searchsorted(self.ends, last, side="right")), len(self.ends) - 1)
-            if q - p < PREFETCH:
-                wanted.update(j for j in range(p, q + 1) if not self.whole[j])
-        self.load(sorted(wanted))
-
-    def best(self) -> list[tuple[int, int, int]]:
-        """The cuts under the smallest feasible capacity."""
-        low = max(int(self.largest.max()), -(-int(self.ends[-1]) // self.shards))
-        high = smallest_capacity(self.sums, self.shards, low, max(int(self.sums.max()), low + int(self.sums.max())))  # with pieces kept whole
-        self.prefetch(low, high)
+        if x == start or self.whole[p]:
+            return start, -1
+        return (max(start, x - int(self.largest[p]) + 1) if least else x), p
+
+    def greedy(self, capacity: int, shards: int, least: bool) -> tuple[bool, list[int], set[int]]:
+        """Whether ``shards`` runs reach the end if every cut lies at its least (else: greatest) bound; the cuts, and the open pieces."""
+        cuts, opened, at, total = [], set(), 0, int(self.ends[-1])
+        for _ in range(shards):
+            stop, p = self.reach(at + capacity, least)
+            if p >= 0:
+                opened.add(p)
+            if stop <= at:
+                return False, cuts, opened
+            cuts.append(stop)
+            at = stop
+            if at == total:
+                return True, cuts, opened
+        return False, cuts, opened
+
+    def smallest(self, shards: int, least: bool) -> int:
+        """The smallest capacity under which the bounds reach the end: binary search, checking greedily."""
+        low, high = max(int(self.largest.max()), -(-int(self.ends[-1]) // shards)), int(self.ends[-1])
         while low < high:
             mid = (low + high) // 2
-            if self.greedy(mid) is None:
-                low = mid + 1
-            else:
+            if self.greedy(mid, shards, least)[0]:
                 high = mid
-        return self.greedy(high) or []
+            else:
+                low = mid + 1
+        return low
+
+    def split(self, rows: list[tuple[str, int, int, str, int]], gone: set[int]) -> Pieces:
+        """The same with the pieces ``gone`` replaced by ``rows``."""
+        kept = [(self.names[i], int(self.sums[i]), int(self.largest[i]), self.last[i], 1 if self.whole[i] else 2) for i in range(len(self.names)) if i not in gone]
+        return Pieces.of(kept + rows)
+
+
+def cut_digests(pieces: Pieces, shards: int, fetch: Callable[[list[str]], list[tuple[str, int, int, str, int]]]) -> list[str]:
+    """The last digests of all runs but the last under the smallest feasible capacity.
+
+    ``fetch`` splits the named pieces.  The smallest capacity lies between those of both bounds; the
+    pieces that keep the bounds apart are split until one capacity and one place of each cut is left.
+    """
+    while len(pieces.names):
+        surely, perhaps = pieces.smallest(shards, least=True), pieces.smallest(shards, least=False)
+        opened: set[int] = set()
+        for capacity in {surely, perhaps}:
+            for least in (True, False):
+                opened |= pieces.greedy(capacity, shards, least)[2]  # at most one piece for each cut
+        if surely == perhaps and not pieces.greedy(surely, shards, least=False)[2]:
+            starts = {int(e): i for i, e in enumerate(pieces.ends)}
+            return [pieces.last[starts[c]] for c in pieces.greedy(surely, shards, least=False)[1][:-1]]
+        pieces = pieces.split(fetch([pieces.names[i] for i in sorted(opened)]), opened)
+    return []
 
 
 def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -154,31 +134,19 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS) -> DataFra
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranked = rows.repartitionByRange(n, "digest", "doc_id").sortWithinPartitions("digest", "doc_id")
     ranked = scratch.write(ranked.withColumn("place", F.monotonically_increasing_id()), "ranked")
-    groups = scratch.keep(ranked.groupBy("digest").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).withColumn("block", F.conv(F.substring("digest", 1, 4), 16, 10).cast("int")))
-
-    total = groups.agg(F.sum("size")).first()[0] or 0
-    # Groups of more than this are few (at most LARGE * shards) and get a piece of their own.
-    hot = groups.where(F.col("size") * (LARGE * shards) > total).groupBy("block").agg(F.array_sort(F.collect_list("digest")).alias("hot"))
-    groups = groups.join(F.broadcast(hot), "block", "left")
-    here = F.coalesce(F.col("hot"), F.array().cast("array<string>"))
-    groups = groups.withColumn("k", 2 * F.size(F.filter(here, lambda h: h < F.col("digest"))) + F.array_contains(here, F.col("digest")).cast("int"))
-    groups = scratch.keep(groups.drop("hot"))
-    pieces = sorted((b, k, s, m, d) for b, k, s, m, d in groups.groupBy("block", "k").agg(F.sum("size"), F.max("size"), F.max("digest")).collect())  # at most BLOCKS + 2 * LARGE * shards rows
-    cuts: list[str] = []
-    if pieces:
-        at_of = {(p[0], p[1]): i for i, p in enumerate(pieces)}
-
-        def fetch(wanted: list[int]) -> dict:
-            keys = F.struct(F.col("block"), F.col("k").cast("int"))
-            some = groups.where(F.col("block").isin(sorted({pieces[i][0] for i in wanted}))).where(keys.isin([F.struct(F.lit(pieces[i][0]), F.lit(pieces[i][1])) for i in wanted]))
-            out: dict[int, tuple[list, list]] = {i: ([], []) for i in wanted}
-            for block, k, digest, size in sorted(some.select("block", "k", "digest", "size").collect(), key=lambda r: r[2]):
-                out[at_of[(block, k)]][0].append(size)
-                out[at_of[(block, k)]][1].append(digest)
-            return out
-
-        runs = Cuts(np.array([p[2] for p in pieces]), np.array([p[3] for p in pieces]), np.array([p[1] % 2 == 1 for p in pieces]), shards, fetch)
-        cuts = [pieces[p][4] if g < 0 else runs.known[p][1][g] for _, p, g in runs.best()[:-1]]
+    groups = scratch.keep(ranked.groupBy("digest").agg(F.sum("size").alias("size")))
+
+    def pieces(some: DataFrame, digits: int) -> DataFrame:
+        return some.groupBy(F.substring("digest", 1, digits).alias("name")).agg(F.sum("size").alias("size"), F.max("size").alias("largest"), F.max("digest").alias("last"), F.count(F.lit(1)).alias("n"))
+
+    def fetch(names: list[str]) -> list[tuple]:
+        found = []
+        for digits in sorted({len(x) for x in names}):
+            some = groups.where(F.substring("digest", 1, digits).isin([x for x in names if len(x) == digits]))
+            found += [tuple(r) for r in pieces(some, digits + SPLIT_DIGITS).collect()]  # at most 256 rows for each of 4 * shards names
+        return found
+
+    cuts = cut_digests(Pieces.of([tuple(r) for r in pieces(groups, BLOCK_DIGITS).collect()]), shards, fetch)  # at most 16 ** BLOCK_DIGITS rows
 
     number = F.lit(0)
     for i, cut in enumerate(cuts):

@@ -232,9 +232,9 @@ def least_capacity(sizes, shards):
     return low
 
 
-@pytest.mark.parametrize(("shards", "prefetch"), [(24, 32), (5, 0), (1, 32)])
-def test_shards(spark, docs, texts, shards, prefetch, monkeypatch):
-    monkeypatch.setattr(sharding, "PREFETCH", prefetch)
+@pytest.mark.parametrize(("shards", "digits"), [(24, 4), (24, 1), (5, 1), (1, 4)])
+def test_shards(spark, docs, texts, shards, digits, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK_DIGITS", digits)
     got = sharding.shard(spark, docs, shards).collect()
     assert len(got) == len(texts)
     sizes = Counter()
@@ -255,16 +255,35 @@ def test_no_shards(spark, none):
     assert sharding.shard(spark, none).count() == 0
 
 
-def test_cuts_over_pieces_are_exact():
+@pytest.mark.parametrize("largest", [50, 3000, 10**6])
+def test_cuts_over_pieces_are_exact(largest):
+    """Against a search that knows every group; no fetch asks for more than four pieces a shard, and no piece comes whole at once."""
     rng = np.random.default_rng(2)
-    for _ in range(40):
-        sizes = rng.integers(1, 50, rng.integers(1, 200))
-        sizes[rng.integers(len(sizes))] += int(rng.integers(0, 3000))
-        at = np.unique(np.concatenate([[0], rng.integers(0, len(sizes), 20)]))
-        parts = np.split(sizes, at[1:])
-        runs = sharding.Cuts(np.array([p.sum() for p in parts]), np.array([p.max() for p in parts]), np.array([len(p) == 1 for p in parts]), 7, lambda w, parts=parts: {i: (parts[i], list(range(len(parts[i])))) for i in w})
-        ends = [0, *(c[0] for c in runs.best())]
-        assert max(b - a for a, b in itertools.pairwise(ends)) == least_capacity(sizes.tolist(), 7) and len(ends) <= 8
+    for n in (1, 2, 30, 700, 5000):
+        for shards in (1, 3, 7, 24):
+            names = sorted({f"{x:08x}" for x in rng.integers(0, 2**32, n).tolist()})
+            sizes = dict(zip(names, rng.integers(1, largest, len(names)).tolist(), strict=True))
+            sizes[names[len(names) // 2]] += 3 * largest
+
+            def pieces(digits, among=None, sizes=sizes):
+                groups: dict[str, list] = {}
+                for k, v in sizes.items():
+                    if among is None or any(k.startswith(x) for x in among):
+                        groups.setdefault(k[:digits], []).append((k, v))
+                return [(p, sum(v for _, v in g), max(v for _, v in g), max(k for k, _ in g), len(g)) for p, g in groups.items()]
+
+            asked = []
+
+            def fetch(some, asked=asked, pieces=pieces):
+                asked.append(len(some))
+                return [r for d in {len(x) for x in some} for r in pieces(d + 2, [x for x in some if len(x) == d])]
+
+            cuts = sharding.cut_digests(sharding.Pieces.of(pieces(2)), shards, fetch)
+            assert len(cuts) < shards and max(asked, default=0) <= 4 * shards
+            load = Counter()
+            for k in names:
+                load[sum(k > c for c in cuts)] += sizes[k]
+            assert max(load.values()) == least_capacity([sizes[k] for k in names], shards)
 
 
 # --- scores ---
