@@ -1,8 +1,11 @@
 """Quality classifier: supervised subword embeddings.
 
-Every word, and every character n-gram of the word between ``<`` and ``>``, is hashed
-to a bucket with a learned vector; so is the pair of a word with itself, one feature for all
-words.  A document is the average of the vectors of all its features, and a softmax layer over it gives the probabilities of both labels.
+Every word, every character n-gram of the word between ``<`` and ``>``, and every pair of
+neighbouring words is hashed to a bucket with a learned vector.  A pair's bucket comes from
+the difference of its words' hashes, so all pairs of equal words share one (what repetition
+says about a text is then learned from all words together).  A document is the average of the
+vectors of all its features, and a softmax layer over it gives the probabilities of both labels.
+The features were chosen on a part of the rows that may be learned from.
 Vectors and layer are trained together by stochastic gradient descent in numpy, on a
 bounded sample (SAMPLE labelled rows).
 
@@ -38,17 +41,12 @@ GRAMS = (3, 4)
 EPOCHS = 4
 RATE = 0.6
 MODULUS, HELD_OUT = 3, 1
-#: The bucket of a word that repeats the one before it.
-SAME = 0
 
 
-def repeats(code: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """How often a word follows itself in each text."""
-    same = np.zeros(len(code) + 1, dtype=np.int64)
-    if len(code) > 1:
-        same[2:] = np.cumsum(code[1:] == code[:-1])
-    a, b = offsets[:-1], offsets[1:]
-    return np.where(b > a, same[b] - same[np.minimum(a + 1, len(code))], 0)
+def pair_buckets(hashes: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The bucket of each word with the one before it (the first: with itself, to be left out)."""
+    own = hashes[code]
+    return (mixed(own - np.concatenate([own[:1], own[:-1]])) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -82,6 +80,21 @@ def features(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners)
 
 
+def step(vectors: np.ndarray, out: np.ndarray, bias: np.ndarray, buckets: np.ndarray, share: np.ndarray, y: int, rate: float) -> None:
+    """One document's step down the gradient of the softmax loss, in place."""
+    mean = share @ vectors[buckets] if len(buckets) else np.zeros(vectors.shape[1], vectors.dtype)
+    z = out @ mean + bias
+    p = np.exp(z - z.max())
+    p /= p.sum()
+    p[y] -= 1
+    back = p @ out
+    out -= rate * np.outer(p, mean)
+    bias -= 0.1 * rate * p
+    if len(buckets):
+        # shares of a long text are tiny: a word learns by its share of the text, on the scale of one feature
+        vectors[buckets] -= rate * (share * min(200.0, float(len(buckets))))[:, None] * back
+
+
 def train(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 7) -> Model:
     """SGD over documents, each given as distinct buckets and their shares of the average."""
     rng = np.random.default_rng(seed)
@@ -90,20 +103,8 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int =
     steps, total = 0, max(1, EPOCHS * len(docs))
     for _ in range(EPOCHS):
         for i in rng.permutation(len(docs)):
-            buckets, share = docs[i]
-            rate = RATE * (1 - steps / total)
+            step(vectors, out, bias, *docs[i], int(y[i]), RATE * (1 - steps / total))
             steps += 1
-            mean = share @ vectors[buckets] if len(buckets) else np.zeros(WIDTH, np.float32)
-            z = out @ mean + bias
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[y[i]] -= 1
-            back = p @ out
-            out -= rate * np.outer(p, mean)
-            bias -= 0.1 * rate * p
-            if len(buckets):
-                # shares of a long text are tiny: a word learns by its share of the text, on the scale of one feature
-                vectors[buckets] -= rate * (share * min(200.0, float(len(buckets))))[:, None] * back
     return Model((vectors @ (out[1] - out[0])).astype(np.float64), float(bias[1] - bias[0]))
 
 
@@ -120,13 +121,13 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
             bucket = bucket[order]
             per = np.bincount(owner, minlength=len(distinct))
             starts = np.concatenate([[0], np.cumsum(per)])
-            same = repeats(code, offsets)
+            pairs = pair_buckets(string_hashes(distinct), code)
             for i, (doc_id, y) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("y").to_pylist(), strict=True)):
                 some, times = np.unique(code[offsets[i] : offsets[i + 1]], return_counts=True)
                 count = np.zeros(BUCKETS)
                 for w, t in zip(some.tolist(), times.tolist(), strict=True):
                     np.add.at(count, bucket[starts[w] : starts[w + 1]], t)
-                count[SAME] += same[i]
+                count += np.bincount(pairs[offsets[i] + 1 : offsets[i + 1]], minlength=BUCKETS)
                 at = np.flatnonzero(count)
                 share = (count[at] / max(1.0, count.sum())).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([y], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([share.tobytes()], pa.binary())], names=["doc_id", "y", "at", "share"])
@@ -145,9 +146,11 @@ def margins(model: Model, text: pa.Array) -> np.ndarray:
     size = np.bincount(owner, minlength=len(distinct))
     sums = np.concatenate([[0.0], np.cumsum(value[code])])
     sizes = np.concatenate([[0], np.cumsum(size[code])])
-    same = repeats(code, offsets)
-    top, n = sums[offsets[1:]] - sums[offsets[:-1]] + same * model.value[SAME], sizes[offsets[1:]] - sizes[offsets[:-1]] + same
-    return top / np.maximum(n, 1) + model.bias
+    pairs = model.value[pair_buckets(string_hashes(distinct), code)]
+    pairs[offsets[:-1][np.diff(offsets) > 0]] = 0.0  # a text's first word has none before it
+    sums += np.concatenate([[0.0], np.cumsum(pairs)])
+    n = sizes[offsets[1:]] - sizes[offsets[:-1]] + np.maximum(np.diff(offsets) - 1, 0)
+    return (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(n, 1) + model.bias
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:

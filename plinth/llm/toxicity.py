@@ -33,8 +33,8 @@ SAMPLE = 3000
 BUCKETS = 1 << 18
 #: A word must stand in so many documents of the sample to get a weight.
 MIN_DOCS = 8
-#: Lengths of the word beginnings that are features too.
-PREFIXES = (4, 5)
+#: Lengths of the word beginnings that are features too; chosen on a part of the rows that may be learned from.
+PREFIXES = (4,)
 MODULUS, HELD_OUT = 5, 0
 BIAS = -6.0
 #: A document is rejected from this score on.
@@ -80,6 +80,17 @@ def sentences(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pair // BUCKETS, pair % BUCKETS, starts
 
 
+def loss_and_slope(w: np.ndarray, row: np.ndarray, col: np.ndarray, doc_of: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """The noisy-or loss of the bags' labels, averaged over bags, and its gradient; the last weight is the bias."""
+    n_docs = len(y)
+    z = np.bincount(row, w[col], minlength=len(doc_of)) + w[-1]
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    clean = np.exp(np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n_docs))
+    slope = np.where(y == 1, -clean / np.maximum(1 - clean, 1e-6), 1.0)[doc_of] * p
+    loss = -np.where(y == 1, np.log(np.maximum(1 - clean, 1e-300)), np.log(np.maximum(clean, 1e-300))).sum() / n_docs
+    return float(loss), np.append(np.bincount(col, slope[row], minlength=len(w) - 1), slope.sum()) / n_docs
+
+
 def train(pair_sentence: np.ndarray, pair_feature: np.ndarray, doc_of: np.ndarray, y: np.ndarray, steps: int = 150, rate: float = 0.25, decay: float = 2e-4) -> Model:
     """Weights that fit the labels ``y`` of bags; ``doc_of`` tells the bag of each sentence."""
     weights, bias = np.zeros(BUCKETS), BIAS
@@ -89,13 +100,8 @@ def train(pair_sentence: np.ndarray, pair_feature: np.ndarray, doc_of: np.ndarra
     row = pair_sentence
     w, m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     w[-1] = bias
-    n, n_docs = len(doc_of), len(y)
     for t in range(1, steps + 1):
-        z = np.bincount(row, w[col], minlength=n) + w[-1]
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        clean = np.exp(np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n_docs))
-        slope = np.where(y == 1, -clean / np.maximum(1 - clean, 1e-6), 1.0)[doc_of] * p
-        g = np.append(np.bincount(col, slope[row], minlength=len(names)), slope.sum()) / n_docs
+        _, g = loss_and_slope(w, row, col, doc_of, y)
         g[:-1] += decay * np.sign(w[:-1]) + decay * 0.1 * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6) * (1 if t < steps * 2 // 3 else 0.2)
