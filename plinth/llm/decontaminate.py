@@ -54,7 +54,7 @@ def with_prefix(scratch: Scratch, found: DataFrame, docs: DataFrame, small: bool
     tokens = docs.select(F.explode(words(F.col("text"))).alias("word"))
     # Kept as a table: only a join of two plain exchanges can be split where a word is in very many windows.
     seen = scratch.keep(tokens.join(F.broadcast(vocabulary) if small else vocabulary, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    order = found.select("window", F.explode(F.array_distinct("window")).alias("word")).join(seen.hint("merge"), "word", "left")
+    order = found.select("window", F.explode(F.array_distinct("window")).alias("word")).join(F.broadcast(seen) if small else seen.hint("merge"), "word", "left")
     # A window with a word that no document has cannot occur.
     rarest = order.groupBy("window").agg(F.min(F.struct("n", "word")).alias("rare"), F.count("n").alias("known"), F.count("word").alias("all")).where("known = `all`")
     return found.join(rarest, "window").select("window", "items", F.col("rare.word").alias("token"), (F.array_position("window", F.col("rare.word")) - 1).cast("int").alias("offset"))
