@@ -1,17 +1,16 @@
 r"""Line dedup with two Bloom filters.
 
-Every task hashes the distinct line keys of its documents into two bitmaps: the
-keys met once, and the keys met again.  Merged over the tasks, a bit of the second
-filter is set if any task set it there or if two tasks set it in the first filter,
-so a key that two documents hold always passes the second filter.  Only lines that
-pass are suspected of repeating; only their keys are shuffled, pre-aggregated to
-one row for each task and key, and confirmed on their full bytes with their number
-of documents and the largest id.  Documents without a suspected line are finished
-on the map side.
-
-The filters' size follows the size of the input up to MAX_BITS.  Beyond that they
-fill up and more keys are suspected; the result stays the same, since suspects are
-confirmed exactly.
+Every task sends the 64-bit hashes of its distinct line keys, counted up to MIN_DOCS, to
+ranges of the hash space that hold about RANGE_KEYS of them.  Each range goes through a pair
+of Bloom filters: hashes met once, and hashes met twice.  What is in both when it comes again
+has been met MIN_DOCS times, or looks like it, and is suspected.  There are as many
+ranges as the number of hashes asks for, so a filter has a fixed size, none is global and
+none fills up as the input grows.  Only the lines whose hash is suspected go on: their keys
+are shuffled, pre-aggregated, and confirmed on their full bytes with their number of
+documents and the largest id.  Documents without a suspected line are finished before.
+
+The suspected hashes are broadcast while they number BROADCAST_HASHES at most; beyond that
+each document's hashes are joined with them.
 
 Defined cases: a null or empty text is one empty line; a null id holds lines like
 any other but is never the largest unless all ids are null (then those rows keep
@@ -23,6 +22,7 @@ play no part.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,29 +35,33 @@ from .common import SPACE, Scratch, documents, mixed, pieces_of, string_hashes,
 
 MIN_POINTS = 20
 MIN_DOCS = 3
-#: Bits of a filter: at least, and at most (64 MiB for each of the two).
-MIN_BITS, MAX_BITS = 1 << 20, 1 << 29
-#: Bits that a byte of the input's files is given.
-BITS_PER_BYTE = 0.125
+#: Hashes of a range, about, and the bits of each of its two filters.
+RANGE_KEYS, RANGE_BITS = 1 << 18, 1 << 22
 #: Hash functions of the filters.
 PROBES = 4
-#: Bytes of a bitmap that are merged as one row.
-BLOCK = 1 << 16
+#: Suspected hashes (of 8 bytes) that are broadcast at most.
+BROADCAST_HASHES = 1 << 21
+#: Hashes that a task holds before it sends them.
+HELD = 1 << 20
 
 
-def filter_bits(docs: DataFrame) -> int:
-    """A power of two in proportion to the size of the input's files, between MIN_BITS and MAX_BITS."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    bits = MIN_BITS
-    while bits < MAX_BITS and bits < size * BITS_PER_BYTE:
-        bits *= 2
-    return bits
-
-
-def probes(hashes: np.ndarray, bits: int) -> np.ndarray:
+def probes(hashes: np.ndarray) -> np.ndarray:
     """The PROBES bit positions of each hash."""
     step = mixed(hashes) | np.uint64(1)
-    return np.stack([(hashes + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(PROBES)])
+    return np.stack([mixed(hashes + np.uint64(i) * step) & np.uint64(RANGE_BITS - 1) for i in range(1, PROBES + 1)])
+
+
+class Filter:
+    """A Bloom filter of RANGE_BITS bits."""
+
+    def __init__(self) -> None:
+        self.bits = np.zeros(RANGE_BITS, dtype=bool)
+
+    def holds(self, where: np.ndarray) -> np.ndarray:
+        return self.bits[where].all(axis=0)
+
+    def put(self, where: np.ndarray) -> None:
+        self.bits[where] = True
 
 
 def lines_of(text: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
@@ -83,126 +87,103 @@ def by_document(at: np.ndarray, code: np.ndarray, offsets: np.ndarray, n_keys: i
     return pair // max(1, n_keys), pair % max(1, n_keys)
 
 
-def build_filter(docs: DataFrame, bits: int) -> DataFrame:
-    """Blocks (block, once, twice) of the bitmaps of each task."""
+def prints(docs: DataFrame) -> DataFrame:
+    """(hash, n): the hashes of the long keys of each task, with their documents counted up to MIN_DOCS."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once = np.zeros(bits // 8, dtype=np.uint8)
-        twice = np.zeros(bits // 8, dtype=np.uint8)
-
-        def test(bitmap: np.ndarray, where: np.ndarray) -> np.ndarray:
-            return ((bitmap[where >> np.uint64(3)] >> (where & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+        held: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
 
-        def put(bitmap: np.ndarray, where: np.ndarray) -> None:
-            np.bitwise_or.at(bitmap, (where >> np.uint64(3)).ravel(), np.uint8(1) << (where & np.uint64(7)).astype(np.uint8).ravel())
+        def flush() -> pa.RecordBatch:
+            distinct, code = np.unique(np.concatenate(held), return_inverse=True)
+            n = np.minimum(np.bincount(code, np.concatenate(counts)), MIN_DOCS).astype(np.int32)
+            held.clear()
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(n)], names=["hash", "n"])
 
         for batch in pieces_of(batches):
             _, offsets, at, distinct, code = long_keys(batch.column("text"))
-            if not len(at):
-                continue
-            _, key = by_document(at, code, offsets, len(distinct))
-            docs_with = np.bincount(key, minlength=len(distinct))
-            where = probes(string_hashes(distinct), bits)
-            again = (docs_with > 1) | test(once, where).all(axis=0)
-            put(once, where)
-            put(twice, where[:, again])
-        for start in range(0, len(once), BLOCK):
-            a, b = once[start : start + BLOCK], twice[start : start + BLOCK]
-            if a.any():
-                yield pa.RecordBatch.from_arrays([pa.array([start // BLOCK], pa.int64()), pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary())], names=["block", "once", "twice"])
-
-    return docs.select("text").mapInArrow(make, "block bigint, once binary, twice binary")
-
-
-def merge_filter(blocks: DataFrame, bits: int) -> np.ndarray:
-    """The filter of keys met twice, merged over the tasks; ``bits`` / 8 bytes."""
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, once, twice = None, None, None
-
-        def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([twice.tobytes()], pa.binary())], names=["block", "twice"])
+            if len(at):
+                _, key = by_document(at, code, offsets, len(distinct))
+                held.append(string_hashes(distinct))
+                counts.append(np.bincount(key, minlength=len(distinct)))
+            if sum(map(len, held)) > HELD:
+                yield flush()
+        if held:
+            yield flush()
 
-        for batch in batches:
-            for block, a, b in zip(*(batch.column(i) for i in range(3)), strict=True):
-                a, b = np.frombuffer(a.as_buffer(), np.uint8), np.frombuffer(b.as_buffer(), np.uint8)
-                if block.as_py() != at:
-                    if at is not None:
-                        yield row()
-                    at, once, twice = block.as_py(), a.copy(), b.copy()
-                else:
-                    twice |= b
-                    twice |= once & a
-                    once |= a
-        if at is not None:
-            yield row()
-
-    n = max(1, bits // 8 // BLOCK)
-    sorted_blocks = blocks.repartition(min(n, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block").sortWithinPartitions("block")
-    whole = np.zeros(bits // 8, dtype=np.uint8)
-    for block, twice in sorted_blocks.mapInArrow(merge, "block bigint, twice binary").toLocalIterator():
-        whole[block * BLOCK : block * BLOCK + len(twice)] = np.frombuffer(twice, np.uint8)
-    return whole
-
-
-
-
-def dedup_lines(spark: SparkSession, docs: DataFrame, bits: int | None = None, with_text: bool = False) -> DataFrame:
-    """Drop the repeated lines of ``docs``: doc_id, n_lines, n_dropped, kept_sha256, and with ``with_text`` the text that stays."""
-    scratch = Scratch(spark, "line-dedup")
-    bits = bits or filter_bits(docs)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    twice = spark.sparkContext.broadcast(merge_filter(build_filter(docs, bits), bits))  # at most MAX_BITS / 8 bytes
+    return docs.select("text").mapInArrow(make, "hash bigint, n int")
 
-    def suspects(text: pa.Array):
-        lines, offsets, at, distinct, code = long_keys(text)
-        if not len(at):
-            return lines, offsets, at, distinct, code, np.zeros(0, bool)
-        where = probes(string_hashes(distinct), bits)
-        bitmap = twice.value
-        hit = ((bitmap[where >> np.uint64(3)] >> (where & np.uint64(7)).astype(np.uint8)) & 1).astype(bool).all(axis=0)
-        return lines, offsets, at, distinct, code, hit
 
-    # Pass 2: the suspected keys of each task, with their documents counted.
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[bytes, list] = {}
+def suspected(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """(hash) of all keys that MIN_DOCS documents hold, and of few others."""
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([x[0] for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.int64())], names=["key", "n", "last"])
-            found.clear()
-            return out
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, once, twice = None, None, None
+        for batch in batches:
+            range_, hashes, n = (np.asarray(batch.column(k)) for k in ("range", "hash", "n"))
+            for start, stop in itertools.pairwise([0, *(np.flatnonzero(range_[1:] != range_[:-1]) + 1).tolist(), len(range_)] if len(range_) else []):
+                if range_[start] != at:
+                    at, once, twice = range_[start], Filter(), Filter()
+                own, code = np.unique(hashes[start:stop].view(np.uint64), return_inverse=True)
+                met = np.bincount(code, n[start:stop]).astype(np.int64)
+                where = probes(own)
+                before = once.holds(where)
+                again = met + before
+                hit = again + twice.holds(where) >= MIN_DOCS
+                once.put(where)
+                twice.put(where[:, again > 1])
+                if hit.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(own[hit].view(np.int64))], names=["hash"])
+
+    found = scratch.keep(prints(docs))
+    ranges = max(1, -(-found.count() // RANGE_KEYS))
+    dealt = found.select(F.pmod(F.xxhash64("hash"), F.lit(ranges)).alias("range"), "hash", "n").repartition("range").sortWithinPartitions("range")
+    return scratch.keep(dealt.mapInArrow(sift, "hash bigint").distinct())
+
+
+def _with_suspects(docs: DataFrame, hashes: DataFrame) -> DataFrame:
+    """``docs`` with the suspected hashes of each document's long keys; equal rows have equal ones."""
 
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches):
-            _, offsets, at, distinct, code, hit = suspects(batch.column("text"))
-            if not hit.any():
-                continue
-            doc, key = by_document(at, code, offsets, len(distinct))
-            some = hit[key]
-            ids = batch.column("doc_id").to_pylist()
-            names = distinct.cast(pa.binary()).to_pylist()
-            for d, k in zip(doc[some].tolist(), key[some].tolist(), strict=True):
-                x = found.setdefault(names[k], [0, None])
-                x[0] += 1
-                if ids[d] is not None and (x[1] is None or ids[d] > x[1]):
-                    x[1] = ids[d]
-            if sum(map(len, found)) > 8 << 20:
-                yield flush()
-        yield flush()
+            _, offsets, at, distinct, code = long_keys(batch.column("text"))
+            if len(at):
+                doc, key = by_document(at, code, offsets, len(distinct))
+                yield pa.RecordBatch.from_arrays([batch.column("row_key").take(pa.array(doc)), pa.array(string_hashes(distinct).view(np.int64)[key])], names=["row_key", "hash"])
+
+    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    # A hot hash is one row of the right side; its documents on the left are split by the adaptive skew join.
+    found = keyed.select("row_key", "text").mapInArrow(make, "row_key bigint, hash bigint").distinct().join(hashes.hint("merge"), "hash")
+    found = found.groupBy("row_key").agg(F.collect_list("hash").alias("suspects"))
+    return keyed.join(found.hint("merge"), "row_key", "left").select("doc_id", "text", F.coalesce("suspects", F.array().cast("array<bigint>")).alias("suspects"))
 
-    counted = docs.mapInArrow(keys, "key binary, n bigint, last bigint").groupBy("key").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
-    # Kept as a table, since only a join of two plain exchanges can be split by the adaptive engine.
-    repeated = scratch.keep(counted.where((F.col("n") >= MIN_DOCS) & F.col("last").isNotNull()))
 
-    # Pass 3: documents without a suspect are finished; the others name their suspected keys.
+def dedup_lines(spark: SparkSession, docs: DataFrame, with_text: bool = False) -> DataFrame:
+    """Drop the repeated lines of ``docs``: doc_id, n_lines, n_dropped, kept_sha256, and with ``with_text`` the text that stays."""
+    scratch = Scratch(spark, "line-dedup")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    hashes = suspected(scratch, docs)
+    small = hashes.count() <= BROADCAST_HASHES
+    if small:
+        known = np.sort(np.array([r[0] for r in hashes.toLocalIterator()], dtype=np.int64))  # at most BROADCAST_HASHES numbers
+        shared = spark.sparkContext.broadcast(known)
+    else:
+        docs = _with_suspects(docs, hashes)
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents without a suspect are finished; the others name their suspected keys."""
         for batch in pieces_of(batches):
             text = pc.fill_null(batch.column("text"), "")
-            _, offsets, at, distinct, code, hit = suspects(text)
+            _, offsets, at, distinct, code = long_keys(text)
             own: dict[int, list] = {}
-            if hit.any():
+            if len(at):
+                found = string_hashes(distinct).view(np.int64)
+                some = shared.value if small else np.unique(np.asarray(batch.column("suspects").flatten(), dtype=np.int64))
+                hit = np.isin(found, some)
                 doc, key = by_document(at, code, offsets, len(distinct))
                 some = hit[key]
-                names = distinct.cast(pa.binary()).to_pylist()
+                names = distinct.cast(pa.binary()).to_pylist() if hit.any() else []
                 for d, k in zip(doc[some].tolist(), key[some].tolist(), strict=True):
                     own.setdefault(d, []).append(names[k])
             n = len(text)
@@ -220,6 +201,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, bits: int | None = None, w
     rows = docs.mapInArrow(finish, "doc_id bigint, n_lines bigint, kept_sha256 string, text string, keys array<binary>")
     rows = scratch.write(rows.withColumn("row_id", F.monotonically_increasing_id()), "rows")
     asked = rows.where(F.col("keys").isNotNull()).select("row_id", "doc_id", F.explode("keys").alias("key"))
+    counted = asked.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
+    # Kept as a table, since only a join of two plain exchanges can be split by the adaptive engine.
+    repeated = scratch.keep(counted.where((F.col("n") >= MIN_DOCS) & F.col("last").isNotNull()).drop("n"))
     # A hot key is one row of the right side; its documents on the left are split by the adaptive skew join.
     gone = asked.join(repeated.hint("merge"), "key").where(~F.col("doc_id").eqNullSafe(F.col("last"))).select("row_id", "key")
     gone = gone.groupBy("row_id").agg(F.collect_list("key").alias("gone"))
