@@ -7,7 +7,7 @@ than ``shards`` runs is found by binary search, and the runs of that packing are
 the shards (law ``bytes``).  Runs then follow the order of the digests, so a
 shard is told by comparing a digest with at most ``shards - 1`` cuts.
 
-The driver never holds the groups.  It starts with the byte sums of the 65,536 blocks of
+The driver never holds the groups.  It starts with the byte sums of the 4,096 blocks of
 the digest space, which bound every cut of a greedy packing from both sides; only the
 blocks in which a bound falls are split by further digest bits, again and again, until
 the bounds meet.  A split makes at most 256 pieces of each of at most 4 * shards
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, documents
 
 #: Hex digits of a digest that name a block, and that each further split adds.
-BLOCK_DIGITS, SPLIT_DIGITS = 4, 2
+BLOCK_DIGITS, SPLIT_DIGITS = 3, 2
 SHARDS = 24
 #: Bytes that a row counts beside its text.
 ROW_BYTES = 8
