@@ -3,8 +3,9 @@
 Tables that must not be computed twice (they number rows, or end a round of a loop)
 are written as Parquet under the folder that the session names in
 ``spark.checkpoint.dir`` (a folder that every executor can reach), which cuts their
-lineage.  Where the setting is missing (unit tests on one machine) a temporary folder
-is made and kept for the session.  Other tables that are read more than once are
+lineage.  Where the setting is missing a temporary folder is made and kept for the
+session if the master is local (unit tests); on a cluster that is an error, since
+executors don't share local folders.  Other tables that are read more than once are
 persisted on the executors' disks; what a lost executor held is computed again from
 its lineage, which is short.
 """
@@ -31,6 +32,7 @@ BATCH_BYTES = 4 << 20
 
 _own_folder: dict[str, str] = {}
 _kept: list[DataFrame] = []
+_folders: list[Scratch] = []
 
 
 def release() -> None:
@@ -42,6 +44,12 @@ def release() -> None:
             df.unpersist()
 
 
+def discard() -> None:
+    """Delete all scratch tables written so far; only for callers who have read, or written, what was made from them."""
+    while _folders:
+        _folders.pop().drop()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for scratch tables: ``spark.checkpoint.dir``, or one of our own where it is unset."""
     try:
@@ -50,6 +58,8 @@ def shared_folder(spark: SparkSession) -> str:
         folder = None
     if folder:
         return folder.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
         _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="plinth-")
@@ -62,6 +72,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_folder(spark)}/plinth/{name}-{uuid.uuid4().hex}"
+        _folders.append(self)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -79,10 +90,12 @@ class Scratch:
         _kept.append(df.persist(StorageLevel.DISK_ONLY))
         return _kept[-1]
 
-    def drop(self, name: str) -> None:
-        """Delete a table that no later plan reads."""
+    def drop(self, name: str = "") -> None:
+        """Delete a table that no later plan reads, or all of them."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+        if jvm is None:  # the session has ended
+            return
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}" if name else self.base)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

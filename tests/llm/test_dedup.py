@@ -215,3 +215,25 @@ def test_bands_find_similar_pairs():
         k = [near_dedup.band_keys(near_dedup.minima(s, a, b, room)) for s in (x, y)]
         missed += not (k[0] == k[1]).any()
     assert missed == 0
+
+
+def test_links_at_the_border_are_found(spark):
+    """End to end, bands and signatures together, on texts whose similarity is 0.75 to 0.80."""
+    import random
+
+    rng = random.Random(8)
+    rows, pairs = [], []
+    for i in range(400):
+        n = rng.choice([60, 120, 300])
+        words = [f"w{i}x{k}" for k in range(n + 4)]  # n shingles, all of their own
+        # every changed word at the end takes off one shingle and adds another: (n - c) / (n + c)
+        c = next(c for c in range(n) if (n - c - 1) / (n + c + 1) < rng.uniform(0.75, 0.79))
+        while 100 * (n - c) < 75 * (n + c):
+            c -= 1
+        other = words[: n + 4 - c] + [f"v{i}x{k}" for k in range(c)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        pairs.append((n - c) / (n + c))
+    assert 0.75 <= min(pairs) and max(pairs) <= 0.81
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[2 * i + 1] == 2 * i for i in range(400))
+    assert found >= 398, found
