@@ -12,12 +12,14 @@ carried along under their names.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.llm import decontaminate as decontamination
 from plinth.llm import toxicity
-from plinth.llm.common import Scratch, release
+from plinth.llm.common import Scratch, discard, release, shared_folder
 from plinth.llm.exact_dedup import exact_dedup
 from plinth.llm.near_dedup import near_dedup
 from plinth.llm.sentencepiece_coding import encode_documents
@@ -99,9 +101,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    scratch = Scratch(spark, "pipeline")
+    discard()
+    folder = f"{shared_folder(spark)}/plinth/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{i}")
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(f"{folder}/stage-{i}")
+        docs = spark.read.schema(out.schema).parquet(f"{folder}/stage-{i}")
         release()
+        discard()  # what the stage is made from
     return docs
