@@ -75,10 +75,14 @@ def document_text(function: Column, cls: Column, bases: Column, code: Column) ->
     return F.concat_ws(" ", *(F.nullif(c, F.lit("")) for c in (function, cls, bases, code)))
 
 
+# The labels of a context block, in their order.
+BLOCK_LABELS = ("Repository", "File Path", "Language", "Chunk Type", "Function Name", "Class Name", "Raw Code")
+
+
 def context_block(repository: Column, path: Column, language: Column, kind: Column, function: Column, cls: Column, code: Column) -> Column:
     name = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("None"))
-    pairs = [("Repository", repository), ("File Path", path), ("Language", language), ("Chunk Type", kind), ("Function Name", name(function)), ("Class Name", name(cls))]
-    return F.concat_ws("\n", *(F.concat(F.lit(f"{label}: "), value) for label, value in pairs), F.lit("Raw Code:"), code)
+    values = (repository, path, language, kind, name(function), name(cls))
+    return F.concat_ws("\n", *(F.concat(F.lit(f"{label}: "), value) for label, value in zip(BLOCK_LABELS, values, strict=False)), F.lit(f"{BLOCK_LABELS[-1]}:"), code)
 
 
 def lines_of(text: Column) -> Column:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from plinth.functions.vectors import dot, unit
+from plinth.functions.vectors import unit
 from plinth.operators.ranking import top_k
 
-#: Query vectors that are broadcast at most; more queries are a batch job and go in slices of this size.
-QUERY_SLICE = 1000
+#: Query vectors that are broadcast at once, about; more of them go in slices.
+QUERY_SLICE = 4096
 
 
 def build_index(vectors: DataFrame, id_col: str, vector_col: str, width: int | None = None) -> DataFrame:
@@ -20,25 +26,57 @@ def build_index(vectors: DataFrame, id_col: str, vector_col: str, width: int | N
     return vectors.select(F.col(id_col).alias("id"), unit(v).alias("unit"))
 
 
-def similarities(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id, score) of every vector for every query of a bounded, broadcast set (query_id, vector)."""
-    few = queries.select("query_id", unit(F.col("vector")).alias("q")).limit(QUERY_SLICE)
-    return index.crossJoin(F.broadcast(few)).select("query_id", "id", dot(F.col("unit"), F.col("q")).alias("score"))
+def _best_of_batch(scores: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of the best ``k`` rows for each query (columns); scores are rounded, ties go to the smaller id."""
+    queries, rows = [], []
+    for q in range(scores.shape[1]):
+        own = scores[:, q]
+        at = np.arange(len(own))
+        if len(own) > k:
+            at = np.flatnonzero(own >= -np.partition(-own, k - 1)[k - 1])
+            if len(at) > k:
+                ties = pa.table({"score": own[at], "id": ids.take(pa.array(at)), "at": at})
+                at = np.asarray(pc.select_k_unstable(ties, k, [("score", "descending"), ("id", "ascending")]))
+                at = np.asarray(ties.column("at").take(pa.array(at)))
+        queries.append(np.full(len(at), q))
+        rows.append(at)
+    return np.concatenate(queries), np.concatenate(rows)
+
+
+def _search_slice(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score): the best of every batch of vectors for each query."""
+    asked = queries.select("query_id", unit(F.col("vector")).alias("q")).toArrow().combine_chunks()  # a slice of the queries
+    names = asked.column("query_id").combine_chunks()
+    matrix = np.array(asked.column("q").to_pylist(), dtype=np.float64)
+    shared = queries.sparkSession.sparkContext.broadcast((names, matrix))
+    schema = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("id", index.schema["id"].dataType), StructField("score", DoubleType())])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix = shared.value
+        for batch in batches:
+            if not batch.num_rows or not len(names):
+                continue
+            vectors = np.asarray(batch.column("unit").flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
+            scores = vectors @ matrix.T
+            query, row = _best_of_batch(np.round(scores, 9), batch.column("id"), k)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), batch.column("id").take(pa.array(row)), pa.array(scores[row, query])], names=["query_id", "id", "score"])
+
+    return index.select("id", "unit").mapInArrow(best, schema)
 
 
 def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The nearest ``k`` of each query: (query_id, id, score, rank).
+    """The nearest ``k`` of each query (query_id, vector): (query_id, id, score, rank).
 
-    The queries are broadcast QUERY_SLICE at a time, so the vectors are scanned and never shuffled;
-    each task keeps k rows for each query.
+    The queries are broadcast in slices, and multiplied with whole batches of vectors; so the vectors
+    are scanned once for each slice and never shuffled, and k rows of a batch go on for each query.
     """
+    if k <= 0:
+        raise ValueError("k must be positive")
     n = queries.count()
-    if n <= QUERY_SLICE:
-        return top_k(similarities(index, queries), k, ["query_id"], F.round("score", 9).desc(), F.col("id"))
-    slices = -(-n // QUERY_SLICE)
-    part = F.pmod(F.xxhash64("query_id"), F.lit(2 * slices))
-    found = [top_k(similarities(index, queries.where(part == i)), k, ["query_id"], F.round("score", 9).desc(), F.col("id")) for i in range(2 * slices)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    slices = 1 if n <= QUERY_SLICE else 2 * -(-n // QUERY_SLICE)
+    part = F.pmod(F.xxhash64("query_id", "vector"), F.lit(slices))  # rows that share an id may lie in several slices
+    out = None
+    for i in range(slices):
+        found = _search_slice(index, queries.where(part == i) if slices > 1 else queries, k)
+        out = found if out is None else out.unionByName(found)
+    return top_k(out, k, ["query_id"], F.round("score", 9).desc(), F.col("id"))

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from plinth.operators.ranking import keep_first, ranked
 from plinth.schemas import CALL_KINDS, EDGE_KINDS
+from plinth.session import checkpointed
+
+#: A place holds the hop above so many bits and a row number, which is a 32-bit integer, below.
+PLACE_BITS = 32
 
 
 def phase(edge_type: Column) -> Column:
@@ -73,7 +77,7 @@ def blast_radius(edges: DataFrame, focus: DataFrame, hops: int) -> DataFrame:
     """(focus, id, hop) of every node within ``hops`` undirected steps of each focus (id); hop is the least.
 
     One join for each hop, from the last hop's new nodes alone; the visited set is taken off by an
-    anti join.  Beyond three hops each round is checkpointed, which cuts the plan.
+    anti join.  From the second hop on each round is checkpointed, so the plan stays as it is.
     """
     if hops < 0:
         raise ValueError("hops must not be negative")
@@ -81,23 +85,14 @@ def blast_radius(edges: DataFrame, focus: DataFrame, hops: int) -> DataFrame:
     visited = frontier = focus.select(F.col("id").alias("focus"), "id", F.lit(0).alias("hop")).distinct()
     for hop in range(1, hops + 1):
         frontier = frontier.join(steps, "id").select("focus", F.col("other").alias("id"), F.lit(hop).alias("hop")).distinct().join(visited, ["focus", "id"], "left_anti")
-        if hop > 3:
-            frontier = _cut(frontier)
+        if 1 < hop < hops:
+            frontier = checkpointed(frontier)
             if frontier.isEmpty():
                 break
         visited = visited.unionByName(frontier)
     return visited
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="plinth-graph-"))
-    return df.checkpoint()
-
-
 def hop_tiers(radius: DataFrame) -> DataFrame:
     return radius.groupBy("focus", "hop").agg(F.count(F.lit(1)).alias("n_nodes"))
 
@@ -122,7 +117,9 @@ def expand(seeds: DataFrame, steps: DataFrame, hops: int = 1, decay: float = 0.5
     A neighbour has its parent's score times ``decay``.  Seeds are never replaced.  A node is kept
     with its best score, of equal ones the first met (parent's place in the frontier, side, id);
     only a strictly better path replaces an earlier one, and a node that was improved is expanded
-    again.  Result: query_id, id, score, distance, origin, edge_type, place (the order of discovery).
+    again.  Result: query_id, id, score, distance, origin, edge_type, place (the order of discovery:
+    by hop, then by parent's place, side and id).  Between hops the frontier and what is kept are
+    checkpointed, so the plan of each hop has the same size.
     """
     if hops <= 0:
         raise ValueError("hops must be positive")
@@ -135,11 +132,13 @@ def expand(seeds: DataFrame, steps: DataFrame, hops: int = 1, decay: float = 0.5
         near = near.join(base, (near["query_id"] == base["query_id"]) & (near["dst"] == base["_seed"]), "left_anti")
         found = keep_first(near, ["query_id", "dst"], F.round("score", 12).desc(), F.col("_from"), F.col("side"), F.col("src"))
         found = ranked(found, ["query_id"], F.col("_from"), F.col("side"), F.col("dst"), name="_n")
-        found = found.select("query_id", F.col("dst").alias("id"), "score", F.lit(hop).alias("distance"), F.col("src").alias("origin"), "edge_type", (F.lit(hop * 1_000_000) + F.col("_n")).cast("bigint").alias("place"))
+        found = found.select("query_id", F.col("dst").alias("id"), "score", F.lit(hop).alias("distance"), F.col("src").alias("origin"), "edge_type", (F.lit(hop << PLACE_BITS) + F.col("_n")).alias("place"))
         old = kept.where("distance > 0").select("query_id", "id", F.col("score").alias("_old"))
         frontier = found.join(old, ["query_id", "id"], "left").where(F.col("_old").isNull() | (F.col("score") > F.col("_old"))).drop("_old")
         stay = kept.join(frontier.select("query_id", "id"), ["query_id", "id"], "left_anti")
         kept = stay.unionByName(frontier)
+        if hop < hops:
+            frontier, kept = checkpointed(frontier), checkpointed(kept)
     return kept
 
 

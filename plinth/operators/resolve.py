@@ -26,12 +26,23 @@ def containment(symbols: DataFrame) -> DataFrame:
     return _named(symbols, ("method",)).select("file_id", "class_name", F.col("id").alias("dst")).join(classes, ["file_id", "class_name"]).select("src", "dst")
 
 
+def _first(symbols: DataFrame, keys: dict[str, str], out: str) -> DataFrame:
+    """The symbol with the least ordinal for each key (names in ``symbols`` to names in the result), as struct ``out`` (ordinal, id)."""
+    rows = symbols.select(*(F.col(k).alias(v) for k, v in keys.items()), F.struct("ordinal", "id").alias(out))
+    return rows.groupBy(*keys.values()).agg(F.min(out).alias(out))
+
+
 def inheritance(bases: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(src, dst) from (src, file_id, base names separated by commas): a class of the same file, else the first anywhere."""
+    """(src, dst) from (src, file_id, base names separated by commas): a class of the same file, else the first anywhere.
+
+    Symbols are reduced to the first of each name (and file) before the joins, so a frequent name is one row.
+    """
     wanted = bases.select("src", "file_id", F.posexplode(F.split("bases", ",")).alias("pos", "base")).select("src", "file_id", "pos", F.trim("base").alias("base")).where("base <> ''")
-    classes = _named(symbols, ("class",)).select(F.col("name").alias("base"), F.col("file_id").alias("_file"), F.col("id").alias("dst"), "ordinal")
-    found = wanted.join(classes, "base").withColumn("_far", (F.col("_file") != F.col("file_id")).cast("int"))
-    return keep_first(found, ["src", "pos"], F.col("_far"), F.col("ordinal")).select("src", "dst", F.col("pos").alias("ordinal"))
+    classes = _named(symbols, ("class",))
+    here = _first(classes, {"name": "base", "file_id": "file_id"}, "_here")
+    there = _first(classes, {"name": "base"}, "_there")
+    found = wanted.join(there, "base").join(here, ["base", "file_id"], "left")
+    return found.select("src", F.coalesce("_here", "_there")["id"].alias("dst"), F.col("pos").alias("ordinal"))
 
 
 def calls(sites: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -39,21 +50,23 @@ def calls(sites: DataFrame, symbols: DataFrame) -> DataFrame:
 
     In this order: a method of the caller's own class for self calls; a method of the class that
     qualifies the call; a function of that name, or if there is none a method, in the same file
-    before any other.  Result: site_id, src, dst, edge_type; unresolved sites are left out.
+    before any other.  Result: site_id, src, dst, edge_type; unresolved sites are left out.  Symbols
+    are reduced to the first of each name (and class, or file) before the joins, so a site is never
+    joined with all symbols of a frequent name.
     """
-    methods = _named(symbols, ("method",)).select(F.col("name").alias("callee"), F.col("class_name").alias("_class"), F.col("file_id").alias("_file"), F.col("id").alias("dst"), "ordinal", F.lit(True).alias("_method"))
-    functions = _named(symbols, FUNCTION_KINDS).select(F.col("name").alias("callee"), F.lit(None).cast("string").alias("_class"), F.col("file_id").alias("_file"), F.col("id").alias("dst"), "ordinal", F.lit(False).alias("_method"))
-    pool = sites.join(functions.unionByName(methods), "callee")
-    far = (F.col("_file") != F.col("file_id")).cast("int")
-    tier = (
-        F.when(F.col("_method") & F.col("is_self") & (F.col("_class") == F.col("caller_class")), 1)
-        .when(F.col("_method") & (F.col("_class") == F.col("qualifier")), 2)
-        .when(~F.col("_method"), 3)
-        .otherwise(4)
-    )
-    placed = pool.withColumn("_tier", tier).withColumn("_far", F.when(F.col("_tier") <= 2, 0).otherwise(far))
-    best = keep_first(placed, ["site_id"], F.col("_tier"), F.col("_far"), F.col("ordinal"))
-    return best.select("site_id", "src", "dst", F.when(F.col("_method"), "method_call").otherwise("function_call").alias("edge_type"))
+    methods, functions = _named(symbols, ("method",)), _named(symbols, FUNCTION_KINDS)
+    own = _first(methods, {"name": "callee", "class_name": "caller_class"}, "_own")
+    of_qualifier = _first(methods, {"name": "callee", "class_name": "qualifier"}, "_qualified")
+    out = sites.join(own, ["callee", "caller_class"], "left").join(of_qualifier, ["callee", "qualifier"], "left")
+    out = out.withColumn("_own", F.when(F.col("is_self"), F.col("_own")))
+    for name, pool in (("_function", functions), ("_method", methods)):
+        out = out.join(_first(pool, {"name": "callee", "file_id": "file_id"}, f"{name}_here"), ["callee", "file_id"], "left").join(_first(pool, {"name": "callee"}, f"{name}_there"), ["callee"], "left")
+    method = F.coalesce("_own", "_qualified")
+    function = F.coalesce("_function_here", "_function_there")
+    other = F.coalesce("_method_here", "_method_there")
+    is_function = method.isNull() & function.isNotNull()
+    best = out.withColumn("_best", F.coalesce(method, function, other)).where(F.col("_best").isNotNull())
+    return best.select("site_id", "src", F.col("_best")["id"].alias("dst"), F.when(is_function, "function_call").otherwise("method_call").alias("edge_type"))
 
 
 def bare_names(sites: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -120,10 +120,10 @@ def parse_claims(raw: Column, files: Column) -> Column:
     An array of claims, or an object with one key that holds it; every claim has a known kind,
     texts that are not empty, and a location in one of ``files``.
     """
-    text = F.trim(raw)
+    text = F.regexp_replace(raw, r"^\s+|\s+$", "")
     keys = F.json_object_keys(text)
     inner = F.when(F.size(keys) == 1, F.get(F.map_values(F.from_json(text, "map<string,string>")), F.lit(0)))
-    array = F.when(text.startswith("["), text).when(text.startswith("{") & F.trim(inner).startswith("["), inner)
+    array = F.when(text.startswith("["), text).when(text.startswith("{") & F.ltrim(inner).startswith("["), inner)
     claims = F.from_json(array, _CLAIMS)
     said = lambda x: x.isNotNull() & (F.length(x) > 0)
     good = F.forall(

@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from plinth.functions.text import tokens
-from plinth.operators.ranking import top_k
+from plinth.operators.ranking import ranked, top_k
 
-
-#: First ids, beyond 2 k, that may fill up a query with few hits.
-SPARE = 1000
+#: A term with less weight may give hits that do not rank above documents without any.
+LEAST_IDF = 1e-6
+#: Ids that may fill up queries, broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 100_000
 
 
 @dataclass(frozen=True)
@@ -62,24 +63,42 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def scores(index: SparseIndex, queries: DataFrame, k1: float = 1.5, b: float = 0.75, within: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score) of documents that hold a query term; repeated query terms count again.
 
-    ``within`` (doc_id; broadcast, so bounded) restricts the documents.
+    ``within`` (doc_id) restricts the documents.
     """
     wanted = query_terms(queries).join(index.terms.select("term", "idf"), "term")
-    postings = index.postings if within is None else index.postings.join(F.broadcast(within), "doc_id", "left_semi")
+    postings = index.postings if within is None else index.postings.join(within, "doc_id", "left_semi")
     hits = postings.join(wanted, "term").crossJoin(F.broadcast(index.corpus))  # corpus is one row
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
+def fillers(index: SparseIndex, queries: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """(query_id, doc_id, score 0): the documents without a hit that may be among the best ``k``.
+
+    These are the first ids without a hit.  Where all terms weigh something, hits rank above them, so
+    they matter only if there are fewer than k hits, and then the first 2 k ids hold enough of them.
+    With a term that weighs nothing or less any hit may fall behind: then k ids more than the terms
+    have documents are looked at.
+    """
+    asked = query_terms(queries)
+    known = asked.join(index.terms.select("term", "df", "idf"), "term", "left")
+    light = F.coalesce(F.min("idf"), F.lit(1.0)) <= LEAST_IDF
+    need = known.groupBy("query_id").agg(F.when(light, F.sum("df") + k).otherwise(2 * k).cast("bigint").alias("need"))
+    most = need.agg(F.max("need")).first()[0] or 0
+    first = index.documents.select("doc_id").orderBy("doc_id").limit(most)  # Spark keeps as many in each task
+    first = ranked(first.withColumn("_all", F.lit(0)), ["_all"], F.col("doc_id"), name="place").drop("_all")
+    small = most <= BROADCAST_IDS
+    within = F.broadcast(first.select("doc_id")) if small else first.select("doc_id")
+    # As many rows for each query as it needs, which is about as many as it has hits.
+    pairs = need.select("query_id", F.explode(F.sequence(F.lit(1), F.col("need").cast("int"))).alias("place")).join(F.broadcast(first) if small else first, "place").select("query_id", "doc_id")
+    return pairs.join(scores(index, queries, k1, b, within), ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
+
+
 def search(index: SparseIndex, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """The best ``k`` documents of each query with tokens: (query_id, doc_id, score, rank); ties by id.
 
-    Documents without a hit fill a query up to k in the order of their ids.  Candidates for that are
-    the first ids alone, so not every document is paired with every query.
+    Documents without a hit have score 0 and fill a query up to k.
     """
     found = top_k(scores(index, queries, k1, b), k, ["query_id"], F.round("score", 9).desc(), F.col("doc_id"), name="_r").drop("_r")
-    asked = query_terms(queries).select("query_id").distinct()
-    fillers = index.documents.orderBy("doc_id").limit(2 * k + SPARE).select("doc_id")
-    hit = scores(index, queries, k1, b, fillers).select("query_id", "doc_id")
-    padded = asked.crossJoin(F.broadcast(fillers)).join(hit, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))  # 2 k + SPARE rows for each query
+    padded = fillers(index, queries, k, k1, b)
     return top_k(found.unionByName(padded), k, ["query_id"], F.round("score", 9).desc(), F.col("doc_id")).select("query_id", "doc_id", "score", "rank")

@@ -46,7 +46,11 @@ def orphans(rows: DataFrame, referred: DataFrame, column: str, key: str) -> Data
 
 
 class Store:
-    """Tables as Parquet folders; a change is written beside the old version and then takes its name."""
+    """Tables as Parquet folders: each version is a folder of its own, and a pointer file names the current one.
+
+    A change writes a new version and then moves a new pointer over the old one, which is one step; a
+    failure at any time leaves the table as it was before or as it is after.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -55,25 +59,47 @@ class Store:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
+    def _version(self, name: str) -> str | None:
+        """The folder of the current version."""
+        fs, p = self._fs(f"{self.root}/{name}/current")
+        if not fs.exists(p):
+            return None
+        stream = fs.open(p)
+        try:
+            return f"{self.root}/{name}/{self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, 'UTF-8')}"
+        finally:
+            stream.close()
+
     def exists(self, name: str) -> bool:
-        fs, p = self._fs(f"{self.root}/{name}")
-        return fs.exists(p)
+        return self._version(name) is not None
 
     def read(self, name: str) -> DataFrame:
-        if self.exists(name):
-            return self.spark.read.schema(LAYOUTS[name]).parquet(f"{self.root}/{name}")
+        version = self._version(name)
+        if version is not None:
+            return self.spark.read.schema(LAYOUTS[name]).parquet(version)
         return self.spark.createDataFrame([], LAYOUTS[name])
 
     def replace(self, name: str, df: DataFrame) -> None:
-        """Stage, then swap; a failure before the swap leaves the old version as it is."""
-        staged, old = f"{self.root}/.{name}-{uuid.uuid4().hex}", f"{self.root}/.{name}-old-{uuid.uuid4().hex}"
-        df.write.parquet(staged)
-        fs, target = self._fs(f"{self.root}/{name}")
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        if fs.exists(target):
-            fs.rename(target, path(old))
-        fs.rename(path(staged), target)
-        fs.delete(path(old), True)
+        """Write a version, then point to it; the version before is deleted."""
+        before, version = self._version(name), f"version-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{name}/{version}")
+        self._point(name, version)
+        if before is not None:
+            fs, p = self._fs(before)
+            fs.delete(p, True)
+
+    def _point(self, name: str, version: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        fs, staged = self._fs(f"{self.root}/{name}/.current-{uuid.uuid4().hex}")
+        stream = fs.create(staged, True)
+        stream.write(bytearray(version.encode()))
+        stream.close()
+        kinds = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        over = self.spark.sparkContext._gateway.new_array(kinds, 1)
+        over[0] = kinds.OVERWRITE
+        target = self._fs(f"{self.root}/{name}/current")[1]
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(staged), fs.makeQualified(target), over)
 
     def insert_only(self, name: str, new: DataFrame, *order: Column) -> int:
         """Insert rows with new keys; returns their number."""

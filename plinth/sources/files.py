@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +19,6 @@ LANGUAGES = {
 #: Bytes from the start of a file in which a NUL means that it is binary.
 SNIFFED = 8192
 
-_URL = r"^https://github\.com/([A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)/([A-Za-z0-9._-]+?)(?:\.git)?/?$"
-
-
 def extension(path: Column) -> Column:
     return F.regexp_extract(path, r"(\.[^./]+)$", 1)
 
@@ -49,11 +48,21 @@ def discover(spark: SparkSession, root: str, max_bytes: int = 2 * 1024 * 1024) -
 
 
 def parse_repository_url(url: Column) -> Column:
-    """struct(owner, name, clone_url) of a valid repository address, else null."""
+    """struct(owner, name, clone_url) of a valid repository address, else null.
+
+    An address is https, has the host github.com and two segments, and nothing else but a slash at the
+    end.  An owner is made of ASCII letters, digits and inner hyphens; a name of those, dots and
+    underscores, without its suffix .git.
+    """
     u = F.trim(url)
-    owner, name = F.regexp_extract(u, _URL, 1), F.regexp_extract(u, _URL, 2)
+    parts = F.split(F.regexp_replace(u, "/$", ""), "/")
+    owner, whole = F.get(parts, F.lit(3)), F.get(parts, F.lit(4))
+    name = F.when(whole.endswith(".git") & (F.length(whole) > 4), whole.substr(F.lit(1), F.length(whole) - 4)).otherwise(whole)
+    plain = lambda x, more: (F.length(x) > 0) & (F.length(F.translate(x, string.ascii_letters + string.digits + more, "")) == 0)
+    fits = (F.size(parts) == 5) & (F.get(parts, F.lit(0)) == "https:") & (F.get(parts, F.lit(1)) == "") & (F.get(parts, F.lit(2)) == "github.com")
+    fits = fits & plain(owner, "-") & ~owner.startswith("-") & ~owner.endswith("-") & plain(name, "._-") & ~name.isin(".", "..")
     made = F.struct(owner.alias("owner"), name.alias("name"), F.concat(F.lit("https://github.com/"), owner, F.lit("/"), name, F.lit(".git")).alias("clone_url"))
-    return F.when(u.rlike(_URL) & ~name.isin(".", ".."), made)
+    return F.when(F.coalesce(fits, F.lit(False)), made)
 
 
 def json_rows(spark: SparkSession, path: str, schema: str, required: list[str]) -> DataFrame:

@@ -59,6 +59,60 @@ def test_dense_order_and_width(spark):
         dense.build_index(v, "i", "v", 3).collect()
 
 
+def test_fillers_rank_above_hits_that_weigh_less_than_nothing(spark):
+    """Every term is in most documents, so hits score below 0 and the documents without a hit lead."""
+    docs = spark.createDataFrame([(i, "common" if i < 1200 else "other rare" if i == 1250 else "") for i in range(1300)], "doc_id long, text string")
+    index = sparse.build_index(docs, epsilon=-1.0)
+    asked = spark.createDataFrame([(1, "common"), (2, "unknown"), (3, "rare common")], "query_id int, query string")
+    got = {}
+    for r in sparse.search(index, asked, 20).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    assert [d for d, _ in got[1]] == list(range(1200, 1220)) and {s for _, s in got[1]} == {0.0}
+    assert [d for d, _ in got[2]] == list(range(20))
+    assert got[3][0][0] == 1250 and got[3][0][1] > 0 and [d for d, _ in got[3][1:]] == list(range(1200, 1219))
+
+
+def test_dense_search_in_slices_and_with_repeated_ids(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    vectors = rng.normal(size=(700, 8))
+    vectors[300:500] = vectors[7]  # ties go to the smaller id
+    asked = vectors[:260].copy()
+    asked[10] = 0
+    index = dense.build_index(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, v array<double>").repartition(5), "vec_id", "v", 8)
+    q = spark.createDataFrame([(i % 250, v.tolist()) for i, v in enumerate(asked)], "query_id int, vector array<double>")
+    unit = lambda m: np.divide(m, np.linalg.norm(m, axis=1, keepdims=True), out=np.zeros_like(m), where=np.linalg.norm(m, axis=1, keepdims=True) > 0)
+    score = unit(asked) @ unit(vectors).T
+    want = {}
+    for i in range(250):
+        rows = [(-round(float(score[j, d]), 9), d) for j in range(i, 260, 250) for d in range(700)]
+        want[i] = [d for _, d in sorted(rows)[:5]]
+    for size in (4096, 30):
+        monkeypatch.setattr(dense, "QUERY_SLICE", size)
+        got = {}
+        for r in dense.search(index, q, 5).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.id)
+        assert got == want
+    assert dense.search(index, q.limit(0), 5).count() == 0 and dense.search(index.limit(0), q, 5).count() == 0
+
+
+def test_places_of_hops_do_not_overlap(spark, monkeypatch):
+    """With room for few discoveries a hop, places of two hops overlap; with PLACE_BITS they can't, since row numbers are 32-bit integers."""
+    steps = spark.createDataFrame([("s", f"a{i}", "x", 0) for i in range(40)] + [(f"a{i}", f"b{i}", "x", 0) for i in range(40)], "src string, dst string, edge_type string, side int")
+    seeds = spark.createDataFrame([(1, "s", 1.0, 1)], "query_id int, id string, score double, rank int")
+    rows = graph.expand(seeds, steps, 2).collect()
+    places = {h: [r.place for r in rows if r.distance == h] for h in (1, 2)}
+    assert len(places[1]) == len(places[2]) == 40 and max(places[1]) < min(places[2]) and graph.PLACE_BITS == 32
+
+
+def test_plans_of_hops_do_not_grow(spark, net):
+    edges, nodes = net
+    seeds = spark.createDataFrame([(1, "A", 1.0, 1)], "query_id int, id string, score double, rank int")
+    size = lambda hops: graph.expand(seeds, graph.fan_out(edges, nodes), hops)._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    assert size(2) == size(4)
+
+
 def test_fusion(spark):
     d = spark.createDataFrame([(1, "a", 0.9, 1), (1, "a", 0.9, 2), (1, "b", 0.8, 3)], "query_id int, id string, score double, rank int")
     s = spark.createDataFrame([(1, "b", 7.0, 1), (1, "c", 6.0, 2)], "query_id int, id string, score double, rank int")
@@ -236,6 +290,19 @@ def test_store(spark, tmp_path):
     assert store.read("code_chunks").count() == 0
 
 
+def test_a_store_survives_a_failed_change(spark, tmp_path, monkeypatch):
+    store = tables.Store(spark, str(tmp_path / "s"))
+    rows = lambda n: spark.createDataFrame([("r", f"c{i}", "m", 1, [0.5], None) for i in range(n)], "repository_id string, chunk_id string, model_name string, embedding_dimension int, embedding array<float>, created_at timestamp")
+    store.replace("embeddings", rows(2))
+    monkeypatch.setattr(tables.Store, "_point", lambda *a: (_ for _ in ()).throw(RuntimeError("stopped")))
+    with pytest.raises(RuntimeError):
+        store.replace("embeddings", rows(3))
+    monkeypatch.undo()
+    assert store.exists("embeddings") and store.read("embeddings").count() == 2
+    store.replace("embeddings", rows(4))
+    assert store.read("embeddings").count() == 4 and not store.exists("semantic_cache")
+
+
 def test_edges_need_both_ends(spark):
     e = spark.createDataFrame([("r", "a", "b"), ("r", "a", "z"), ("q", "a", "b")], "repository_id string, source_chunk_id string, target_chunk_id string")
     c = spark.createDataFrame([("r", "a"), ("r", "b")], "repository_id string, chunk_id string")
