@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,43 @@ def hashed_encoder(width: int = 64) -> Encoder:
     return encode
 
 
+def batched_encoder(load: Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]], width: int, batch: int = 32) -> Encoder:
+    """A model that encodes lists of texts, as a column function: ``load()`` runs once in each task, then texts go in batches.
+
+    A vector of another width is an error.
+    """
+
+    def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for part in texts:
+            out: list[list[float]] = []
+            for at in range(0, len(part), batch):
+                asked = [x or "" for x in part.iloc[at : at + batch].tolist()]
+                found = [[float(x) for x in v] for v in model(asked)]
+                if len(found) != len(asked) or any(len(v) != width for v in found):
+                    raise ValueError(f"the model gave other than {len(asked)} vectors of width {width}")
+                out += found
+            yield pd.Series(out)
+
+    encode.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(encode, "array<float>")
+
+
+def retried(call: Callable, attempts: int = 4, wait: float = 15.0, errors: tuple[type[Exception], ...] = (ConnectionError, TimeoutError), sleep: Callable[[float], None] = time.sleep) -> Callable:
+    """``call``, tried again after ``wait`` seconds while it raises one of ``errors``; the last error is raised."""
+
+    def run(*args, **named):
+        for left in range(attempts - 1, -1, -1):
+            try:
+                return call(*args, **named)
+            except errors:
+                if not left:
+                    raise
+                sleep(wait)
+
+    return run
+
+
 def overlap_scorer(query: Column, code: Column) -> Column:
     """Share of token sets that query and code have in common."""
     return jaccard(F.array_distinct(tokens(query)), F.array_distinct(tokens(code)))

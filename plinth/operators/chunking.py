@@ -27,6 +27,11 @@ def sliding(files: DataFrame, lines: int = 50, step: int = 40, with_code: bool =
     return out.select("file_id", "chunk_id", "start_line", "end_line", *code)
 
 
+def valid_range(start: Column, end: Column, n: Column) -> Column:
+    """Whether start..end are lines of a file with ``n`` lines, in order."""
+    return (start >= 1) & (start <= end) & (end <= n)
+
+
 def parent_range(start: Column, end: Column, n: Column, lines: int = 50) -> tuple[Column, Column]:
     """A range of ``lines`` around start..end, shifted back into 1..n where it sticks out."""
     extra = F.greatest(F.lit(0), F.lit(lines) - (end - start + 1))

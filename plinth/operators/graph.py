@@ -142,6 +142,11 @@ def expand(seeds: DataFrame, steps: DataFrame, hops: int = 1, decay: float = 0.5
     return kept
 
 
+def expanded_count(expanded: DataFrame) -> DataFrame:
+    """(query_id, n_expanded): what expansion added to the seeds, nodes of every kind."""
+    return expanded.where("distance > 0").groupBy("query_id").agg(F.count(F.lit(1)).alias("n_expanded"))
+
+
 def expansion_order(expanded: DataFrame) -> DataFrame:
     """Ranks: seeds first, then by score, then in the order of discovery."""
     return ranked(expanded, ["query_id"], F.when(F.col("distance") == 0, 0).otherwise(1), F.round("score", 12).desc(), F.col("place"), F.col("id"))

@@ -64,6 +64,15 @@ def best_config(means: DataFrame, metric: str, order: str = "config_name") -> Da
     return means.orderBy(F.col(metric).desc(), F.col(order)).limit(1)
 
 
+# The metrics of a report on answers.
+ANSWER_METRICS = ("faithfulness", "answer_relevancy", "context_precision", "context_recall")
+
+
+def answer_report(scored: DataFrame) -> DataFrame:
+    """The mean of each of ANSWER_METRICS over the cases that have it, and the number of cases."""
+    return scored.agg(*(mean(F.col(m)).alias(m) for m in ANSWER_METRICS), F.count(F.lit(1)).alias("n_cases"))
+
+
 def usage(events: DataFrame) -> DataFrame:
     """Calls and tokens of each case."""
     return events.groupBy("case_id").agg(F.sum("tokens").alias("total_tokens"), F.count(F.lit(1)).alias("llm_calls"))

@@ -75,6 +75,12 @@ def bare_names(sites: DataFrame, symbols: DataFrame) -> DataFrame:
     return calls(full, symbols)
 
 
+def unresolved(sites: DataFrame, edges: DataFrame, by: str = "file_id") -> DataFrame:
+    """(``by``, n_sites, n_unresolved): sites (site_id, ...) without an edge."""
+    found = sites.select("site_id", by).join(edges.select("site_id", F.lit(True).alias("_met")).distinct(), "site_id", "left")
+    return found.groupBy(by).agg(F.count(F.lit(1)).alias("n_sites"), F.count_if(F.col("_met").isNull()).alias("n_unresolved"))
+
+
 def import_candidates(module: Column, level: Column, directory: Column, language: Column) -> Column:
     """The paths that an import may mean, in the order of trial."""
     dotted = F.replace(module, F.lit("."), F.lit("/"))

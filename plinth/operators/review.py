@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from plinth.functions.text import fallback_phrase, is_test_path
 from plinth.operators.chunking import enclosing
 from plinth.operators.graph import classify
-from plinth.operators.ranking import keep_first
+from plinth.operators.ranking import keep_first, top_k
+from plinth.operators.sparse import SparseIndex, scores
 from plinth.schemas import SYNTAX_KINDS
 
 # Kinds of claims, verdicts, results of verification.
@@ -99,6 +100,20 @@ def bundle(functions: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFra
     return keep_first(full, ["diff_id", "chunk_id", "other", "role"], F.col("hunk")).select("diff_id", "chunk_id", "other", "role", "is_test", "fallback")
 
 
+def fallback_tests(bundled: DataFrame, index: SparseIndex, chunks: DataFrame, k: int = 5) -> DataFrame:
+    """(diff_id, chunk_id, test_id, rank, found_via): for changed functions that no test calls, the best test chunks for their phrase.
+
+    ``bundled``: rows of :func:`bundle`; ``chunks``: chunk_id, file_path.  The search runs over chunks of
+    test files alone, and hits without any term of the phrase don't count.
+    """
+    asked = bundled.where(F.col("fallback").isNotNull()).select("diff_id", "chunk_id", "fallback").distinct()
+    phrases = asked.select(F.col("fallback").alias("query_id"), F.col("fallback").alias("query")).distinct()
+    tests = chunks.where(is_test_path(F.col("file_path"))).select(F.col("chunk_id").alias("doc_id"))
+    found = top_k(scores(index, phrases, within=tests), k, ["query_id"], F.round("score", 9).desc(), F.col("doc_id"))
+    met = asked.join(found.select(F.col("query_id").alias("fallback"), F.col("doc_id").alias("test_id"), "rank"), "fallback")
+    return met.select("diff_id", "chunk_id", "test_id", "rank", F.lit("search").alias("found_via"))
+
+
 # --- claims and verdicts -----------------------------------------------------------------------
 
 

@@ -30,9 +30,16 @@ class SparseIndex:
     corpus: DataFrame
 
     def kept(self) -> SparseIndex:
-        """The same index with its tables persisted; unpersist them, or clear the cache, when done."""
+        """The same index with its tables persisted; :meth:`drop` them when done."""
         return SparseIndex(*(getattr(self, name).persist(StorageLevel.MEMORY_AND_DISK) for name in ("documents", "postings", "terms", "corpus")))
 
+    def drop(self) -> None:
+        """Unpersist the tables; plans over them compute them again."""
+        context = self.documents.sparkSession.sparkContext
+        if context._jsc is not None and not context._jsc.sc().isStopped():
+            for name in ("documents", "postings", "terms", "corpus"):
+                getattr(self, name).unpersist()
+
     def save(self, path: str) -> None:
         for name in ("documents", "postings", "terms", "corpus"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")

@@ -114,6 +114,11 @@ class Store:
     def upsert(self, name: str, new: DataFrame, *order: Column) -> None:
         self.replace(name, upsert(self.read(name), new, KEYS[name], *order))
 
+    def replace_scope(self, name: str, column: str, value: str, new: DataFrame) -> None:
+        """``new`` in place of all rows with ``value`` in ``column``, in one step."""
+        before = self.read(name)
+        self.replace(name, before.where(F.col(column) != value).unionByName(new.select(*before.columns)))
+
     def delete(self, name: str, repository_id: str) -> int:
         before = self.read(name)
         count = before.where(F.col("repository_id") == repository_id).count()

@@ -13,9 +13,29 @@ from plinth.functions.text import document_text, lines_of
 from plinth.models import Encoder, Generator, Scorer, echo_generator, hashed_encoder, overlap_scorer
 from plinth.operators import cache, chunking, context, dense, fusion, graph, resolve, review, sparse, syntax
 from plinth.operators.ranking import keep_first
-from plinth.operators.tables import Store
+from plinth.operators.tables import Store, orphans
 from plinth.schemas import LAYOUTS, SYNTAX_KINDS
-from plinth.sources.files import discover
+from plinth.sources.files import discover, graph_to_json
+
+
+class UnknownRepository(KeyError):
+    """No repository has this id (404 of an HTTP front)."""
+
+
+class NotReady(RuntimeError):
+    """The repository is being indexed, or its last run failed (409)."""
+
+
+class InvalidRequest(ValueError):
+    """What is asked for makes no sense (400)."""
+
+
+#: The status that an HTTP front would answer with.
+STATUS = {InvalidRequest: 400, UnknownRepository: 404, NotReady: 409, TimeoutError: 504}
+
+
+def http_status(error: Exception) -> int:
+    return next((code for kind, code in STATUS.items() if isinstance(error, kind)), 500)
 
 
 @dataclass
@@ -38,12 +58,35 @@ class Engine:
     def index(self, folder: str, owner: str, name: str, mode: str = "insert_only") -> dict:
         """Read a folder into the tables and indexes; returns counts of what was found and added.
 
-        ``insert_only`` never changes stored rows; ``replace`` puts the new chunks and edges of the
-        repository in place of the old ones.
+        ``insert_only`` never changes stored rows; ``replace`` puts the new files, chunks and edges of
+        the repository in place of the old ones, each table in one step.  Rows are checked before any
+        is written: a chunk's parent and both ends of an edge must be known, or nothing changes.
         """
         if mode not in ("insert_only", "replace"):
-            raise ValueError("mode must be insert_only or replace")
+            raise InvalidRequest("mode must be insert_only or replace")
         rid = self.spark.range(1).select(repository_id(F.lit(owner), F.lit(name))).first()[0]
+        self._note(rid, "indexing")
+        try:
+            out = self._index(rid, folder, owner, name, mode)
+        except Exception as e:
+            self._note(rid, "failed", str(e)[:500])
+            raise
+        self._note(rid, "ready")
+        return out
+
+    def _note(self, rid: str, state: str, message: str | None = None) -> None:
+        row = self.spark.range(1).select(F.lit(rid).alias("repository_id"), F.lit(state).alias("state"), F.lit(message).cast("string").alias("message"), F.current_timestamp().alias("updated_at"))
+        self.store.upsert("index_runs", row)
+
+    @staticmethod
+    def _check(chunks: DataFrame, edges: DataFrame, files: DataFrame) -> None:
+        """Raise if a chunk's parent or an end of an edge is unknown."""
+        lost = orphans(chunks, chunks, "parent_chunk_id", "chunk_id").limit(1).count()
+        ends = chunks.select(F.col("chunk_id").alias("id")).unionByName(files.select(F.col("file_id").alias("id")))
+        if lost or not graph.missing_nodes(edges.select(F.col("source_chunk_id").alias("src"), F.col("target_chunk_id").alias("dst")), ends).isEmpty():
+            raise InvalidRequest("a chunk's parent or an end of an edge is unknown")
+
+    def _index(self, rid: str, folder: str, owner: str, name: str, mode: str) -> dict:
         files = discover(self.spark, folder, self.settings.max_file_bytes).cache()
         parsed = syntax.chunks(files.select(F.col("relative_path").alias("path"), "language", "text")).cache()
         broken = parsed.where("error IS NOT NULL").select(F.col("path").alias("relative_path"))
@@ -63,10 +106,12 @@ class Engine:
         edges = self.edges(files, code).select(F.lit(rid).alias("repository_id"), F.col("src").alias("source_chunk_id"), F.col("dst").alias("target_chunk_id"), "edge_type").cache()
         source_files = files.select(F.lit(rid).alias("repository_id"), "file_id", "relative_path", "language", "extension", "size_bytes")
         repo = self.spark.range(1).select(F.lit(rid).alias("repository_id"), F.lit(owner).alias("owner"), F.lit(name).alias("repository_name"), none.alias("clone_url"), F.lit(folder).alias("local_path"), none.alias("default_branch"), none.alias("current_commit_hash"), F.current_timestamp().alias("indexed_at"))
+        self._check(chunks, edges, files)
         self.store.upsert("repositories", repo)
         if mode == "replace":
-            for table in ("source_files", "code_chunks", "graph_edges", "embeddings"):
-                self.store.delete(table, rid)
+            for table, rows in (("source_files", source_files), ("code_chunks", chunks), ("graph_edges", edges)):
+                self.store.replace_scope(table, "repository_id", rid, rows)
+            self.store.delete("embeddings", rid)
         added = {"files": self.store.insert_only("source_files", source_files), "chunks": self.store.insert_only("code_chunks", chunks), "edges": self.store.insert_only("graph_edges", edges)}
         wanted = self.store.read("code_chunks").where((F.col("repository_id") == rid) & F.col("chunk_type").isin(*SYNTAX_KINDS))
         fresh = wanted.join(self.store.read("embeddings").where(F.col("model_name") == self.model_name), ["repository_id", "chunk_id"], "left_anti")
@@ -184,11 +229,30 @@ class Engine:
         return graph.induced(edges, radius.select("id"))
 
     def status(self, rid: str) -> dict:
-        """Counts of stored files and chunks; state ``unknown`` without a repository row."""
-        if not self.store.read("repositories").where(F.col("repository_id") == rid).limit(1).count():
+        """The state (unknown, pending, indexing, failed, ready), the repository's row, and counts of stored files and chunks."""
+        run = self.store.read("index_runs").where(F.col("repository_id") == rid).first()
+        repo = self.store.read("repositories").where(F.col("repository_id") == rid).first()
+        if run is None and repo is None:
             return {"state": "unknown"}
+        state = run.state if run else "pending"
+        if state != "ready":
+            return {"state": state, "message": run.message if run else None}
         row = self.chunks(rid).agg(F.count_distinct("file_id"), F.count(F.lit(1))).first()
-        return {"state": "ready", "files": row[0], "chunks": row[1]}
+        return {"state": state, "files": row[0], "chunks": row[1], "repository": repo.asDict()}
+
+    def require_ready(self, rid: str) -> None:
+        """Raise UnknownRepository or NotReady unless the repository can be asked."""
+        state = self.status(rid)["state"]
+        if state == "unknown":
+            raise UnknownRepository(rid)
+        if state != "ready":
+            raise NotReady(f"{rid} is {state}")
+
+    def snapshot(self, rid: str) -> None:
+        """Store the repository's graph as one document; a repository has one snapshot."""
+        nodes = self.chunks(rid).select(F.col("chunk_id").alias("id"), F.lit("chunk").alias("node_kind"), "file_id", "file_path", "language", "chunk_type", "function_name", "class_name", "start_line", "end_line")
+        doc = graph_to_json(nodes, self.graph(rid)).select(F.lit(rid).alias("repository_id"), "graph_data", F.current_timestamp().alias("updated_at"))
+        self.store.upsert("graph_snapshots", doc)
 
     # --- review ---
 
@@ -200,6 +264,12 @@ class Engine:
         edges = self.store.read("graph_edges").where(F.col("repository_id") == rid).select(F.col("source_chunk_id").alias("src"), F.col("target_chunk_id").alias("dst"), "edge_type")
         return review.bundle(functions, edges, chunks)
 
+    def related_tests(self, rid: str, bundled: DataFrame, k: int = 5) -> DataFrame:
+        """Tests of the changed functions in ``bundled`` (rows of :meth:`review`): test callers, else what a search for the function's phrase finds."""
+        chunks = self.chunks(rid).select("chunk_id", "file_path")
+        callers = bundled.where((F.col("role") == "caller") & F.col("is_test")).select("diff_id", "chunk_id", F.col("other").alias("test_id"), F.lit(1).alias("rank"), F.lit("graph").alias("found_via"))
+        return callers.unionByName(review.fallback_tests(bundled, sparse.SparseIndex.load(self.spark, f"{self.root}/sparse/{rid}"), chunks, k))
+
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The newest row of each key."""

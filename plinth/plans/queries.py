@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from plinth.functions import ids, text
 from plinth.operators import cache, chunking, context, dense, fusion, graph, metrics, resolve, review, sparse, tables
 from plinth.operators.ranking import keep_first, ranked, top_k
+from plinth.session import checkpointed
 from plinth.sources.files import is_ignored, language, parse_repository_url
 from plinth.streaming.jobs import latest_state, windowed_counts
 
@@ -157,8 +158,15 @@ def _questions(spark, sf) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+_last_index: list[sparse.SparseIndex] = []
+
+
 def _sparse_index(spark, sf) -> sparse.SparseIndex:
-    return sparse.build_index(table(spark, sf, "documents").select("doc_id", "text"))
+    """The index of all documents, persisted until the next query asks for one."""
+    while _last_index:
+        _last_index.pop().drop()
+    _last_index.append(sparse.build_index(table(spark, sf, "documents").select("doc_id", "text")).kept())
+    return _last_index[0]
 
 
 @query(f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
@@ -508,15 +516,15 @@ def context_budget(spark, sf):
 
 
 @query(
-    """WITH s AS (SELECT l_orderkey % 100 AS file_id, l_orderkey * 10 + l_linenumber AS chunk_id, l_partkey % 300 + 1 AS a, l_partkey % 300 + 1 + CAST(l_quantity AS INTEGER) AS b FROM lineitem),
-    p AS (SELECT o_orderkey AS point_id, o_orderkey % 100 AS file_id, CAST(o_custkey % 350 + 1 AS INTEGER) AS line FROM orders),
+    """WITH s AS (SELECT l_orderkey % 2000 AS file_id, l_orderkey * 10 + l_linenumber AS chunk_id, l_partkey % 300 + 1 AS a, l_partkey % 300 + 1 + CAST(l_quantity AS INTEGER) AS b FROM lineitem),
+    p AS (SELECT o_orderkey AS point_id, o_orderkey % 2000 AS file_id, CAST(o_custkey % 350 + 1 AS INTEGER) AS line FROM orders),
     m AS (SELECT point_id, chunk_id, b - a AS width, row_number() OVER (PARTITION BY point_id ORDER BY b - a, a, chunk_id) AS rank FROM p JOIN s ON s.file_id = p.file_id AND line BETWEEN a AND b)
     SELECT point_id, chunk_id, CAST(width AS INTEGER) AS width FROM m WHERE rank = 1""",
 )
 def enclosing_chunk_lookup(spark, sf):
     start = (F.col("l_partkey") % 300 + 1).cast("int")
-    chunks = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 100).alias("file_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id"), start.alias("start_line"), (start + F.col("l_quantity").cast("int")).alias("end_line"))
-    points = table(spark, sf, "orders").select(F.col("o_orderkey").alias("point_id"), (F.col("o_orderkey") % 100).alias("file_id"), (F.col("o_custkey") % 350 + 1).cast("int").alias("line"))
+    chunks = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 2000).alias("file_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id"), start.alias("start_line"), (start + F.col("l_quantity").cast("int")).alias("end_line"))
+    points = table(spark, sf, "orders").select(F.col("o_orderkey").alias("point_id"), (F.col("o_orderkey") % 2000).alias("file_id"), (F.col("o_custkey") % 350 + 1).cast("int").alias("line"))
     return chunking.enclosing(points, chunks).where("rank = 1").select("point_id", "chunk_id", "width")
 
 
@@ -888,11 +896,12 @@ def ablation_grid(spark, sf):
     docs, questions = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("code")), _questions(spark, sf)
     near = _near(spark, sf, questions=True)
     hits = sparse.search(_sparse_index(spark, sf), questions, 20).withColumnRenamed("doc_id", "id")
-    fused = fusion.fuse(near, hits, 8)
+    near, fused = checkpointed(near), checkpointed(fusion.fuse(near, hits, 8))  # a few rows for each question, used several times
     ids = docs.select("id")
     links = ids.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", F.lit("references").alias("edge_type"))
     steps = graph.fan_out(links, ids.select("id", F.lit("chunk").alias("node_kind"), F.lit(None).cast("bigint").alias("file_id")))
     wide = graph.expansion_order(graph.expand(fused.select("query_id", "id", F.col("fused_score").alias("score"), "rank"), steps, 1))
+    wide = checkpointed(wide.select("query_id", "id", "score", "rank"))
     candidates = wide.select("query_id", F.col("id").alias("chunk_id"), F.col("score").alias("previous_score"), F.col("rank").alias("place")).join(docs.withColumnRenamed("id", "chunk_id"), "chunk_id").join(questions, "query_id")
     best = context.rerank(candidates, overlap_scorer).select("query_id", F.col("chunk_id").alias("id"), F.col("final_rank").alias("rank"))
     rows = None
@@ -911,6 +920,34 @@ def dense_only(spark, sf):
     return fusion.dense_only(_near(spark, sf), 8).select("query_id", "id", F.round("fused_score", 6).alias("fused_score"), "source", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("SELECT round(avg(l_discount), 6) AS faithfulness, round(avg(l_tax), 6) AS answer_relevancy, round(avg(l_quantity / 50), 6) AS context_precision, round(coalesce(avg(CASE WHEN l_linenumber > 1 THEN l_tax END), 0), 6) AS context_recall, count(*) AS n_cases FROM lineitem")
+def answer_report(spark, sf):
+    li = table(spark, sf, "lineitem")
+    r = metrics.answer_report(li.select(F.col("l_discount").alias("faithfulness"), F.col("l_tax").alias("answer_relevancy"), (F.col("l_quantity") / 50).alias("context_precision"), F.when(F.col("l_linenumber") > 1, F.col("l_tax")).alias("context_recall")))
+    return r.select(*(F.round(c, 6).alias(c) for c in metrics.ANSWER_METRICS), "n_cases")
+
+
+@query(f"WITH {_GRAPH}, {_SEEDS}, {_STEPS}, {_HOP1} SELECT query_id, CAST(count(*) AS BIGINT) AS n_expanded FROM h1 GROUP BY query_id")
+def expanded_counts(spark, sf):
+    return graph.expanded_count(graph.expand(_seeds(spark), _steps(spark, sf), 1))
+
+
+@query(
+    f"""WITH {_SYMBOLS}, si AS (SELECT o_orderkey AS site_id, o_custkey % 10 AS file_id, 'Brand#' || (o_custkey % 6) || (o_orderkey % 6) AS callee FROM orders)
+    SELECT file_id, count(*) AS n_sites, CAST(count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM sy WHERE sy.name = si.callee AND sy.kind <> 'class')) AS BIGINT) AS n_unresolved FROM si GROUP BY file_id"""
+)
+def unresolved_sites(spark, sf):
+    name = F.concat(F.lit("Brand#"), (F.col("o_custkey") % 6).cast("string"), (F.col("o_orderkey") % 6).cast("string"))
+    sites = table(spark, sf, "orders").select(F.col("o_orderkey").alias("site_id"), F.col("o_custkey").alias("src"), (F.col("o_custkey") % 10).alias("file_id"), name.alias("callee"))
+    return resolve.unresolved(sites, resolve.bare_names(sites, _symbols(spark, sf)))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey % 40 - 2 >= 1 AND l_partkey % 40 - 2 <= l_partkey % 40 - 2 + l_suppkey % 3 - 1 AND l_partkey % 40 - 2 + l_suppkey % 3 - 1 <= 30 AS valid FROM lineitem")
+def range_validity(spark, sf):
+    a = F.col("l_partkey") % 40 - 2
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", chunking.valid_range(a, a + F.col("l_suppkey") % 3 - 1, F.lit(30)).alias("valid"))
+
+
 @query("SELECT lang AS config_name, round(m, 6) AS mean_chars FROM (SELECT lang, avg(n_chars) AS m FROM documents GROUP BY lang) ORDER BY m DESC, lang LIMIT 1")
 def best_configuration(spark, sf):
     means = metrics.ablation_means(table(spark, sf, "documents").withColumnRenamed("lang", "config_name"), ["n_chars"])

@@ -13,6 +13,8 @@ EMBEDDINGS = "repository_id string, chunk_id string, model_name string, embeddin
 SEMANTIC_CACHE = "repository_id string, query string, query_embedding array<float>, embedding_dimension int, response string, retrieved_chunk_ids array<string>, created_at timestamp"
 GRAPH_SNAPSHOTS = "repository_id string, graph_data string, updated_at timestamp"
 
+INDEX_RUNS = "repository_id string, state string, message string, updated_at timestamp"
+
 LAYOUTS = {
     "repositories": REPOSITORIES,
     "source_files": SOURCE_FILES,
@@ -21,6 +23,7 @@ LAYOUTS = {
     "embeddings": EMBEDDINGS,
     "semantic_cache": SEMANTIC_CACHE,
     "graph_snapshots": GRAPH_SNAPSHOTS,
+    "index_runs": INDEX_RUNS,
 }
 KEYS = {
     "repositories": ["repository_id"],
@@ -30,6 +33,7 @@ KEYS = {
     "embeddings": ["repository_id", "chunk_id", "model_name"],
     "semantic_cache": ["repository_id", "query"],
     "graph_snapshots": ["repository_id"],
+    "index_runs": ["repository_id"],
 }
 
 # Chunk kinds taken from syntax, and the other two.

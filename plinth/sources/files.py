@@ -38,7 +38,7 @@ def discover(spark: SparkSession, root: str, max_bytes: int = 2 * 1024 * 1024) -
     Folders that are ignored, files that are too large, unknown or binary are left out; unreadable files are skipped.
     """
     base = root.rstrip("/")
-    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true").load(base)
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true").option("pathGlobFilter", "*{" + ",".join(LANGUAGES) + "}").load(base)
     clean = base.split("://", 1)[-1].removeprefix("file:")
     relative = F.regexp_replace(F.regexp_replace(F.col("path"), r"^[a-z]+:/*", "/"), "^/*" + __import__("re").escape(clean.lstrip("/")) + "/", "")
     files = scan.where(F.col("length") <= max_bytes).withColumn("relative_path", relative)
@@ -82,7 +82,11 @@ def eval_cases(spark: SparkSession, path: str) -> DataFrame:
 
 CASE_SCHEMA = (
     "case_id string, ground_truth_buggy boolean, ground_truth_rationale string, sandbox_language string, diff string, diff_file string,"
-    " target_file_relative_path string, target_file_content string, is_real_repo_case boolean, repo string"
+    " target_file_relative_path string, target_file_content string, is_real_repo_case boolean, repo string,"
+    " repo_copy_source string, repo_copy_dest_relative string, sandbox_stubs map<string,string>,"
+    " context_bundle struct<changed_functions:array<struct<file_path:string,function_name:string,class_name:string,start_line:int,end_line:int>>,"
+    "callers:array<struct<node_kind:string,file_path:string,function_name:string,class_name:string>>,callees:array<struct<node_kind:string,file_path:string,function_name:string,class_name:string>>,"
+    "related_tests:array<struct<file_path:string,function_name:string,found_via:string>>>"
 )
 
 

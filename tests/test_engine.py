@@ -148,6 +148,84 @@ def test_command_line_and_views(spark, engine, repo, capsys):
     assert spark.sql("SELECT count(*) AS n FROM code_chunks").first().n == e.store.read("code_chunks").count()
 
 
+def test_gate_and_states(spark, engine, repo, tmp_path, monkeypatch):
+    from plinth.plans import pipeline
+
+    e, first = engine
+    rid = first["repository_id"]
+    assert e.status(rid)["repository"]["owner"] == "o" and e.require_ready(rid) is None
+    with pytest.raises(pipeline.UnknownRepository):
+        e.require_ready("zz")
+    other = Engine(spark, str(tmp_path / "store"))
+    done = other.index(repo, "o", "n")
+    before = other.store.read("graph_edges").count()
+    plain = Engine.edges
+    stray = lambda self, files, code: plain(self, files, code).unionByName(spark.createDataFrame([("nobody", "none", "call")], "src string, dst string, edge_type string"))
+    monkeypatch.setattr(Engine, "edges", stray)
+    with pytest.raises(pipeline.InvalidRequest) as error:
+        other.index(repo, "o", "n", "replace")
+    assert pipeline.http_status(error.value) == 400 and pipeline.http_status(KeyError("x")) == 500
+    assert other.store.read("graph_edges").count() == before  # nothing was written
+    assert other.status(done["repository_id"])["state"] == "failed"
+    with pytest.raises(pipeline.NotReady):
+        other.require_ready(done["repository_id"])
+    monkeypatch.undo()
+    again = other.index(repo, "o", "n", "replace")
+    assert again["chunks"] == again["edges"] == 0 and other.store.read("graph_edges").count() == before and other.status(done["repository_id"])["state"] == "ready"
+    for _ in range(2):
+        other.snapshot(done["repository_id"])
+    assert other.store.read("graph_snapshots").count() == 1
+
+
+def test_related_tests(spark, engine):
+    e, first = engine
+    rid = first["repository_id"]
+    names = {r.chunk_id: (r.file_path, r.function_name) for r in e.chunks(rid).collect()}
+    line = {n: r.start_line for r in e.chunks(rid).collect() for n in [r.function_name] if n}
+    at = line["helper"]
+    diff = f"--- a/pkg/a.py\n+++ b/pkg/a.py\n@@ -{at},1 +{at},1 @@\n-x\n+y\n"
+    bundled = e.review(rid, spark.createDataFrame([(1, diff)], "diff_id int, diff string"))
+    got = e.related_tests(rid, bundled).collect()
+    assert all("test" in names[r.test_id][0] for r in got)
+    assert {r.found_via for r in got} <= {"graph", "search"}
+
+
+def test_batched_encoder_and_retries(spark):
+    from plinth.models import batched_encoder, retried
+
+    sizes = batched_encoder(lambda: lambda texts: [[len(t), len(texts)] for t in texts], 2, batch=3)
+    rows = spark.createDataFrame([("a" * i if i else None,) for i in range(7)], "t string").coalesce(1).select(sizes(F.col("t")).alias("v")).collect()
+    assert [r.v[0] for r in rows] == list(range(7)) and max(r.v[1] for r in rows) == 3
+    wrong = batched_encoder(lambda: lambda texts: [[1.0] for _ in texts], 2)
+    with pytest.raises(Exception, match="width 2"):
+        spark.createDataFrame([("a",)], "t string").select(wrong(F.col("t"))).collect()
+    calls, waits = [], []
+
+    def flaky(x):
+        calls.append(x)
+        if len(calls) < 3:
+            raise ConnectionError
+        return x
+
+    assert retried(flaky, sleep=waits.append)(5) == 5 and waits == [15.0, 15.0]
+    with pytest.raises(TimeoutError):
+        retried(lambda: (_ for _ in ()).throw(TimeoutError()), attempts=2, sleep=waits.append)()
+
+
+def test_prompts(spark):
+    from plinth.functions import prompts
+
+    claim = F.array(F.struct(F.lit("security").alias("claim_type"), F.lit("a.py:3").alias("location"), F.lit("unsafe").alias("assertion"), F.lit("confirmed").alias("status"), F.lit("high").alias("confidence")))
+    row = spark.range(1).select(
+        prompts.judge_prompt(F.lit("+x"), F.array(F.lit("fine"), F.lit("not fine")), claim, F.lit("cap")).alias("judge"),
+        prompts.answer_prompt(F.lit("why?"), F.lit("")).alias("answer"),
+        prompts.bundle_text(F.array(F.lit("f"), F.lit("g")), F.array().cast("array<string>"), F.array(F.lit("h")), F.array().cast("array<string>")).alias("bundle"),
+    ).first()
+    assert row.judge == "## Diff\n+x\n\n## Debate\nRound 1:\nfine\n\nRound 2:\nnot fine\n\n## Claims\n1. [security] a.py:3: unsafe -> confirmed (high)\n\n## Ended by\ncap"
+    assert row.answer == "## Code\nnone found\n\n## Question\nwhy?"
+    assert row.bundle == "## Changed functions\n- f\n- g\n\n## Callees\n- h"
+
+
 def test_json_sources(spark, tmp_path):
     good = '[{"repository_id": "r", "query": "q", "expected_answer": "a", "expected_source_files": ["x"], "expected_functions": []}]'
     (tmp_path / "e.json").write_text(good)
