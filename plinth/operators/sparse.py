@@ -20,6 +20,8 @@ from plinth.operators.ranking import ranked, top_k
 LEAST_IDF = 1e-6
 #: Ids that may fill up queries, broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 100_000
+#: Terms of all queries together that are broadcast at most; more are joined by a shuffle of the postings.
+BROADCAST_TERMS = 200_000
 
 
 @dataclass(frozen=True)
@@ -70,11 +72,15 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def scores(index: SparseIndex, queries: DataFrame, k1: float = 1.5, b: float = 0.75, within: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score) of documents that hold a query term; repeated query terms count again.
 
-    ``within`` (doc_id) restricts the documents.
+    ``within`` (doc_id) restricts the documents.  The terms of the queries are counted first; while they
+    are few they are broadcast, and the postings stay where they are.
     """
-    wanted = query_terms(queries).join(index.terms.select("term", "idf"), "term")
+    asked = query_terms(queries)
+    few = asked.count() <= BROADCAST_TERMS
+    near = F.broadcast if few else (lambda df: df)
+    wanted = index.terms.select("term", "idf").join(near(asked), "term")
     postings = index.postings if within is None else index.postings.join(within, "doc_id", "left_semi")
-    hits = postings.join(wanted, "term").crossJoin(F.broadcast(index.corpus))  # corpus is one row
+    hits = postings.join(near(wanted), "term").crossJoin(F.broadcast(index.corpus))  # corpus is one row
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 

@@ -37,6 +37,16 @@ def test_bm25_like_the_formula(spark):
     assert sparse.search(index, spark.createDataFrame([(1, "  !")], "query_id int, query string"), 5).count() == 0
 
 
+def test_bm25_with_shuffled_terms(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"alpha{i % 7} beta{i % 3} gamma") for i in range(60)], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, f"alpha{i} beta{i % 3} beta{i % 3}") for i in range(5)], "query_id int, query string")
+    found = []
+    for few in (200_000, 0):
+        monkeypatch.setattr(sparse, "BROADCAST_TERMS", few)
+        found.append(sorted((r.query_id, r.doc_id, round(r.score, 9), r["rank"]) for r in sparse.search(sparse.build_index(docs), asked, 7).collect()))
+    assert found[0] == found[1] and len(found[0]) == 35
+
+
 def test_empty_indexes(spark):
     index = sparse.build_index(spark.createDataFrame([], "doc_id long, text string"))
     assert sparse.search(index, spark.createDataFrame([(1, "x")], "query_id int, query string"), 5).count() == 0
