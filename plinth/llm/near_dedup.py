@@ -16,9 +16,10 @@ No group is ever expanded into all its pairs:
 * in each bucket every node is compared with the bucket's least node alone; the
   links found this way are closed to first components;
 * buckets whose nodes still lie in several components are compared further: there
-  the signatures, then the full sets of those that agree with another, are dealt to
-  tasks in blocks; each task compares two blocks in memory, leaves out what is one
-  component already, and gives out only links that join two components.
+  the signatures are dealt to tasks in large blocks, and each task compares two blocks in
+  memory, leaving out what is one component already; the full sets of those that agree
+  with another follow in smaller blocks, only where two of these hold an agreeing pair,
+  and only links that join two components are given out.
 
 So every pair of every bucket is either connected already or has been compared, and
 a large group of near copies costs one comparison for each member.
@@ -53,9 +54,11 @@ BANDS, ROWS = 47, 6
 HASHES = BANDS * ROWS
 #: Agreement of two signatures from which a pair is verified.
 SIGNATURE_FLOOR = 0.62
-#: Nodes of a bucket that a task compares with as many others at once.
+#: Nodes of a bucket whose signatures a task compares with those of as many others at once.
+MARK_BLOCK = 4096
+#: Nodes of a bucket whose full sets a task compares with those of as many others at once.
 BLOCK = 512
-#: Shingles of the nodes in a block, about.
+#: Shingles of the nodes in a block of full sets, about.
 BLOCK_SHINGLES = 250_000
 #: Bits of the bitmap that names the nodes to be verified, at most (32 MiB).
 MAX_BITS = 1 << 28
@@ -193,24 +196,32 @@ def _partners(i: int, side: np.ndarray, root: np.ndarray) -> np.ndarray:
 
 
 def _open_rows(rows: DataFrame) -> DataFrame:
-    """The rows of cells (cell, side, node, root, band, signature) that have a partner whose signature agrees."""
+    """What the full sets must be compared for: (lo, hi, side, node, root, band).
+
+    ``rows``: (cell, side, node, root, band, block, signature); a node of the lead's component has a
+    negative ``block``.  A node is given out once for each block, named by lo and hi together with its
+    own, that holds a partner whose signature agrees.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, (side, node, root, band, signatures) in _groups(batches, ("side", "node", "root", "band", "signature")):
-            sides, roots = np.array(side), np.array(root, dtype=np.int64)
+        for _, (side, node, root, band, block, signatures) in _groups(batches, ("side", "node", "root", "band", "block", "signature")):
+            sides, roots, nodes, bands = np.array(side), np.array(root, dtype=np.int64), np.array(node, dtype=np.int64), np.array(band, dtype=np.int64)
             marks = np.frombuffer(b"".join(signatures), np.uint8).reshape(-1, HASHES)
-            hit = np.zeros(len(side), dtype=bool)
+            names, own = np.unique(np.array(block, dtype=np.int32), return_inverse=True)
+            hit = np.zeros((len(side), len(names)), dtype=bool)
             for i in np.flatnonzero(sides != 1):
                 other = _partners(i, sides, roots)
                 good = other[agreement(marks[other], marks[i]) >= SIGNATURE_FLOOR] if len(other) else other
-                if len(good):
-                    hit[i] = hit[good] = True
-            at = np.flatnonzero(hit).tolist()
-            if at:
-                pick = lambda x, kind: pa.array([x[k] for k in at], kind)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array([cell] * len(at), pa.int64()), pick(side, pa.int32()), pick(node, pa.int64()), pick(root, pa.int64()), pick(band, pa.int64())], names=["cell", "side", "node", "root", "band"])
+                hit[i, own[good]] = True
+                hit[good, own[i]] = True
+            at, partner = np.nonzero(hit)
+            if len(at):
+                mine, theirs = names[own[at]], names[partner]
+                # Of two blocks, the greater is side 1; but the lead's component always is.
+                as_ = np.where(mine == theirs, 0, np.where((mine < 0) | ((theirs >= 0) & (mine > theirs)), 1, 2)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.minimum(mine, theirs), np.maximum(mine, theirs), as_, nodes[at], roots[at], bands[at])], names=["lo", "hi", "side", "node", "root", "band"])
 
-    return rows.select("cell", "side", "node", "root", "band", "signature").mapInArrow(make, "cell bigint, side int, node bigint, root bigint, band bigint")
+    return rows.select("cell", "side", "node", "root", "band", "block", "signature").mapInArrow(make, "lo int, hi int, side int, node bigint, root bigint, band bigint")
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -336,9 +347,10 @@ def _rest(scratch: Scratch, docs: DataFrame, members: DataFrame, roots: DataFram
     """Links (a, b) that join the components within the buckets whose nodes lie in several of them.
 
     In each bucket the component of the least node is ``near``, the nodes of all others are ``far``.
-    Both are dealt into blocks of about BLOCK nodes; a cell holds a block of far nodes and one of
-    either kind.  The rows of a cell that have a partner by their signatures come back with their
-    full sets, and only then are compared exactly.
+    Both are dealt into blocks of about BLOCK nodes, and runs of blocks make large ones of about
+    MARK_BLOCK; a cell holds the signatures of a large block of far nodes and of one of either kind.
+    Pairs of blocks with agreeing signatures are cells again, with the full sets, and only there
+    are nodes compared exactly.
     """
     known = members.select("band", "node").join(roots.hint("merge"), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     known = scratch.keep(known)
@@ -348,25 +360,30 @@ def _rest(scratch: Scratch, docs: DataFrame, members: DataFrame, roots: DataFram
     is_near = F.col("root") == F.col("near")
     open_ = open_.join(nodes.select("node", "n_shingles").hint("merge"), "node")
     blocks = lambda on: F.ceil(F.sum(F.when(on, F.greatest(F.lit(1.0 / BLOCK), F.col("n_shingles") / BLOCK_SHINGLES)).otherwise(0.0))).cast("int")
-    sizes = open_.groupBy("band").agg(blocks(is_near).alias("kp"), blocks(~is_near).alias("ko"))
+    large = lambda on: F.ceil(F.count(F.when(on, 1)) / MARK_BLOCK).cast("int")
+    sizes = open_.groupBy("band").agg(blocks(is_near).alias("kp"), blocks(~is_near).alias("ko"), large(is_near).alias("lp"), large(~is_near).alias("lo"))
     sizes = scratch.keep(sizes)
     dealt = open_.join(sizes.hint("merge"), "band")
     block = F.pmod(F.xxhash64("node", "band"), F.when(is_near, F.col("kp")).otherwise(F.col("ko"))).cast("int")
     dealt = dealt.withColumn("block", block)
+    run = F.when(is_near, F.floor(F.col("block").cast("bigint") * F.col("lp") / F.col("kp"))).otherwise(F.floor(F.col("block").cast("bigint") * F.col("lo") / F.col("ko")))
+    dealt = dealt.withColumn("run", run.cast("int"))
 
     def cell(kind, i, j, side):
         return F.struct(F.xxhash64("band", F.lit(kind), i, j).alias("cell"), side.cast("int").alias("side"))
 
-    near_cells = F.transform(F.sequence(F.lit(0), F.col("ko") - 1), lambda i: cell(0, i, F.col("block"), F.lit(1)))
-    with_near = F.transform(F.sequence(F.lit(0), F.col("kp") - 1), lambda j: cell(0, F.col("block"), j, F.when(j == 0, 0).otherwise(2)))
-    others = F.filter(F.sequence(F.lit(0), F.col("ko") - 1), lambda j: j != F.col("block"))
-    with_far = F.transform(others, lambda j: cell(1, F.least(j, F.col("block")), F.greatest(j, F.col("block")), F.when(j > F.col("block"), 2).otherwise(1)))
-    cells = dealt.select("node", "root", "band", F.explode(F.when(is_near, near_cells).otherwise(F.concat(with_near, with_far))).alias("c")).select("node", "root", "band", "c.cell", "c.side")
+    near_cells = F.transform(F.sequence(F.lit(0), F.col("lo") - 1), lambda i: cell(0, i, F.col("run"), F.lit(1)))
+    with_near = F.transform(F.sequence(F.lit(0), F.col("lp") - 1), lambda j: cell(0, F.col("run"), j, F.when(j == 0, 0).otherwise(2)))
+    others = F.filter(F.sequence(F.lit(0), F.col("lo") - 1), lambda j: j != F.col("run"))
+    with_far = F.transform(others, lambda j: cell(1, F.least(j, F.col("run")), F.greatest(j, F.col("run")), F.when(j > F.col("run"), 2).otherwise(1)))
+    signed = F.when(is_near, -1 - F.col("block")).otherwise(F.col("block"))
+    cells = dealt.select("node", "root", "band", signed.alias("block"), F.explode(F.when(is_near, near_cells).otherwise(F.concat(with_near, with_far))).alias("c")).select("node", "root", "band", "block", "c.cell", "c.side")
     marked = cells.join(nodes.select("node", "signature").hint("merge"), "node")
     rows = scratch.write_small(_open_rows(marked.repartition("cell").sortWithinPartitions("cell")), "open-rows")
     count = rows.count()
     if not count:
         return rows.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    rows = rows.select(F.xxhash64("band", "lo", "hi").alias("cell"), "side", "node", "root", "band")
     keyed = rows.join(nodes.select("node", "key", "signature", "bands").hint("merge"), "node")
     whole = _sets(scratch, docs, keyed.select("key").distinct(), count)
     full = keyed.join(whole.hint("merge"), "key")

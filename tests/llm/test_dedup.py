@@ -180,7 +180,8 @@ def test_chains_beyond_the_first_star(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()), key=str) == plain_near(rows)
 
 
-def test_cells_with_several_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("large", [8, 24, 4096])
+def test_cells_with_several_blocks(spark, monkeypatch, large):
     import random
 
     rng = random.Random(5)
@@ -192,10 +193,26 @@ def test_cells_with_several_blocks(spark, monkeypatch):
             w[rng.randrange(60)] = f"x{rng.randrange(9)}"
         rows.append((i, " ".join(w)))
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "MARK_BLOCK", large)
     got = near_dedup.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()), key=str) == plain_near(rows)
 
 
+@pytest.mark.parametrize(("block", "large"), [(4, 4), (4, 16), (512, 4096)])
+def test_each_pair_of_one_bucket_is_compared(spark, monkeypatch, block, large):
+    """One bucket with 120 nodes, in which each has one partner alone, and similar texts without a link."""
+    text = lambda k, last: " ".join([f"c{i}" for i in range(75)] + [f"p{k}_{i}" for i in range(24)] + [last])
+    docs = spark.createDataFrame([(2 * k + j, text(k, f"e{j}")) for k in range(60) for j in range(2)], "doc_id long, text string").withColumn("row_id", F.col("doc_id"))
+    same = F.array(*[F.lit(b).cast("bigint") for b in range(near_dedup.BANDS)])
+    nodes = near_dedup.sketch(docs).select(F.col("doc_id").alias("node"), "key", "signature", same.alias("bands"), "n_shingles").cache()
+    members = nodes.select(F.lit(0).cast("bigint").alias("band"), "node")
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "MARK_BLOCK", large)
+    roots = spark.createDataFrame([(2, 0), (0, 0), (7, 5), (5, 5)], "node long, root long")
+    got = near_dedup._rest(near_dedup.Scratch(spark, "test"), docs, members, roots, nodes)
+    assert sorted((r.a, r.b) for r in got.collect()) == [(2 * k, 2 * k + 1) for k in range(60)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 50 + i) for i in range(1, 30)] + [(7, 7)]
     found = {r.node: r.root for r in components(common.Scratch(spark, "test"), spark.createDataFrame(edges, "a long, b long")).collect()}
