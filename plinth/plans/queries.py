@@ -525,7 +525,7 @@ def enclosing_chunk_lookup(spark, sf):
     start = (F.col("l_partkey") % 300 + 1).cast("int")
     chunks = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 2000).alias("file_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id"), start.alias("start_line"), (start + F.col("l_quantity").cast("int")).alias("end_line"))
     points = table(spark, sf, "orders").select(F.col("o_orderkey").alias("point_id"), (F.col("o_orderkey") % 2000).alias("file_id"), (F.col("o_custkey") % 350 + 1).cast("int").alias("line"))
-    return chunking.enclosing(points, chunks).where("rank = 1").select("point_id", "chunk_id", "width")
+    return chunking.narrowest(points, chunks).select("point_id", "chunk_id", "width")
 
 
 @query(

@@ -238,6 +238,45 @@ def test_enclosing(spark):
     assert found == {(1, 1): "small", (1, 2): "big", (2, 1): "big"}
 
 
+def test_narrowest(spark):
+    """The first of enclosing, over nested, equal, reversed and endless ranges."""
+    n = F.col("id")
+    start = (n * 7919 % 97 - 20).cast("int")
+    width = F.when(n % 50 == 0, 100_000).when(n % 10 == 0, -1).otherwise(n * n % 31).cast("int")
+    chunks = spark.range(600).select((n % 5).alias("file_id"), (n % 590).alias("chunk_id"), start.alias("start_line"), (start + width).alias("end_line"))
+    points = spark.range(800).select(n.alias("point_id"), (n % 6).alias("file_id"), (n * 31 % 160 - 30).cast("int").alias("line"))
+    want = {tuple(r) for r in chunking.enclosing(points, chunks).where("rank = 1").select("point_id", "chunk_id", "width").collect()}
+    assert {tuple(r) for r in chunking.narrowest(points, chunks).collect()} == want
+    assert len(want) > 400
+    assert chunking.narrowest(points, chunks.limit(0)).isEmpty()
+
+
+def _rows_made(df) -> int:
+    """The most rows that any step of a finished plan made."""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    seen, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(plan.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(plan.plan())
+        rows = plan.metrics().get("numOutputRows")
+        seen = max(seen, rows.get().value() if rows.isDefined() else 0)
+        todo += [plan.children().apply(i) for i in range(plan.children().size())]
+    return seen
+
+
+def test_narrowest_makes_no_pairs(spark):
+    n = F.col("id")
+    chunks = spark.range(2000).select(F.lit("f").alias("file_id"), n.alias("chunk_id"), (n % 40).cast("int").alias("start_line"), (n % 40 + 60).cast("int").alias("end_line"))
+    points = spark.range(2000).select(n.alias("point_id"), F.lit("f").alias("file_id"), (n % 20 + 40).cast("int").alias("line"))
+    assert _rows_made(chunking.enclosing(points, chunks).where("rank = 1")) == 4_000_000
+    assert _rows_made(chunking.narrowest(points, chunks)) < 40_000
+
+
 CHUNK = "chunk_id string, file_id string, file_path string, language string, chunk_type string, function_name string, class_name string, parent_chunk_id string, raw_code string"
 
 
