@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plinth.functions.text import fallback_phrase, is_test_path
-from plinth.operators.chunking import enclosing
+from plinth.operators.chunking import narrowest
 from plinth.operators.graph import classify
 from plinth.operators.ranking import keep_first, top_k
 from plinth.operators.sparse import SparseIndex, scores
@@ -81,7 +81,7 @@ def changed_functions(locations: DataFrame, chunks: DataFrame) -> DataFrame:
     code = chunks.where(F.col("chunk_type").isin(*SYNTAX_KINDS)).select(F.col("file_path").alias("file_id"), "chunk_id", "start_line", "end_line")
     tries = locations.select("diff_id", "hunk", "file", F.posexplode(F.array("old_start_line", "old_end_line")).alias("attempt", "line"))
     points = tries.select(F.struct("diff_id", "hunk", "attempt").alias("point_id"), F.col("file").alias("file_id"), "line")
-    met = enclosing(points, code).where("rank = 1").select(F.col("point_id.diff_id").alias("diff_id"), F.col("point_id.hunk").alias("hunk"), F.col("point_id.attempt").alias("attempt"), "chunk_id")
+    met = narrowest(points, code).select(F.col("point_id.diff_id").alias("diff_id"), F.col("point_id.hunk").alias("hunk"), F.col("point_id.attempt").alias("attempt"), "chunk_id")
     first = keep_first(met, ["diff_id", "hunk"], F.col("attempt"))
     return keep_first(first, ["diff_id", "chunk_id"], F.col("hunk")).select("diff_id", "chunk_id", "hunk")
 

@@ -277,6 +277,16 @@ def test_narrowest_makes_no_pairs(spark):
     assert _rows_made(chunking.narrowest(points, chunks)) < 40_000
 
 
+def test_changed_functions_make_no_pairs(spark):
+    n = F.col("id")
+    chunks = spark.range(1000).select(n.alias("chunk_id"), F.lit("f").alias("file_id"), F.lit("f").alias("file_path"), F.when(n % 2 == 0, "function").otherwise("sliding").alias("chunk_type"), (n % 40).cast("int").alias("start_line"), (n % 40 + 60).cast("int").alias("end_line"))
+    at = (n % 20 + 40).cast("int")
+    locations = spark.range(1000).select(n.alias("diff_id"), F.lit(1).cast("bigint").alias("hunk"), F.lit("f").alias("file"), at.alias("old_start_line"), at.alias("old_end_line"))
+    met = review.changed_functions(locations, chunks)
+    assert _rows_made(met) < 40_000
+    assert {(r.diff_id, r.chunk_id) for r in met.collect()} == {(i, 0) for i in range(1000)}  # all are of one width, and the first starts first
+
+
 CHUNK = "chunk_id string, file_id string, file_path string, language string, chunk_type string, function_name string, class_name string, parent_chunk_id string, raw_code string"
 
 
