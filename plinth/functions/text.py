@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,22 +48,49 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def named_alternatives(text: Column, category: int) -> Column:
-    """The indexes of a category's alternatives that the text names as whole words."""
+def category_bits() -> list[int]:
+    """The bits of :func:`named_terms` that belong to each category."""
+    out, at = [], 0
+    for category in CONFUSABLE:
+        out.append(((1 << len(category)) - 1) << at)
+        at += len(category)
+    return out
+
+
+def named_terms(text: Column) -> Column:
+    """The alternatives of all categories that the text names as whole words, one bit for each.
+
+    A plain search for the variants comes before the pattern, which few texts need.
+    """
     low = F.lower(F.coalesce(text, F.lit("")))
-    hits = [F.when(low.rlike(r"\b(?:" + "|".join(variants) + r")\b"), F.lit(i)) for i, variants in enumerate(CONFUSABLE[category])]
-    return F.array_compact(F.array(*hits))
+    out, at = F.lit(0).cast("bigint"), 0
+    for category in CONFUSABLE:
+        for variants in category:
+            held = reduce(lambda a, b: a | b, (F.contains(low, F.lit(v)) for v in variants))
+            out = out + F.when(held & low.rlike(r"\b(?:" + "|".join(variants) + r")\b"), F.lit(1 << at)).otherwise(F.lit(0)).cast("bigint")
+            at += 1
+    return out
 
 
-def in_conflict(a: Column, b: Column) -> Column:
-    """True if both name alternatives of one category and none in common."""
+def terms_conflict(x: Column, y: Column) -> Column:
+    """Whether two columns of :func:`named_terms` have alternatives of one category and none in common."""
     out = F.lit(False)
-    for i in range(len(CONFUSABLE)):
-        x, y = named_alternatives(a, i), named_alternatives(b, i)
-        out = out | ((F.size(x) > 0) & (F.size(y) > 0) & ~F.arrays_overlap(x, y))
+    for bits in category_bits():
+        both = F.lit(bits).cast("bigint")
+        out = out | ((x.bitwiseAND(both) != 0) & (y.bitwiseAND(both) != 0) & (x.bitwiseAND(y).bitwiseAND(both) == 0))
     return out
 
 
+def _once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with ``x`` computed once, however often it occurs."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def in_conflict(a: Column, b: Column) -> Column:
+    """True if both name alternatives of one category and none in common."""
+    return _once(F.struct(named_terms(a).alias("x"), named_terms(b).alias("y")), lambda n: terms_conflict(n["x"], n["y"]))
+
+
 def lexically_compatible(a: Column, b: Column, threshold: float = 0.5) -> Column:
     return ~in_conflict(a, b) & (jaccard(content_words(a), content_words(b)) >= threshold)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions.text import BLOCK_SEPARATOR
 from plinth.operators import cache, chunking, context, dense, fusion, graph, metrics, resolve, review, sparse, tables
+from plinth.operators.ranking import keep_first
 
 # --- sparse, dense, fusion ---
 
@@ -337,6 +338,29 @@ def test_cache_answers_every_question(spark):
     assert {(r.query_id, r.response) for r in got.collect()} == {(i, str(i)) for i in range(0, n, 100)}
 
 
+def test_cache_equals_all_pairs(spark, monkeypatch):
+    """Several repositories, ties, conflicts, texts without words, zero vectors, several blocks; texts are read once for each row, not for each pair."""
+    from plinth.functions.text import lexically_compatible
+    from plinth.functions.vectors import cosine
+
+    n = F.col("id")
+    words = F.array(*map(F.lit, ["login", "logout", "token", "parse", "read", "write", "cache", "graph", None, "the", "naïve", "GET", "post"]))
+    said = lambda m: F.concat_ws(" ", *(F.get(words, (n * (7 * i + m) % 13).cast("int")) for i in range(1, 5)))
+    vector = lambda m: F.array(*(F.when(n % 41 == 0, 0).otherwise((n * (i + m) % 5 - 2)).cast("float") for i in range(4)))
+    entries = spark.range(700).select((n % 3).cast("string").alias("repository_id"), said(1).alias("query"), vector(1).alias("query_embedding"), n.cast("string").alias("response"), F.array(n.cast("string")).alias("retrieved_chunk_ids"))
+    asked = spark.range(120).select(n.alias("query_id"), (n % 4).cast("string").alias("repository_id"), said(3).alias("query"), vector(2).alias("vector"))
+    pairs = entries.withColumnRenamed("query", "cached_query").join(asked, "repository_id").withColumn("similarity", cosine(F.col("query_embedding"), F.col("vector"))).where((F.col("similarity") >= 0.3) & lexically_compatible(F.col("query"), F.col("cached_query"), 0.3))
+    key = lambda df: {(r.query_id, round(r.similarity, 6), r.cached_query) for r in df.collect()}
+    want = key(keep_first(pairs, ["query_id"], F.round("similarity", 9).desc(), F.col("cached_query")))
+    assert len(want) > 20
+    assert key(cache.lookup(entries, asked, 0.3, 0.3)) == want
+    monkeypatch.setattr(cache, "PAIRS", 100)
+    monkeypatch.setattr(cache, "QUESTION_SLICE", 50)
+    found = cache.lookup(entries, asked, 0.3, 0.3)
+    assert key(found) == want
+    assert _rows_made(found) < 5000  # there are 21,000 pairs
+
+
 def test_store(spark, tmp_path):
     store = tables.Store(spark, str(tmp_path / "db"))
     rows = spark.createDataFrame([("r", "f1", "a.py", "python", ".py", 1), ("r", "f1", "a.py", "python", ".py", 1)], "repository_id string, file_id string, relative_path string, language string, extension string, size_bytes bigint")
