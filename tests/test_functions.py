@@ -114,3 +114,20 @@ def test_first_grade_and_palette(spark):
 
     for path in ("a.py", "src/a.py", "src/lib/deep/a.py"):
         assert one(spark, text.palette_bucket(F.col("p")), p=path) == plain(path)
+
+
+def test_lexical_gate_reads_each_text_once(spark, sf_dir):
+    from plinth.functions.text import CONFUSABLE
+    from plinth.plans.queries import QUERIES
+
+    plan = QUERIES["lexical_gate"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 2 * sum(map(len, CONFUSABLE))
+
+
+def test_named_terms(spark):
+    from plinth.functions.text import CONFUSABLE, named_terms
+
+    at = {variant: i for i, variant in enumerate(v for category in CONFUSABLE for v in category)}
+    want = {"Log In or sign up": {("login", "log in", "signin", "sign in"), ("register", "registration", "signup", "sign up")}, "forget posts, get-post": {("get",), ("post",)}, "server-side": {CONFUSABLE[0][0]}, "device": set(), None: set()}
+    rows = spark.createDataFrame([(t,) for t in want], "t string").select("t", named_terms(F.col("t")).alias("n")).collect()
+    assert {r.t: r.n for r in rows} == {t: sum(1 << at[v] for v in named) for t, named in want.items()}
