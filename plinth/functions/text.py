@@ -81,14 +81,14 @@ def terms_conflict(x: Column, y: Column) -> Column:
     return out
 
 
-def _once(x: Column, use: Callable[[Column], Column]) -> Column:
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
     """``use(x)`` with ``x`` computed once, however often it occurs."""
     return F.get(F.transform(F.array(x), use), F.lit(0))
 
 
 def in_conflict(a: Column, b: Column) -> Column:
     """True if both name alternatives of one category and none in common."""
-    return _once(F.struct(named_terms(a).alias("x"), named_terms(b).alias("y")), lambda n: terms_conflict(n["x"], n["y"]))
+    return once(F.struct(named_terms(a).alias("x"), named_terms(b).alias("y")), lambda n: terms_conflict(n["x"], n["y"]))
 
 
 def lexically_compatible(a: Column, b: Column, threshold: float = 0.5) -> Column:

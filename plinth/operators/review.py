@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plinth.functions.text import fallback_phrase, is_test_path
+from plinth.functions.text import fallback_phrase, is_test_path, once
 from plinth.operators.chunking import narrowest
 from plinth.operators.graph import classify
 from plinth.operators.ranking import keep_first, top_k
@@ -135,17 +135,16 @@ def parse_claims(raw: Column, files: Column) -> Column:
     An array of claims, or an object with one key that holds it; every claim has a known kind,
     texts that are not empty, and a location in one of ``files``.
     """
-    text = F.regexp_replace(raw, r"^\s+|\s+$", "")
-    keys = F.json_object_keys(text)
-    inner = F.when(F.size(keys) == 1, F.get(F.map_values(F.from_json(text, "map<string,string>")), F.lit(0)))
-    array = F.when(text.startswith("["), text).when(text.startswith("{") & F.ltrim(inner).startswith("["), inner)
-    claims = F.from_json(array, _CLAIMS)
     said = lambda x: x.isNotNull() & (F.length(x) > 0)
-    good = F.forall(
-        claims,
-        lambda c: F.coalesce(c["claim_type"].isin(*CLAIM_KINDS) & said(c["assertion"]) & said(c["proposed_test"]) & F.array_contains(files, F.coalesce(location_file(c["location"]), F.lit(""))), F.lit(False)),
-    )
-    return F.when(F.json_array_length(array).isNotNull() & good, claims)
+    good = lambda c: F.coalesce(c["claim_type"].isin(*CLAIM_KINDS) & said(c["assertion"]) & said(c["proposed_test"]) & F.array_contains(files, F.coalesce(location_file(c["location"]), F.lit(""))), F.lit(False))
+
+    def inside(text: Column) -> Column:
+        inner = once(F.map_values(F.from_json(text, "map<string,string>")), lambda v: F.get(v, F.lit(0)))
+        return F.when(text.startswith("["), text).when(text.startswith("{"), F.when(F.size(F.json_object_keys(text)) == 1, once(inner, lambda x: F.when(F.ltrim(x).startswith("["), x))))
+
+    checked = lambda claims: F.when(F.forall(claims, good), claims)
+    parsed = lambda array: F.when(F.json_array_length(array).isNotNull(), once(F.from_json(array, _CLAIMS), checked))
+    return once(F.regexp_replace(raw, r"^\s+|\s+$", ""), lambda text: once(inside(text), parsed))
 
 
 def parse_verdict(raw: Column) -> Column:

@@ -699,9 +699,10 @@ def json_claims_parse(spark, sf):
     shapes = [both, F.concat(F.lit('{"claims": '), both, F.lit("}")), F.concat(F.lit('{"claims": '), both, F.lit(', "more": 1}')), F.concat(F.lit(" \n"), both)]
     raw = F.when(F.col("event_id") % 17 == 0, F.concat(F.lit("Here: "), both)).otherwise(F.get(F.array(*shapes), (F.col("event_id") % 4).cast("int")))
     files = F.when(F.col("user_id") % 5 == 0, F.array(F.lit("other.py"))).otherwise(F.array(F.lit("other.py"), F.concat(F.lit("f"), user, F.lit(".py"))))
-    claims = review.parse_claims(raw, files)
-    at = F.get(claims, F.lit(1))["location"]
-    return table(spark, sf, "events").select("event_id", F.when(claims.isNotNull(), F.size(claims)).alias("n_claims"), F.get(claims, F.lit(1))["claim_type"].alias("claim_type"), review.location_file(at).alias("file"), review.location_line(at).alias("line"))
+    answers = table(spark, sf, "events").select("event_id", raw.alias("raw"), files.alias("files"))
+    parsed = answers.select("event_id", review.parse_claims(F.col("raw"), F.col("files")).alias("claims"))
+    second = parsed.select("event_id", F.when(F.col("claims").isNotNull(), F.size("claims")).alias("n_claims"), F.get("claims", F.lit(1)).alias("c"))
+    return second.select("event_id", "n_claims", F.col("c.claim_type").alias("claim_type"), review.location_file(F.col("c.location")).alias("file"), review.location_line(F.col("c.location")).alias("line"))
 
 
 @query(
