@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from plinth.functions.vectors import unit
+from plinth.operators.blocks import Best, block_rows
 from plinth.operators.ranking import top_k
 
 #: Query vectors that are broadcast at once, about; more of them go in slices.
@@ -26,40 +26,27 @@ def build_index(vectors: DataFrame, id_col: str, vector_col: str, width: int | N
     return vectors.select(F.col(id_col).alias("id"), unit(v).alias("unit"))
 
 
-def _best_of_batch(scores: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) of the best ``k`` rows for each query (columns); scores are rounded, ties go to the smaller id."""
-    queries, rows = [], []
-    for q in range(scores.shape[1]):
-        own = scores[:, q]
-        at = np.arange(len(own))
-        if len(own) > k:
-            at = np.flatnonzero(own >= -np.partition(-own, k - 1)[k - 1])
-            if len(at) > k:
-                ties = pa.table({"score": own[at], "id": ids.take(pa.array(at)), "at": at})
-                at = np.asarray(pc.select_k_unstable(ties, k, [("score", "descending"), ("id", "ascending")]))
-                at = np.asarray(ties.column("at").take(pa.array(at)))
-        queries.append(np.full(len(at), q))
-        rows.append(at)
-    return np.concatenate(queries), np.concatenate(rows)
-
-
 def _search_slice(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score): the best of every batch of vectors for each query."""
+    """(query_id, id, score): the best of every task's vectors for each query."""
     asked = queries.select("query_id", unit(F.col("vector")).alias("q")).toArrow().combine_chunks()  # a slice of the queries
     names = asked.column("query_id").combine_chunks()
-    matrix = np.array(asked.column("q").to_pylist(), dtype=np.float64)
+    matrix = np.asarray(asked.column("q").combine_chunks().flatten(), dtype=np.float64).reshape(len(names), -1) if len(names) else np.zeros((0, 0))
     shared = queries.sparkSession.sparkContext.broadcast((names, matrix))
     schema = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("id", index.schema["id"].dataType), StructField("score", DoubleType())])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = shared.value
+        kept = Best(len(names), k)
         for batch in batches:
-            if not batch.num_rows or not len(names):
+            if not len(names):
                 continue
-            vectors = np.asarray(batch.column("unit").flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-            scores = vectors @ matrix.T
-            query, row = _best_of_batch(np.round(scores, 9), batch.column("id"), k)
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), batch.column("id").take(pa.array(row)), pa.array(scores[row, query])], names=["query_id", "id", "score"])
+            vectors, ids = batch.column("unit"), batch.column("id")
+            for at in range(0, batch.num_rows, step := block_rows(len(names))):
+                part = vectors.slice(at, step)
+                kept.add(np.asarray(part.flatten(), dtype=np.float64).reshape(len(part), -1) @ matrix.T, ids.slice(at, step))
+        if (found := kept.reduce()) is not None:
+            found = found.combine_chunks()
+            yield pa.RecordBatch.from_arrays([names.take(found["query"].combine_chunks()), found["id"].combine_chunks(), found["score"].combine_chunks()], names=["query_id", "id", "score"])
 
     return index.select("id", "unit").mapInArrow(best, schema)
 
@@ -67,8 +54,8 @@ def _search_slice(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The nearest ``k`` of each query (query_id, vector): (query_id, id, score, rank).
 
-    The queries are broadcast in slices, and multiplied with whole batches of vectors; so the vectors
-    are scanned once for each slice and never shuffled, and k rows of a batch go on for each query.
+    The queries are broadcast in slices, and multiplied with blocks of vectors; so the vectors
+    are scanned once for each slice and never shuffled, and k rows of a task go on for each query.
     """
     if k <= 0:
         raise ValueError("k must be positive")

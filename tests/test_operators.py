@@ -288,6 +288,28 @@ def test_changed_functions_make_no_pairs(spark):
     assert {(r.diff_id, r.chunk_id) for r in met.collect()} == {(i, 0) for i in range(1000)}  # all are of one width, and the first starts first
 
 
+def test_best_of_blocks(monkeypatch):
+    """Small blocks with ties and NaN give what sorting everything gives, and hold no more than their bound."""
+    import numpy as np
+    import pyarrow as pa
+
+    from plinth.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK_SCORES", 70)
+    assert blocks.block_rows(7) == 10
+    scores = np.random.default_rng(1).integers(0, 40, (500, 7)) / 40.0
+    scores[33, 2] = np.nan
+    kept, most = blocks.Best(7, 5), 0
+    for at in range(0, 500, 10):
+        kept.add(scores[at : at + 10], pa.array(range(at, min(at + 10, 500))))
+        most = max(most, kept.held)
+    got = kept.reduce().to_pydict()
+    value = np.where(np.isnan(scores), np.inf, scores)
+    want = [(q, i) for q in range(7) for i in sorted(range(500), key=lambda i: (-value[i, q], i))[:5]]
+    assert list(zip(got["query"], got["id"], strict=True)) == want
+    assert most <= 140
+
+
 CHUNK = "chunk_id string, file_id string, file_path string, language string, chunk_type string, function_name string, class_name string, parent_chunk_id string, raw_code string"
 
 
