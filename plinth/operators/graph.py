@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from plinth.session import checkpointed
 
 #: A place holds the hop above so many bits and a row number, which is a 32-bit integer, below.
 PLACE_BITS = 32
+#: Ids of a frontier that are broadcast at most; more are joined by a shuffle of the edges.
+BROADCAST_IDS = 500_000
 
 
 def phase(edge_type: Column) -> Column:
@@ -111,14 +115,28 @@ def fan_out(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return into.unionByName(out).unionByName(far)
 
 
-def expand(seeds: DataFrame, steps: DataFrame, hops: int = 1, decay: float = 0.5) -> DataFrame:
+def fan_out_from(edges: DataFrame, nodes: DataFrame, ids: DataFrame, *order: Column) -> DataFrame:
+    """The rows of :func:`fan_out` that begin at ``ids`` (id), over ``edges`` of which the first of each pair counts; others may follow.
+
+    Only edges at these ids, or from the files of these chunks, are reduced to the first of their pair:
+    all edges of a pair have the same ends, so none of them is left out.
+    """
+    near = F.broadcast if ids.count() <= BROADCAST_IDS else (lambda df: df)
+    ends = ids.select("id").union(nodes.join(near(ids.select("id")), "id", "left_semi").select("file_id").where("file_id IS NOT NULL").select(F.col("file_id").alias("id"))).distinct()
+    out = edges.join(near(ends.withColumnRenamed("id", "src")), "src", "left_semi")
+    into = edges.join(near(ends.withColumnRenamed("id", "dst")), "dst", "left_semi")
+    return fan_out(first_wins(out.unionByName(into), *order).select("src", "dst", "edge_type"), nodes)
+
+
+def expand(seeds: DataFrame, steps: DataFrame | Callable[[DataFrame], DataFrame], hops: int = 1, decay: float = 0.5) -> DataFrame:
     """Expand ranked seeds (query_id, id, score, rank) over ``steps`` (src, dst, edge_type, side).
 
     A neighbour has its parent's score times ``decay``.  Seeds are never replaced.  A node is kept
     with its best score, of equal ones the first met (parent's place in the frontier, side, id);
     only a strictly better path replaces an earlier one, and a node that was improved is expanded
     again.  Result: query_id, id, score, distance, origin, edge_type, place (the order of discovery:
-    by hop, then by parent's place, side and id).  Between hops the frontier and what is kept are
+    by hop, then by parent's place, side and id).  ``steps`` may be a function that gives them for
+    the ids of a frontier, and then is asked before each hop.  Between hops the frontier and what is kept are
     checkpointed, so the plan of each hop has the same size.
     """
     if hops <= 0:
@@ -128,7 +146,8 @@ def expand(seeds: DataFrame, steps: DataFrame, hops: int = 1, decay: float = 0.5
     kept = seeds.select("query_id", "id", F.col("score").cast("double").alias("score"), F.lit(0).alias("distance"), F.lit(None).cast(seeds.schema["id"].dataType).alias("origin"), F.lit(None).cast("string").alias("edge_type"), F.col("rank").cast("bigint").alias("place"))
     frontier, base = kept, kept.select("query_id", F.col("id").alias("_seed"))
     for hop in range(1, hops + 1):
-        near = frontier.select("query_id", F.col("id").alias("src"), (F.col("score") * decay).alias("score"), F.col("place").alias("_from")).join(steps, "src")
+        here = steps(frontier.select("id").distinct()) if callable(steps) else steps
+        near = frontier.select("query_id", F.col("id").alias("src"), (F.col("score") * decay).alias("score"), F.col("place").alias("_from")).join(here, "src")
         near = near.join(base, (near["query_id"] == base["query_id"]) & (near["dst"] == base["_seed"]), "left_anti")
         found = keep_first(near, ["query_id", "dst"], F.round("score", 12).desc(), F.col("_from"), F.col("side"), F.col("src"))
         found = ranked(found, ["query_id"], F.col("_from"), F.col("side"), F.col("dst"), name="_n")

@@ -251,14 +251,22 @@ ed AS (SELECT src, dst, edge_type FROM (SELECT *, row_number() OVER (PARTITION B
 bw AS (SELECT src AS id, dst AS other FROM ed UNION SELECT dst, src FROM ed)"""
 
 
-def _edges(spark, sf) -> DataFrame:
-    """A supplier-part graph of all orders."""
+def _raw_edges(spark, sf) -> DataFrame:
+    """A supplier-part graph of all orders, with every order's edge."""
     pre = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     kind = F.when(F.col("l_linenumber") % 2 == 0, "function_call").otherwise("method_call")
     li = table(spark, sf, "lineitem").select(pre("s", "l_suppkey").alias("src"), pre("p", "l_partkey").alias("dst"), kind.alias("edge_type"), F.col("l_orderkey").alias("o"))
     su = table(spark, sf, "supplier").select(pre("n", "s_nationkey").alias("src"), pre("s", "s_suppkey").alias("dst"), F.lit("contains").alias("edge_type"), F.col("s_suppkey").alias("o"))
     na = table(spark, sf, "nation").select(pre("r", "n_regionkey").alias("src"), pre("n", "n_nationkey").alias("dst"), F.lit("imports").alias("edge_type"), F.col("n_nationkey").cast("bigint").alias("o"))
-    return graph.first_wins(li.unionByName(su).unionByName(na), graph.phase(F.col("edge_type")), F.col("o"), F.col("edge_type")).select("src", "dst", "edge_type")
+    return li.unionByName(su).unionByName(na)
+
+
+def _first() -> list:
+    return [graph.phase(F.col("edge_type")), F.col("o"), F.col("edge_type")]
+
+
+def _edges(spark, sf) -> DataFrame:
+    return graph.first_wins(_raw_edges(spark, sf), *_first()).select("src", "dst", "edge_type")
 
 
 def _focus(spark) -> DataFrame:
@@ -296,13 +304,16 @@ def _seeds(spark) -> DataFrame:
     return spark.createDataFrame([(1, "s1", 0.9, 1), (1, "s2", 0.5, 2), (2, "p3", 0.7, 1), (2, "n3", 0.6, 2)], "query_id int, id string, score double, rank int")
 
 
-def _steps(spark, sf) -> DataFrame:
-    """The fan-out; nations are chunks of their region's file, suppliers of their nation's."""
+def _nodes(spark, sf) -> DataFrame:
+    """Nations are chunks of their region's file, suppliers of their nation's."""
     nation, supplier = table(spark, sf, "nation"), table(spark, sf, "supplier")
     pre = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     nodes = nation.select(pre("n", "n_nationkey").alias("id"), F.lit("chunk").alias("node_kind"), pre("r", "n_regionkey").alias("file_id"))
-    nodes = nodes.unionByName(supplier.select(pre("s", "s_suppkey").alias("id"), F.lit("chunk").alias("node_kind"), pre("n", "s_nationkey").alias("file_id")))
-    return graph.fan_out(_edges(spark, sf), nodes)
+    return nodes.unionByName(supplier.select(pre("s", "s_suppkey").alias("id"), F.lit("chunk").alias("node_kind"), pre("n", "s_nationkey").alias("file_id")))
+
+
+def _steps(spark, sf) -> DataFrame:
+    return graph.fan_out(_edges(spark, sf), _nodes(spark, sf))
 
 
 @query(f"WITH {_GRAPH}, {_STEPS} SELECT src, dst, edge_type, side FROM st")
@@ -333,7 +344,7 @@ def graph_expand_1hop(spark, sf):
     UNION ALL SELECT query_id, id, round(score, 6), 2, origin FROM imp""",
 )
 def graph_expand_2hop(spark, sf):
-    return graph.expand(_seeds(spark), _steps(spark, sf), 2).select("query_id", "id", F.round("score", 6).alias("score"), "distance", "origin")
+    return graph.expand(_seeds(spark), lambda ids: graph.fan_out_from(_raw_edges(spark, sf), _nodes(spark, sf), ids, *_first()), 2).select("query_id", "id", F.round("score", 6).alias("score"), "distance", "origin")
 
 
 _RADIUS = f"""WITH RECURSIVE {_GRAPH.strip()},

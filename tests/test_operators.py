@@ -310,6 +310,18 @@ def test_best_of_blocks(monkeypatch):
     assert most <= 140
 
 
+def test_expand_from_the_frontier(spark):
+    """Edges reduced only at the frontier give the steps that reducing all of them gives."""
+    n = F.col("id")
+    edges = spark.range(400).select((n * 7 % 23).alias("src"), (n * n % 29).alias("dst"), F.when(n % 5 == 0, "imports").otherwise("function_call").alias("edge_type"), n.alias("o"))
+    nodes = spark.range(30).select("id", F.lit("chunk").alias("node_kind"), (n % 6).alias("file_id"))
+    seeds = spark.createDataFrame([(1, 3, 0.9, 1), (2, 4, 0.5, 1)], "query_id int, id long, score double, rank int")
+    whole = graph.fan_out(graph.first_wins(edges, F.col("o")).select("src", "dst", "edge_type"), nodes)
+    ids = seeds.select("id")
+    some = graph.fan_out_from(edges, nodes, ids, F.col("o"))
+    assert sorted(map(tuple, some.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").collect())) == sorted(map(tuple, whole.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").collect()))
+
+
 CHUNK = "chunk_id string, file_id string, file_path string, language string, chunk_type string, function_name string, class_name string, parent_chunk_id string, raw_code string"
 
 
