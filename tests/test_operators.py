@@ -48,6 +48,85 @@ def test_bm25_with_shuffled_terms(spark, monkeypatch):
     assert found[0] == found[1] and len(found[0]) == 35
 
 
+def test_bm25_shuffles_neither_postings_nor_scores(spark):
+    docs = spark.createDataFrame([(i, f"alpha{i % 7} beta{i % 3} gamma") for i in range(60)], "doc_id long, text string").repartition(4)
+    asked = spark.createDataFrame([(1, "alpha1 gamma"), (2, "zeta")], "query_id int, query string")
+    index = sparse.build_index(docs)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan(index.postings) and "Join" not in plan(sparse.search(index, asked, 7))
+    assert [r.doc_id for r in sparse.search(index, asked, 7).where("query_id = 2").orderBy("rank").collect()] == list(range(7))
+
+
+def test_bm25_in_slices_and_small_blocks(spark, monkeypatch):
+    docs = [(i, " ".join(f"word{(i * j) % 11}" for j in range(i % 9)) if i % 5 else None) for i in range(80)]
+    asked = [(f"q{i}", f"word{i} word{i + 1} word{i % 3} word{i} unknown") for i in range(9)] + [("none", "?!"), ("far", "unknown")]
+    index = sparse.build_index(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    q = spark.createDataFrame(asked, "query_id string, query string")
+    want = {}
+    for name, question in asked:
+        by = plain_bm25([(i, t or "") for i, t in docs], question)
+        want[name] = [i for i, _ in sorted(by.items(), key=lambda x: (-round(x[1], 9), x[0]))[:6]]
+    del want["none"]
+    for slices in (4096, 2):
+        monkeypatch.setattr(sparse, "QUERY_SLICE", slices)
+        got = {}
+        for r in sparse.search(index, q, 6).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.doc_id)
+        assert got == want
+
+
+def test_blocks_cut_at_any_size(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    words, n = pa.array(["a", "b", "c"]), 40
+    lists = pa.array([[w for j, w in enumerate("abcd") if (i >> j) & 1] for i in range(n)], pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([4] * n), lists, pa.array([[1 + i % 3] * len(x) for i, x in enumerate(lists.to_pylist())], pa.list_(pa.int64()))], names=["doc_id", "len", "terms", "tfs"])
+    asked = sparse._Asked(pa.array([7, 8]), words, np.array([0, 2, 3, 4]), np.array([0, 1, 1, 0]), np.array([1.0, 2.0, 3.0, 5.0]))
+    found = []
+    for size in (1_000_000, 7, 1):
+        monkeypatch.setattr(sparse, "BLOCK_SCORES", size)
+        parts = [s for piece in sparse.cut(batch, pa.array([1] * n), size) for s, _ in sparse._scored(piece, asked, 1.5, 0.75, 4.0)]
+        found.append(np.concatenate(parts))
+    assert found[0].shape == (n, 2) and all((x == found[0]).all() for x in found)
+    assert found[0][5].tolist() == [2.5 * 6 * 3 / (3 + 1.5), 2.5 * 2 * 3 / (3 + 1.5)]  # a and c, three times each
+
+
+def test_best_keeps_smaller_ids_of_equal_scores():
+    import numpy as np
+    import pyarrow as pa
+
+    from plinth.operators.blocks import Best
+
+    best = Best(2, 2)
+    blocks = (([5, 6, 9], [[0, 1], [0, -np.inf], [0, 0]], 4), ([7, 3, 8], [[0, 0], [0, 0], [0, 2]], 8), ([1, 2, 4], [[0, np.nan], [-1, 1], [1, 0]], 13))
+    for ids, scores, held in blocks:
+        best.add(np.array(scores, dtype=float), pa.array(ids))
+        assert best.held == held  # a row that ties with the k-th and has a larger id is not held
+    found = best.reduce()
+    assert list(zip(found["query"].to_pylist(), found["id"].to_pylist(), strict=True)) == [(0, 4), (0, 1), (1, 1), (1, 8)]
+
+
+def test_parts_of_many_texts(spark):
+    import random
+
+    import pyarrow as pa
+
+    from plinth.functions.parts import parts
+    from plinth.functions.text import tokens
+    from tests.test_functions import plain_tokens
+
+    rng = random.Random(3)
+    texts = ["", None, "parseHTTPRequest2x", "A", "b", "É1aßB", "x" * 70] + ["".join(rng.choice("abAB12 _é") for _ in range(rng.randrange(12))) for _ in range(3000)]
+    found, ends = parts(pa.array([t and t.encode() for t in texts], pa.binary()).slice(1))
+    got = [found.slice(ends[i], ends[i + 1] - ends[i]).to_pylist() for i in range(len(texts) - 1)]
+    assert got == [plain_tokens(t or "") for t in texts[1:]]
+    rows = spark.createDataFrame(list(enumerate(texts[1:])), "i int, t string").select("i", tokens(F.col("t")).alias("w")).orderBy("i").collect()
+    assert got == [r.w for r in rows]
+    none, ends = parts(pa.array([b"\xff", b"a\xffB", None], pa.binary()))
+    assert none.to_pylist() == ["a", "b"] and ends.tolist() == [0, 0, 2, 2]
+
+
 def test_empty_indexes(spark):
     index = sparse.build_index(spark.createDataFrame([], "doc_id long, text string"))
     assert sparse.search(index, spark.createDataFrame([(1, "x")], "query_id int, query string"), 5).count() == 0
