@@ -19,6 +19,9 @@ from plinth.session import checkpointed
 from plinth.sources.files import is_ignored, language, parse_repository_url
 from plinth.streaming.jobs import latest_state, windowed_counts
 
+#: Hits that are broadcast at most; more are joined with the documents by a shuffle.
+BROADCAST_HITS = 500_000
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -210,6 +213,11 @@ def _fused(spark, sf) -> DataFrame:
     return fusion.fuse(_near(spark, sf, questions=True), hits, 8)
 
 
+def _near_docs(found: DataFrame) -> DataFrame:
+    """Rows of hits (stored ones, since they are counted) to join with documents: broadcast while they are few, so that no text is shuffled."""
+    return F.broadcast(found) if found.count() <= BROADCAST_HITS else found
+
+
 @query(f"WITH {_FUSED} SELECT query_id, id, round(fused, 6) AS fused_score, CASE WHEN dk IS NULL THEN 'sparse' WHEN sk IS NULL THEN 'dense' ELSE 'hybrid' END AS source, rank FROM fr WHERE rank <= 8")
 def hybrid_rrf(spark, sf):
     return _fused(spark, sf).select("query_id", "id", F.round("fused_score", 6).alias("fused_score"), "source", F.col("rank").cast("bigint").alias("rank"))
@@ -917,8 +925,9 @@ def ablation_grid(spark, sf):
     steps = graph.fan_out(links, ids.select("id", F.lit("chunk").alias("node_kind"), F.lit(None).cast("bigint").alias("file_id")))
     wide = graph.expansion_order(graph.expand(fused.select("query_id", "id", F.col("fused_score").alias("score"), "rank"), steps, 1))
     wide = checkpointed(wide.select("query_id", "id", "score", "rank"))
-    candidates = wide.select("query_id", F.col("id").alias("chunk_id"), F.col("score").alias("previous_score"), F.col("rank").alias("place")).join(docs.withColumnRenamed("id", "chunk_id"), "chunk_id").join(questions, "query_id")
-    best = context.rerank(candidates, overlap_scorer).select("query_id", F.col("chunk_id").alias("id"), F.col("final_rank").alias("rank"))
+    seeds = wide.select("query_id", F.col("id").alias("chunk_id"), F.col("score").alias("previous_score"), F.col("rank").alias("place"))
+    candidates = docs.withColumnRenamed("id", "chunk_id").join(_near_docs(seeds), "chunk_id").join(questions, "query_id")
+    best = checkpointed(context.rerank(candidates, overlap_scorer).select("query_id", F.col("chunk_id").alias("id"), F.col("final_rank").alias("rank")))
     rows = None
     for name, stages in CONFIGURATIONS.items():
         found = best if stages["use_rerank"] else wide if stages["use_graph"] else fused if stages["use_hybrid"] else near

@@ -37,3 +37,15 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize(("name", "joins"), [("ablation_grid", None)])
+def test_texts_are_neither_shuffled_nor_read_again(spark, sf_dir, name, joins):
+    """Hits are broadcast to the documents; the grid reads the texts once, before the plan that is returned."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "doc_id" in line and "text" in line]
+    assert joins in plan and len(scans) == 1 if joins else not scans
