@@ -243,8 +243,8 @@ def rerank_overlap(spark, sf):
     from plinth.models import overlap_scorer
 
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("code"))
-    found = _fused(spark, sf).select("query_id", F.col("id").alias("chunk_id"), F.col("fused_score").alias("previous_score"), F.col("rank").alias("place"))
-    out = context.rerank(found.join(docs, "chunk_id").join(_questions(spark, sf), "query_id"), overlap_scorer, 8)
+    found = checkpointed(_fused(spark, sf).select("query_id", F.col("id").alias("chunk_id"), F.col("fused_score").alias("previous_score"), F.col("rank").alias("place")))
+    out = context.rerank(docs.join(_near_docs(found), "chunk_id").join(_questions(spark, sf), "query_id"), overlap_scorer, 8)
     return out.select("query_id", "chunk_id", F.round("cross_score", 6).alias("cross_score"), F.col("final_rank").cast("bigint").alias("final_rank"))
 
 

@@ -39,7 +39,7 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-@pytest.mark.parametrize(("name", "joins"), [("ablation_grid", None)])
+@pytest.mark.parametrize(("name", "joins"), [("rerank_overlap", "BroadcastHashJoin [chunk_id"), ("ablation_grid", None)])
 def test_texts_are_neither_shuffled_nor_read_again(spark, sf_dir, name, joins):
     """Hits are broadcast to the documents; the grid reads the texts once, before the plan that is returned."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
