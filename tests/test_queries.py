@@ -49,3 +49,10 @@ def test_texts_are_neither_shuffled_nor_read_again(spark, sf_dir, name, joins):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     scans = [line for line in plan.splitlines() if "FileScan" in line and "doc_id" in line and "text" in line]
     assert joins in plan and len(scans) == 1 if joins else not scans
+
+
+@pytest.mark.parametrize(("name", "joins"), [("bm25_topk", 0)])
+def test_sparse_hits_take_no_join(spark, sf_dir, name, joins):
+    """Documents are scored where they are read; only the best of each question are joined with the dense hits."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join" in line for line in plan.splitlines()) == joins
