@@ -51,7 +51,7 @@ def test_texts_are_neither_shuffled_nor_read_again(spark, sf_dir, name, joins):
     assert joins in plan and len(scans) == 1 if joins else not scans
 
 
-@pytest.mark.parametrize(("name", "joins"), [("bm25_topk", 0)])
+@pytest.mark.parametrize(("name", "joins"), [("bm25_topk", 0), ("hybrid_rrf", 1), ("candidate_overlap", 1)])
 def test_sparse_hits_take_no_join(spark, sf_dir, name, joins):
     """Documents are scored where they are read; only the best of each question are joined with the dense hits."""
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
