@@ -56,3 +56,10 @@ def test_sparse_hits_take_no_join(spark, sf_dir, name, joins):
     """Documents are scored where they are read; only the best of each question are joined with the dense hits."""
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Join" in line for line in plan.splitlines()) == joins
+
+
+@pytest.mark.parametrize(("name", "steps"), [("bm25_topk", 1), ("hybrid_rrf", 2)])
+def test_texts_are_scored_in_one_step(spark, sf_dir, name, steps):
+    """No postings are made between the texts and the best of each task; the dense search is a step of its own."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("MapInArrow" in line for line in plan.splitlines()) == steps
