@@ -16,8 +16,9 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector at length one; a zero vector stays zero."""
-    n = norm(a)
-    return F.when(n == 0, F.transform(a, lambda x: F.lit(0.0))).otherwise(F.transform(a, lambda x: x.cast("double") / n))
+    # Over an array of the norm alone: inside the function of a transform it would be computed for each element.
+    scaled = lambda n: F.when(n == 0, F.transform(a, lambda x: F.lit(0.0))).otherwise(F.transform(a, lambda x: x.cast("double") / n))
+    return F.get(F.transform(F.array(norm(a)), scaled), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -101,6 +101,13 @@ def test_vectors(spark):
     assert one(spark, vectors.unit(F.col("a")), a=[0.0, 0.0]) == [0.0, 0.0]
 
 
+def test_norm_is_computed_once_for_a_vector(spark):
+    """Not once for each element, where a vector of n numbers would take n * n steps."""
+    v = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), ([],), ([1.0, None],), (None,)], "a array<float>").select(vectors.unit(F.col("a")).alias("u"))
+    assert [r.u for r in v.collect()] == [[0.6, 0.8], [0.0, 0.0], [], [None, None], None]
+    assert v._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
 def test_first_grade_and_palette(spark):
     assert [one(spark, text.first_grade(F.col("t")), t=x) for x in ("10", "score: 4", "none", "")] == [1, 4, 1, 1]
 
